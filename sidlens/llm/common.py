@@ -206,3 +206,30 @@ def shingles(data: np.ndarray, at: np.ndarray, n: int, fold_case: bool = True) -
         else:
             out.append(np.zeros(0, _U))
     return out
+
+
+# ---------------------------------------------------------------- graphs
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node that an edge (a, b) names; root is the component's least node.
+
+    Alternates large-star and small-star steps until the edges are stars. Each
+    step sends a node's neighbours to its least one, so no group is gathered,
+    and it takes about log(n) rounds whatever the shape.
+    """
+    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
+    e, before = saved(e, "edges"), None
+    while True:
+        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u") % 1_000_000_007).alias("s")).first()
+        if state == before or state["n"] == 0:
+            break
+        before = state
+        both = e.select(F.col("v").alias("x"), F.col("u").alias("y")).union(e.select(F.col("u").alias("x"), F.col("v").alias("y")))
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = both.join(least, "x").where(F.col("y") > F.col("x")).select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
+        lowest = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(lowest, "v").where(F.col("u") != F.col("m")).select(F.col("u").alias("v"), F.col("m").alias("u"))
+        e = saved(small.union(lowest.select("v", F.col("m").alias("u"))).distinct(), "edges")
+    roots = e.select(F.col("u").alias("node")).distinct()
+    return e.select(F.col("v").alias("node"), F.col("u").alias("root")).union(roots.select("node", F.col("node").alias("root")))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard_join, packing, quality, secrets, token_count, topk
+from . import bpe, fingerprint, jaccard_join, packing, quality, secrets, suffix_dedup, token_count, topk
 from .common import documents
 
 
@@ -50,6 +50,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.likeness_to_edited(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.measure_repeats(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -60,7 +64,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, vector_column="embedding")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_jaccard_components, op3_secret_scan, op4_best_fit_packing, op6_bpe_round_trip, op7_fingerprints, op9_quality_scores, op10_exact_top_k)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_jaccard_components, op3_secret_scan, op4_best_fit_packing, op6_bpe_round_trip, op7_fingerprints, op8_suffix_dedup, op9_quality_scores, op10_exact_top_k)}
 
 #: DuckDB SQL by query.
 SQL: dict[str, str] = {}

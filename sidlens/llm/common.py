@@ -189,7 +189,7 @@ def shingles(data: np.ndarray, at: np.ndarray, n: int, fold_case: bool = True) -
     words, first = word_hashes(data, at, fold_case)
     grams = np.zeros(max(0, len(words) - n + 1), _U)
     for j in range(n):
-        grams += words[j : len(words) - n + 1 + j] * (mix(np.array([j + 1], _U))[0] | _U(1))
+        grams += words[j : j + len(grams)] * (mix(np.array([j + 1], _U))[0] | _U(1))
     grams = mix(grams)
     out = []
     for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sidlens.llm import packing, quality, secrets
+from sidlens.llm import jaccard_join, packing, quality, secrets, suffix_dedup
 from sidlens.llm.common import saved
 from sidlens.llm.queries import vocabulary
 
@@ -18,6 +18,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.with_quality(docs, net, score_column="_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of Jaccard similarity 0.8 or more on five-word shingles hold together, the document of the least id."""
+    return jaccard_join.one_of_each(docs, words=5, num=80, den=100)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 400-byte strings that start anywhere else; those of which nothing is left go."""
+    left = suffix_dedup.without_repeats(docs)
+    return left.where(F.col("text").isNull() | (F.col("text") != ""))
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by a mark."""
     return secrets.redacted(docs, vocabulary("byte_bpe_50k.tiktoken"))
@@ -28,9 +39,15 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", keep_quality), ("secrets", redact_secrets), ("packing", pack_sequences)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("near_duplicates", one_of_each_group),
+    ("repeats", cut_repeats),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
 
-#: No stage but the first read can be said in SQL.
+#: The first stage already has no SQL.
 ORACLE_SQL: str | None = None
 
 

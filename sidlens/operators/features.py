@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sid as S
+from ..plans.session import written
 from . import cooc
 
 POINTWISE = ("ppmi_sum", "ppmi_max", "cooc_norm", "pop_log", "in_history", "last_same", "l1_frac", "l2_frac", "prev_l1", "prev_l2", "hist_len_log", "sid_shared", "pop_l1_rate", "pop_l2_rate")
@@ -33,10 +34,11 @@ class Stats:
     min_history: int = 1
 
     def __post_init__(self):
-        self.ppmi = cooc.ppmi(self.train, self.min_history)
-        self.hist_counts = cooc.item_counts(self.train, self.min_history)
-        self.target_counts = cooc.target_counts(self.train)
-        self.levels = cooc.level_priors(self.train, self.catalog)
+        # Read by many steps, so written once.
+        self.ppmi = written(cooc.ppmi(self.train, self.min_history), "ppmi")
+        self.hist_counts = written(cooc.item_counts(self.train, self.min_history), "hist_counts")
+        self.target_counts = written(cooc.target_counts(self.train), "target_counts")
+        self.levels = written(cooc.level_priors(self.train, self.catalog), "levels")
         self.n_targets = self.train.count()
 
 
@@ -107,7 +109,7 @@ def listwise(beam: DataFrame, rows: DataFrame, st: Stats, fallback: str = "id",
     unless `tokens` is on: both as results of this kind are known to do.
     """
     f = by_sid(beam, rows, st)
-    scores = cooc.prior_scores(rows, st.ppmi)
+    scores = written(cooc.prior_scores(rows, st.ppmi), "priors")
     levels = cooc.level_prior_ranks(scores, st.catalog)
     n_items = scores.groupBy("row_id").agg(F.count("*").alias("n_items"))
     order = F.col("item") if fallback == "id" else F.struct(-F.col("n"), F.col("item"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sid as S
 from ..functions.stats import u32
+from .session import written
 
 BEAM, HISTORY = 50, 10
 
@@ -17,6 +18,13 @@ BEAM, HISTORY = 50, 10
 class Fixtures:
     spark: SparkSession
     sf_dir: str
+    _kept: dict = field(default_factory=dict)
+
+    def _once(self, key: str, make) -> DataFrame:
+        """What several steps of a query read is written once."""
+        if key not in self._kept:
+            self._kept[key] = written(make(), key)
+        return self._kept[key]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -30,7 +38,7 @@ class Fixtures:
         order = w.orderBy("o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
         return rows.select(F.col("o_custkey").alias("u"), F.col("l_partkey").alias("item"), F.row_number().over(order).alias("pos"), F.count("*").over(w).alias("n"))
 
-    def catalog(self) -> DataFrame:
+    def _catalog(self) -> DataFrame:
         """(item, sid, title): level a from the brand, b from the type, c from the size; SIDs collide."""
         part = self.table("part")
         # The distinct types are a fixed, small domain.
@@ -38,12 +46,18 @@ class Fixtures:
         sid = F.concat(F.lit("<a_"), F.regexp_extract("p_brand", "[0-9]+", 0), F.lit("><b_"), F.col("b"), F.lit("><c_"), F.col("p_size"), F.lit(">"))
         return part.join(F.broadcast(types), "p_type").select(F.col("p_partkey").alias("item"), sid.alias("sid"), F.col("p_name").alias("title"))
 
-    def catalog_b(self) -> DataFrame:
+    def _catalog_b(self) -> DataFrame:
         """A second assignment, without collisions: base-16 digits of the key."""
         k = F.col("p_partkey")
         sid = F.concat(F.lit("<a_"), k % 16, F.lit("><b_"), F.floor(k / 16) % 16, F.lit("><c_"), F.floor(k / 256), F.lit(">"))
         return self.table("part").select(k.alias("item"), sid.alias("sid"), F.col("p_name").alias("title"))
 
+    def catalog(self) -> DataFrame:
+        return self._once("catalog", self._catalog)
+
+    def catalog_b(self) -> DataFrame:
+        return self._once("catalog_b", self._catalog_b)
+
     def examples(self) -> DataFrame:
         """(row_id, u, pos, target, hist, split): the previous ten items; the last interaction tests, the one before validates."""
         i = self.interactions()
@@ -53,7 +67,7 @@ class Fixtures:
         return rows.where("pos > 1").select((F.col("u") * 100000 + F.col("pos")).alias("row_id"), "*")
 
     def rows(self, split: str = "test") -> DataFrame:
-        return self.examples().where(F.col("split") == split).drop("split")
+        return self._once("examples", self.examples).where(F.col("split") == split).drop("split")
 
     def beam_items(self, seed: int = 42, split: str = "test") -> DataFrame:
         """(row_id, u, target, slot, item): planted targets and copies of the last item among drawn items."""
@@ -69,6 +83,12 @@ class Fixtures:
         return rows.select("row_id", "u", "target", "slot", item.cast("long").alias("item"))
 
     def beam(self, seed: int = 42, catalog: DataFrame | None = None, faults: bool = False, split: str = "test") -> DataFrame:
+        arm = "a" if catalog is None or catalog is self._kept.get("catalog") else "b" if catalog is self._kept.get("catalog_b") else None
+        if arm is None:
+            return self._beam(seed, catalog, faults, split)
+        return self._once(f"beam_{seed}_{arm}_{int(faults)}_{split}", lambda: self._beam(seed, catalog, faults, split))
+
+    def _beam(self, seed: int, catalog: DataFrame | None, faults: bool, split: str) -> DataFrame:
         """(row_id, u, target, output, predict): SIDs by slot. With faults, some rows end in an unknown SID, or repeat their first SID at slot 48."""
         c = (catalog if catalog is not None else self.catalog()).select("item", "sid")
         slots = self.beam_items(seed, split).join(c, "item", "left")

@@ -481,7 +481,7 @@ def prior_ranks(fx: Fixtures) -> DataFrame:
 @query("""WITH best AS (SELECT row_id, sid, min(rnk) AS rnk FROM prior JOIN cat_a USING (item) WHERE rnk <= 500 GROUP BY 1, 2), r AS (SELECT list_contains(predict, output) AS inb, rnk FROM beam_test42a b LEFT JOIN best ON best.row_id = b.row_id AND best.sid = b.output)
     SELECT size, count(*) AS n_rows, count(*) FILTER (rnk <= size) AS pool_hits, count(*) FILTER (coalesce(rnk <= size, false) OR inb) AS union_hits FROM r, (VALUES (10), (20), (50), (100), (200), (500)) v(size) GROUP BY 1""")
 def cooc_recall_ceiling(fx: Fixtures) -> DataFrame:
-    return cooc.recall_ceiling(cooc.prior_scores(fx.rows(), cooc.ppmi(fx.rows("train"))), fx.beam(), fx.catalog())
+    return cooc.recall_ceiling(written(cooc.prior_scores(fx.rows(), cooc.ppmi(fx.rows("train")))), fx.beam(), fx.catalog())
 
 
 @query("""WITH near AS (SELECT row_id, item, row_number() OVER (PARTITION BY row_id ORDER BY v DESC, item) AS place FROM (SELECT row_id, other AS item, max(ppmi) AS v FROM (SELECT row_id, unnest(list_distinct(hist)) AS item FROM test) JOIN adj USING (item) WHERE rnk <= 200 GROUP BY 1, 2)), top AS (SELECT * FROM near WHERE place <= 60)
@@ -527,7 +527,7 @@ def _stats(fx: Fixtures) -> features.Stats:
 
 
 def _by_sid(fx: Fixtures, split: str = "test") -> DataFrame:
-    return features.by_sid(fx.beam(split=split), fx.rows(split), _stats(fx))
+    return written(features.by_sid(fx.beam(split=split), fx.rows(split), _stats(fx)), "features")
 
 
 @query(f"SELECT row_id, sid, rank, {_ROUNDED} FROM feat")
@@ -569,7 +569,7 @@ _EXTRA = features.LISTWISE[len(features.POINTWISE) :]
 
 
 def _listwise(fx: Fixtures) -> DataFrame:
-    return features.listwise(fx.beam(), fx.rows(), _stats(fx))
+    return written(features.listwise(fx.beam(), fx.rows(), _stats(fx)), "listwise")
 
 
 @query(f"WITH {_LIST} SELECT row_id, sid, rank, label, {', '.join(f'round({n}, 5) AS {n}' for n in _EXTRA)} FROM lf")
@@ -640,7 +640,7 @@ def fit_pointwise(fx: Fixtures) -> DataFrame:
 
 @query()
 def fit_listwise(fx: Fixtures) -> DataFrame:
-    m = learn.fit_listwise(written(_listwise(fx)), features.LISTWISE, epochs=20)
+    m = learn.fit_listwise(_listwise(fx), features.LISTWISE, epochs=20)
     return fx.spark.createDataFrame([(n, float(mu), float(s), float(w)) for n, mu, s, w in zip(m["features"], m["mean"], m["scale"], m["weights"], strict=True)], "feature string, mean double, scale double, weight double")
 
 

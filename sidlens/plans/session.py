@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,8 +25,17 @@ def session(cores: str = "*", partitions: int = 8, name: str = "sidlens") -> Spa
     )
 
 
+#: Used only where spark.checkpoint.dir is unset, as in tests; removed at exit.
+_OWN = f"/tmp/checkpoints/sidlens-{os.getpid()}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sidlens").rstrip("/")
+    """The folder that driver and executors share."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        atexit.register(shutil.rmtree, _OWN, ignore_errors=True)
+        found = _OWN
+    return found.rstrip("/")
 
 
 def written(df: DataFrame, label: str = "table") -> DataFrame:

@@ -1,11 +1,12 @@
 """Repeated byte strings, found by interval expansion on a Burrows-Wheeler transform.
 
 A string of `length` bytes that occurs twice has, at the same place in both
-occurrences, the same least-hashed half-length gram. So the texts are cut into
-contexts around such grams; those that share a gram form a group, equal ones
-are counted as one, and each group's contexts become one text whose transform
-is expanded breadth first: backward extension finds common prefixes by
-increasing value and ends at `length`. What is still undivided there repeats.
+occurrences, the same least-hashed gram. So the texts are cut into contexts,
+each of the strings that share one least gram; contexts of equal grams form a
+group, equal ones are counted as one, and each group's contexts become one text
+whose transform is expanded breadth first: backward extension finds common
+prefixes by increasing value and ends at `length`. What is still undivided there
+repeats.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, byte_codes, mapped, mix, powers, prefix_hashes, saved, span_hashes, text_bytes
@@ -28,6 +29,10 @@ LENGTH = 400
 GROUP = 2048
 #: Parts of the offsets for that, and bytes of contexts that are transformed together.
 PARTS, BLOCK = 8, 1 << 20
+#: Bits of the filter that tells which texts surely have no part in a join; of fixed size, it lets more through as it fills.
+FILTER_BITS = 1 << 23
+#: Low bits of a gram's hash that give way to its place when the least is sought.
+_PLACE = _U(31)
 
 
 # ---------------------------------------------------------------- anchors
@@ -43,52 +48,55 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start in the row, hash of the gram, hash of the context) of each gram that is the least of some window of `length` bytes within one row."""
-    k = length // 2
+def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of each run of strings of `length` bytes within one row that share their least gram, the leftmost of equal ones: (row, start of the gram in the row, hash of the gram, hash of the context, bytes of it before the gram, its bytes)."""
+    k = length // 4
     w = length - k + 1
     n = len(data)
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, _U, _U))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, _U, _U, np.int64, np.int64))
     prefix = prefix_hashes(data, byte_codes(False))
     _, down = powers(n + 1)
     grams = mix((prefix[k:] - prefix[:-k]) * down[: n - k + 1])
-    least = sliding(grams, w, np.minimum)  # of the window that starts at each byte
-    row_of = np.searchsorted(at, np.arange(n - length + 1), "right") - 1
-    valid = np.arange(n - length + 1) + length <= at[row_of + 1]
-    low = np.where(valid, least, _U(0))
-    padded = np.concatenate([np.zeros(w - 1, _U), low, np.zeros(w - 1, _U)])
-    chosen = np.flatnonzero(sliding(padded, w, np.maximum) == grams)
-    row = np.searchsorted(at, chosen, "right") - 1
-    start, end = np.maximum(at[row], chosen - (length - k)), np.minimum(at[row + 1], chosen + length)
-    context = mix(span_hashes(prefix, start, end) + (chosen - start).astype(_U) * _U(0x9E3779B97F4A7C15))
-    return row, chosen - at[row], grams[chosen], context
+    placed = ((grams >> _PLACE) << _PLACE) | np.arange(n - k + 1, dtype=_U)
+    least = (sliding(placed, w, np.minimum) & _U((1 << int(_PLACE)) - 1)).astype(np.int64)  # of the string that starts at each byte
+    row = np.searchsorted(at, np.arange(n - length + 1), "right") - 1
+    valid = np.flatnonzero(np.arange(n - length + 1) + length <= at[row + 1])
+    if not len(valid):
+        return anchors(data[:0], at[:1], length)
+    least, row = least[valid], row[valid]
+    new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (row[1:] != row[:-1]))))
+    first, last = valid[new], valid[np.append(new[1:], len(valid)) - 1]
+    gram, row, end = least[new], row[new], last + length
+    context = mix(span_hashes(prefix, first, end) + (gram - first).astype(_U) * _U(0x9E3779B97F4A7C15))
+    return row, gram - at[row], grams[gram], context, gram - first, end - first
 
 
 # ---------------------------------------------------------------- the transform
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Order of the suffixes by doubling; symbols are positive, and those that end a text are all different."""
-    n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    k = 1
+    """Order of the suffixes by doubling. Symbols lie below 512; the last one is 0 and the only one."""
+    n, k = len(symbols), 7
+    padded = np.concatenate([symbols, np.zeros(k, np.int64)])
+    key = np.zeros(n, np.int64)
+    for j in range(k):
+        key = (key << 9) | padded[j : j + n]
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable") if k > 64 else np.argsort(key)
+        order = np.argsort(key)
+        ordered = key[order]
         new = np.zeros(n, np.int64)
-        new[1:] = key[order][1:] != key[order][:-1]
-        np.cumsum(new, out=new)
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+        np.cumsum(ordered[1:] != ordered[:-1], out=new[1:])
         if new[-1] == n - 1:
             return order
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        key = rank * (n + 1)
+        key[: n - k] += rank[k:] + 1
         k *= 2
 
 
-def undivided(symbols: np.ndarray, n_ends: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
+def undivided(symbols: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, whether each suffix shares at least `bound` symbols with the one before it).
 
     Breadth-first backward extension: a boundary between suffixes whose common
@@ -96,13 +104,12 @@ def undivided(symbols: np.ndarray, n_ends: int, bound: int) -> tuple[np.ndarray,
     Where both neighbours are preceded by one symbol there is one such boundary,
     reached by the LF mapping; the others, at the heads of runs of the
     transform, are reached as soon as a boundary falls between the last two
-    suffixes that their symbol precedes. Symbols below n_ends end texts and
-    never extend.
+    suffixes that their symbol precedes.
     """
     n = len(symbols)
     order = suffix_array(symbols)
     bwt = symbols[order - 1]
-    by_symbol = np.argsort(bwt, kind="stable")  # row j of the first column is row by_symbol[j] of the last
+    by_symbol = np.argsort(bwt.astype(np.int16), kind="stable")  # row j of the first column is row by_symbol[j] of the last
     lf = np.empty(n, np.int64)
     lf[by_symbol] = np.arange(n)
     known = np.zeros(n, bool)
@@ -110,7 +117,7 @@ def undivided(symbols: np.ndarray, n_ends: int, bound: int) -> tuple[np.ndarray,
     frontier = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))  # common prefix 0
     known[frontier] = True
     same = np.zeros(n, bool)
-    same[1:] = (bwt[1:] == bwt[:-1]) & (bwt[1:] >= n_ends)
+    same[1:] = bwt[1:] == bwt[:-1]
     heads = np.flatnonzero(~known & (np.concatenate(([0], by_symbol[:-1])) + 1 != by_symbol))
     for _ in range(1, bound):
         if not len(frontier):
@@ -120,7 +127,13 @@ def undivided(symbols: np.ndarray, n_ends: int, bound: int) -> tuple[np.ndarray,
         known[reach] = True
         heads = heads[~known[heads]]
         if len(heads):
-            cut = np.searchsorted(frontier, by_symbol[heads], "right") > np.searchsorted(frontier, by_symbol[heads - 1], "right")
+            if len(frontier) * 16 > n:
+                passed = np.zeros(n, np.int32)
+                passed[frontier] = 1
+                np.cumsum(passed, out=passed)
+                cut = passed[by_symbol[heads]] > passed[by_symbol[heads - 1]]
+            else:
+                cut = np.searchsorted(frontier, by_symbol[heads], "right") > np.searchsorted(frontier, by_symbol[heads - 1], "right")
             found, heads = heads[cut], heads[~cut]
             known[found] = True
             reach = np.concatenate([reach, found])
@@ -132,10 +145,11 @@ def repeated_starts(contexts: list[bytes], group: np.ndarray, left: np.ndarray,
     """For each context the starts of its strings of `length` bytes that another context of its group holds at the same distance from the gram."""
     sizes = np.array([len(c) for c in contexts])
     ends = np.cumsum(sizes + 1) - 1
-    text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + len(contexts)
-    text[ends] = np.arange(len(contexts))
-    order, same = undivided(text, len(contexts), length)
-    which = np.searchsorted(ends, order)
+    text = np.frombuffer(b"\0".join(contexts) + b"\0\0", np.uint8).astype(np.int64) + 2
+    text[ends] = 1
+    text[-1] = 0
+    order, same = undivided(text, length)
+    which = np.minimum(np.searchsorted(ends, order), len(contexts) - 1)
     start = order - (ends[which] - sizes[which])
     alike = np.cumsum(~same)
     fits = start + length <= sizes[which]
@@ -176,51 +190,68 @@ def _rows(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return documents.select(documents[id_column].alias("id"), documents[text_column].alias("text"))
 
 
+def _filter(keys: DataFrame) -> np.ndarray:
+    """Bits of the hashes `lo` of texts; the driver gets FILTER_BITS / 64 numbers at most."""
+    bit = F.pmod(F.col("lo"), F.lit(FILTER_BITS))
+    words = keys.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(lo, {FILTER_BITS}) % 64 as int))")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    for r in words:
+        out[r["w"]] = np.int64(r["bits"]).view(np.uint64)
+    return out
+
+
+def _in_filter(bits: np.ndarray, lo: list[int]) -> np.ndarray:
+    at = np.array(lo, np.int64) % FILTER_BITS
+    return (bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, lo, spans): of each row that has repeated bytes, the maximal runs to remove, as arrays of (start, end) in UTF-8 bytes. `lo` is a hash of the text, for ids that repeat."""
+    """(id, lo, spans): of each row that has repeated bytes, the runs to remove, as arrays of (from, to) in UTF-8 bytes, in any order and overlapping. `lo` is a hash of the text, for ids that repeat."""
     rows = _rows(documents, id_column, text_column)
     kind = rows.schema["id"].dataType.simpleString()
-    half = length // 2
-    before = length - half
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, 1 << 20):
             data, at = text_bytes(b.column(1))
-            row, start, gram, context = anchors(data, at, length)
+            row, start, gram, context, before, size = anchors(data, at, length)
             raw = data.tobytes()
             lo = np.array([_lo(raw[a:z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(lo[row]), pa.array(start)], names=["gram", "context", "id", "lo", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(lo[row]), *(pa.array(x.astype(np.int32)) for x in (start, before, size))], names=["gram", "context", "id", "lo", "start", "before", "size"])
 
-    placed = f"gram long, context long, id {kind}, lo long, start long"
-    dealt = mapped(rows, anchored, placed).repartition("gram").sortWithinPartitions("gram")
+    placed = f"gram long, context long, id {kind}, lo long, start int, before int, size int"
+    dealt = mapped(rows, anchored, placed).repartition("gram").sortWithinPartitions("gram", "context")
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Drops grams that occur once. The last row waits for the next batch."""
-        last, multiple = None, False
+        """Drops grams that occur once, and marks each context's first row (`first`) and whether it has more (`all`). The last row waits for the next batch."""
+        last, multiple, begun = None, False, True
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks()
-            g = t["gram"].to_numpy()
-            keep = np.zeros(len(g), bool)
-            keep[1:] = g[1:] == g[:-1]
-            keep[:-1] |= keep[1:]
+            g, c = t["gram"].to_numpy(), t["context"].to_numpy()
+            same_gram = g[1:] == g[:-1]
+            same = same_gram & (c[1:] == c[:-1])
+            keep, first, more = np.zeros(len(g), bool), np.ones(len(g), bool), np.zeros(len(g), bool)
+            keep[1:] = same_gram
+            keep[:-1] |= same_gram
             keep[0] |= multiple
-            last, multiple = t.slice(len(g) - 1).to_batches()[0], bool(keep[-1])
+            first[1:] = ~same
+            if last is not None:
+                first[0] = begun
+            more[:-1] = same
+            last, multiple, begun = t.slice(len(g) - 1).to_batches()[0], bool(keep[-1]), bool(first[-1])
             keep[-1] = False
-            yield from t.filter(pa.array(keep)).to_batches()
+            yield from t.append_column("first", pa.array(first)).append_column("all", pa.array(more)).filter(pa.array(keep)).to_batches()
         if last is not None and multiple:
-            yield last
-
-    met = saved(mapped(dealt, together, placed), "grams")
-    # Equal contexts are one; where it occurs more than once all of it repeats.
-    distinct = met.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "start")).alias("at"))
-    size = distinct.groupBy("gram").agg(F.count("*").alias("c"))
-    distinct = distinct.join(size, "gram")
-    alone = distinct.where("c = 1").select("gram", "context", (F.col("n") > 1).alias("all"))
-    open_ = distinct.where("c > 1").select("gram", "context", (F.col("n") > 1).alias("all"), (F.col("c") > GROUP).alias("large"), "at.id", "at.lo", "at.start")
-    asked = open_.groupBy("id", "lo").agg(F.collect_list(F.struct("gram", "context", "all", "large", "start")).alias("asked"))
-    ask = asked.select(F.col("id").alias("of"), "lo", "asked").join(rows, F.col("of").eqNullSafe(F.col("id"))).select("lo", "asked", "text")
+            yield from pa.Table.from_batches([last]).append_column("first", pa.array([begun])).append_column("all", pa.array([False])).to_batches()
+
+    met = saved(mapped(dealt, together, placed + ", first boolean, all boolean"), "grams")
+    # Equal contexts are one; where it occurs more than once all of it repeats. A group of such contexts only has nothing more to say.
+    w = Window.partitionBy("gram")
+    distinct = met.where("first").withColumn("c", F.count("*").over(w)).withColumn("known", F.min("all").over(w))
+    open_ = saved(distinct.where("c > 1 AND NOT known").select("gram", "context", "all", (F.col("c") > GROUP).alias("large"), "id", "lo", "start", "before", "size"), "contexts")
+    asked = open_.groupBy("id", "lo").agg(F.collect_list(F.struct("gram", "context", "all", "large", "start", "before", "size")).alias("asked"))
+    ask = asked.select(F.col("id").alias("of"), F.col("lo").alias("of_lo"), "asked").join(_possible(rows, _filter(open_)), F.col("of").eqNullSafe(F.col("id")) & (F.col("of_lo") == F.col("lo"))).select("lo", "asked", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The contexts' bytes, each under the key of its group. Those of large groups go under finer keys, one for each part of the offsets, that also hash what all strings of that part share."""
@@ -228,20 +259,20 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str =
             out: dict[tuple, tuple] = {}
             for lo, asked, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                if _lo(raw) != lo:
-                    continue
                 for a in asked:
                     p = a["start"]
+                    begin = p - a["before"]
+                    end = begin + a["size"]
                     if not a["large"]:
-                        s, e = max(0, p - before), min(len(raw), p + length)
-                        out[a["gram"], a["context"], 0] = (a["gram"], a["context"], a["all"], p - s, raw[s:e])
+                        out[a["gram"], a["context"], 0] = (a["gram"], a["context"], a["all"], p - begin, raw[begin:end])
                         continue
-                    step = -(-(before + 1) // PARTS)
-                    for part, least in enumerate(range(0, before + 1, step)):
-                        most = min(before, least + step - 1)
-                        # Strings that start `least` to `most` before the gram, as far as the text holds them.
-                        s, e = max(0, p - most), min(len(raw), p - least + length)
-                        if p - least < 0 or e - s < length:
+                    most_before = length - length // 4
+                    step = -(-(most_before + 1) // PARTS)
+                    for part, least in enumerate(range(0, most_before + 1, step)):
+                        most = min(most_before, least + step - 1)
+                        # Strings that start `least` to `most` before the gram, as far as the context holds them.
+                        s, e = max(begin, p - most), min(end, p - least + length)
+                        if e - s < length:
                             continue
                         core = _lo(b"%d,%d:" % (a["gram"], part) + raw[p - least : p - most + length])
                         out[core, a["context"], part] = (core, a["context"], a["all"], p - s, raw[s:e], a["gram"])
@@ -285,26 +316,37 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str =
             yield solve(waiting)
 
     parts = mapped(contexts, expanded, "gram long, context long, `from` long, `to` long")
-    whole = alone.where("all").select("gram", "context").union(open_.where("all").select("gram", "context")).select("gram", "context", F.lit(-before).cast("long").alias("from"), F.lit(length).cast("long").alias("to"))
+    whole = met.where("first AND all").select("gram", "context", (-F.col("before")).cast("long").alias("from"), (F.col("size") - F.col("before")).cast("long").alias("to"))
     spans = parts.union(whole)
-    hit = met.join(spans, ["gram", "context"]).select("id", "lo", F.greatest(F.lit(0), F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"))
-    return hit.groupBy("id", "lo").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    hit = met.select("gram", "context", "id", "lo", "start").join(spans, ["gram", "context"]).select("id", "lo", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"))
+    return saved(hit.groupBy("id", "lo").agg(F.collect_set(F.struct("from", "to")).alias("spans")), "spans")
 
 
-def _with_spans(documents: DataFrame, length: int, id_column: str, text_column: str) -> DataFrame:
-    """All rows and columns, with `_spans`."""
-    spans = repeated_spans(documents, length, id_column, text_column)
-    names = documents.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", `_lo` long"
+def _possible(rows: DataFrame, bits: np.ndarray, wanted: bool = True, text_column: str = "text") -> DataFrame:
+    """The rows, with `lo`, whose texts the filter lets through; or those that it doesn't."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lo long"
+    names, shared = rows.columns, rows.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS, whatever the input
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lo = [_lo((x or "").encode()) for x in b.column(b.schema.get_field_index(text_column)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lo, pa.int64())], names=[*names, "_lo"])
+            full = pa.RecordBatch.from_arrays([*b.columns, pa.array(lo, pa.int64())], names=[*names, "lo"])
+            yield full.filter(pa.array(_in_filter(shared.value, lo) == wanted))
 
-    rows = mapped(documents, marked, schema)
-    spans = spans.select(F.col("id").alias("_id"), F.col("lo").alias("_of"), F.col("spans").alias("_spans"))
-    return rows.join(spans, F.col("_of").eqNullSafe(F.col("_lo")) & F.col("_id").eqNullSafe(F.col(id_column)), "left").drop("_id", "_of", "_lo")
+    return mapped(rows, run, schema)
+
+
+def _with_spans(documents: DataFrame, length: int, id_column: str, text_column: str) -> DataFrame:
+    """All rows and columns, with `_spans`, null for most. Texts that surely have none aren't joined."""
+    spans = repeated_spans(documents, length, id_column, text_column)
+    bits = _filter(spans)
+    held = documents.withColumnRenamed("lo", "_own_lo") if "lo" in documents.columns else documents
+    found = spans.select(F.col("id").alias("_id"), F.col("lo").alias("_of"), F.col("spans").alias("_spans"))
+    rows = _possible(held, bits, True, text_column)
+    joined = rows.join(found, (F.col("_of") == F.col("lo")) & F.col("_id").eqNullSafe(F.col(id_column)), "left").drop("_id", "_of", "lo")
+    others = _possible(held, bits, False, text_column).drop("lo").withColumn("_spans", F.lit(None).cast(joined.schema["_spans"].dataType))
+    out = joined.unionByName(others)
+    return out.withColumnRenamed("_own_lo", "lo") if "_own_lo" in out.columns else out
 
 
 def _merged(spans, n: int) -> list[tuple[int, int]]:

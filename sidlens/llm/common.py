@@ -53,8 +53,15 @@ def ship(spark: SparkSession) -> None:
     sc._sidlens_shipped = True
 
 
+#: Bytes of a batch between Spark and a Python worker, at most; it bounds what a worker holds of long texts.
+BATCH_BYTES = 8 << 20
+
+
 def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:
-    ship(df.sparkSession)
+    """mapInArrow with the package at hand and batches of bounded size."""
+    spark = df.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 

@@ -28,7 +28,7 @@ LENGTH = 400
 #: Contexts of a group beyond which it is cut by what surrounds the gram.
 GROUP = 2048
 #: Parts of the offsets for that, and bytes of contexts that are transformed together.
-PARTS, BLOCK = 8, 1 << 20
+PARTS, BLOCK = 8, 1 << 19
 #: Bits of the filter that tells which texts surely have no part in a join; of fixed size, it lets more through as it fills.
 FILTER_BITS = 1 << 23
 #: Low bits of a gram's hash that give way to its place when the least is sought.
@@ -211,7 +211,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str =
     kind = rows.schema["id"].dataType.simpleString()
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, 1 << 20):
+        for b in blocks(batches, 1 << 19):
             data, at = text_bytes(b.column(1))
             row, start, gram, context, before, size = anchors(data, at, length)
             raw = data.tobytes()
@@ -255,7 +255,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The contexts' bytes, each under the key of its group. Those of large groups go under finer keys, one for each part of the offsets, that also hash what all strings of that part share."""
-        for b in blocks(batches, 1 << 20):
+        for b in blocks(batches, 1 << 19):
             out: dict[tuple, tuple] = {}
             for lo, asked, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()

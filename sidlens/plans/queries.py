@@ -628,9 +628,9 @@ def _draw(kind: str) -> str:
 
 @query(f"""WITH pop AS (SELECT item, hi - n AS lo, hi FROM (SELECT item, n, sum(n) OVER (ORDER BY item) AS hi FROM target_n)), total AS (SELECT max(hi) AS total FROM pop),
     cum AS (SELECT item AS near, other AS item, hi, coalesce(lag(hi) OVER (PARTITION BY item ORDER BY rnk), 0.0) AS lo FROM (SELECT item, other, rnk, round(sum(ppmi) OVER (PARTITION BY item ORDER BY rnk), 9) AS hi FROM adj WHERE rnk <= 200)), top AS (SELECT near, max(hi) AS s FROM cum GROUP BY 1),
-    d AS (SELECT row_id, target, {_draw('k')} % 1000 AS kind, {_draw('p')} % total AS at, hist[{_draw('h')} % len(hist) + 1] AS own, list_sort(list_distinct(hist))[{_draw('i')} % len(list_distinct(hist)) + 1] AS near, {_draw('n')} AS un FROM train, range(4) r(slot), total),
+    d AS (SELECT row_id, target, {_draw('k')} % 1000 AS kind, {_draw('p')} % total AS spot, hist[{_draw('h')} % len(hist) + 1] AS own, list_sort(list_distinct(hist))[{_draw('i')} % len(list_distinct(hist)) + 1] AS near, {_draw('n')} AS un FROM train, range(4) r(slot), total),
     e AS (SELECT d.*, s FROM d LEFT JOIN top USING (near))
-    SELECT DISTINCT row_id, item FROM (SELECT row_id, target, p.item FROM e JOIN pop p ON at >= lo AND at < hi WHERE kind < 400 OR (kind < 700 AND s IS NULL)
+    SELECT DISTINCT row_id, item FROM (SELECT row_id, target, p.item FROM e JOIN pop p ON spot >= lo AND spot < hi WHERE kind < 400 OR (kind < 700 AND s IS NULL)
     UNION ALL SELECT e.row_id, e.target, c.item FROM e JOIN cum c ON c.near = e.near AND un / 4294967296.0 * s >= lo AND un / 4294967296.0 * s < hi WHERE kind BETWEEN 400 AND 699 UNION ALL SELECT row_id, target, own FROM e WHERE kind >= 700) WHERE item <> target""")
 def negative_sample(fx: Fixtures) -> DataFrame:
     train = fx.rows("train")

@@ -11,6 +11,9 @@ from sidlens.llm import jaccard_join, packing, quality, secrets, suffix_dedup
 from sidlens.llm.common import saved
 from sidlens.llm.queries import vocabulary
 
+#: Passages of over 50 words that repeat go, however short their words.
+LEAST_WORDS = 51
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
@@ -24,8 +27,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the bytes of 400-byte strings that start anywhere else; those of which nothing is left go."""
-    left = suffix_dedup.without_repeats(docs)
+    """All documents without the bytes of 400-byte strings and of runs of LEAST_WORDS words that start anywhere else; those of which nothing is left go."""
+    left = suffix_dedup.without_repeats(docs, least_words=LEAST_WORDS)
     return left.where(F.col("text").isNull() | (F.col("text") != ""))
 
 

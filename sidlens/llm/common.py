@@ -153,11 +153,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["mult"][:n], _powers["inverse"][:n]
 
 
-def prefix_hashes(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i], divided by the i-th power, a polynomial hash of data[i:j]."""
+def prefix_hashes(data: np.ndarray, codes: np.ndarray | None) -> np.ndarray:
+    """P with P[j] - P[i], divided by the i-th power, a polynomial hash of data[i:j]. Without codes, data are codes themselves."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, _U)
-    np.cumsum(codes[data] * up[: len(data)], out=out[1:], dtype=_U)
+    np.cumsum((data if codes is None else codes[data]) * up[: len(data)], out=out[1:], dtype=_U)
     return out
 
 
@@ -170,11 +170,11 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words [^\\x20\\x09-\\x0D]+ in order, and each row's first word (one more entry than rows)."""
+def word_places(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where all words [^\\x20\\x09-\\x0D]+ start and end, in order."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, _U), np.zeros(len(at), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = ~_IS_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
@@ -186,7 +186,14 @@ def word_hashes(data: np.ndarray, at: np.ndarray, fold_case: bool = True) -> tup
     after[-1] = False
     after[:-1] = word[1:]
     last = word & (~after | edge[1:])
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and each row's first word (one more entry than rows)."""
+    starts, ends = word_places(data, at)
+    if not len(starts):
+        return np.zeros(0, _U), np.zeros(len(at), np.int64)
     prefix = prefix_hashes(data, byte_codes(fold_case))
     return span_hashes(prefix, starts, ends), np.searchsorted(starts, at, "left")
 

@@ -6,7 +6,8 @@ each of the strings that share one least gram; contexts of equal grams form a
 group, equal ones are counted as one, and each group's contexts become one text
 whose transform is expanded breadth first: backward extension finds common
 prefixes by increasing value and ends at `length`. What is still undivided there
-repeats.
+repeats. Words can stand in for bytes: then a text is the sequence of its words'
+hashes, and white space doesn't count.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_codes, mapped, mix, powers, prefix_hashes, saved, span_hashes, text_bytes
+from .common import blocks, byte_codes, mapped, mix, powers, prefix_hashes, saved, span_hashes, text_bytes, word_hashes, word_places
 from .jaccard_join import grouped
 
 _U = np.uint64
@@ -49,13 +50,13 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of each run of strings of `length` bytes within one row that share their least gram, the leftmost of equal ones: (row, start of the gram in the row, hash of the gram, hash of the context, bytes of it before the gram, its bytes)."""
+    """Data: bytes, or hashes of words, which then count for bytes. Of each run of strings of `length` bytes within one row that share their least gram, the leftmost of equal ones: (row, start of the gram in the row, hash of the gram, hash of the context, bytes of it before the gram, its bytes)."""
     k = length // 4
     w = length - k + 1
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, _U, _U, np.int64, np.int64))
-    prefix = prefix_hashes(data, byte_codes(False))
+    prefix = prefix_hashes(data, byte_codes(False) if data.dtype == np.uint8 else None)
     _, down = powers(n + 1)
     grams = mix((prefix[k:] - prefix[:-k]) * down[: n - k + 1])
     placed = ((grams >> _PLACE) << _PLACE) | np.arange(n - k + 1, dtype=_U)
@@ -76,12 +77,13 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Order of the suffixes by doubling. Symbols lie below 512; the last one is 0 and the only one."""
-    n, k = len(symbols), 7
+    """Order of the suffixes by doubling. The last symbol is 0 and the only one."""
+    bits = max(9, int(symbols.max()).bit_length())
+    n, k = len(symbols), 63 // bits
     padded = np.concatenate([symbols, np.zeros(k, np.int64)])
     key = np.zeros(n, np.int64)
     for j in range(k):
-        key = (key << 9) | padded[j : j + n]
+        key = (key << bits) | padded[j : j + n]
     while True:
         order = np.argsort(key)
         ordered = key[order]
@@ -109,7 +111,7 @@ def undivided(symbols: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(symbols)
     order = suffix_array(symbols)
     bwt = symbols[order - 1]
-    by_symbol = np.argsort(bwt.astype(np.int16), kind="stable")  # row j of the first column is row by_symbol[j] of the last
+    by_symbol = np.argsort(bwt.astype(np.int16) if symbols.max() < 1 << 15 else bwt, kind="stable")  # row j of the first column is row by_symbol[j] of the last
     lf = np.empty(n, np.int64)
     lf[by_symbol] = np.arange(n)
     known = np.zeros(n, bool)
@@ -141,12 +143,15 @@ def undivided(symbols: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
     return order, ~known
 
 
-def repeated_starts(contexts: list[bytes], group: np.ndarray, left: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each context the starts of its strings of `length` bytes that another context of its group holds at the same distance from the gram."""
-    sizes = np.array([len(c) for c in contexts])
+def repeated_starts(contexts: list[bytes], group: np.ndarray, left: np.ndarray, length: int, unit: int = 1) -> list[np.ndarray]:
+    """For each context the starts of its strings of `length` symbols, of `unit` bytes each (1 or 8), that another context of its group holds at the same distance from the gram."""
+    sizes = np.array([len(c) // unit for c in contexts])
     ends = np.cumsum(sizes + 1) - 1
-    text = np.frombuffer(b"\0".join(contexts) + b"\0\0", np.uint8).astype(np.int64) + 2
-    text[ends] = 1
+    held = np.frombuffer(b"".join(contexts), np.uint8 if unit == 1 else _U)
+    text = np.ones(int(ends[-1]) + 2, np.int64)
+    inner = np.ones(len(text), bool)
+    inner[ends] = inner[-1] = False
+    text[inner] = (held.astype(np.int64) if unit == 1 else np.unique(held, return_inverse=True)[1]) + 2
     text[-1] = 0
     order, same = undivided(text, length)
     which = np.minimum(np.searchsorted(ends, order), len(contexts) - 1)
@@ -205,15 +210,16 @@ def _in_filter(bits: np.ndarray, lo: list[int]) -> np.ndarray:
     return (bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, lo, spans): of each row that has repeated bytes, the runs to remove, as arrays of (from, to) in UTF-8 bytes, in any order and overlapping. `lo` is a hash of the text, for ids that repeat."""
+def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", words: bool = False) -> DataFrame:
+    """(id, lo, spans): of each row that has repeated bytes, the runs to remove, as arrays of (from, to) in UTF-8 bytes, in any order and overlapping. `lo` is a hash of the text, for ids that repeat. With words, `length` and the runs count words."""
+    unit = 8 if words else 1
     rows = _rows(documents, id_column, text_column)
     kind = rows.schema["id"].dataType.simpleString()
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, 1 << 19):
             data, at = text_bytes(b.column(1))
-            row, start, gram, context, before, size = anchors(data, at, length)
+            row, start, gram, context, before, size = anchors(*(word_hashes(data, at, False) if words else (data, at)), length)
             raw = data.tobytes()
             lo = np.array([_lo(raw[a:z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(lo[row]), *(pa.array(x.astype(np.int32)) for x in (start, before, size))], names=["gram", "context", "id", "lo", "start", "before", "size"])
@@ -259,12 +265,14 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str =
             out: dict[tuple, tuple] = {}
             for lo, asked, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()
+                if words:
+                    raw = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), False)[0].tobytes()
                 for a in asked:
                     p = a["start"]
                     begin = p - a["before"]
                     end = begin + a["size"]
                     if not a["large"]:
-                        out[a["gram"], a["context"], 0] = (a["gram"], a["context"], a["all"], p - begin, raw[begin:end])
+                        out[a["gram"], a["context"], 0] = (a["gram"], a["context"], a["all"], p - begin, raw[begin * unit : end * unit])
                         continue
                     most_before = length - length // 4
                     step = -(-(most_before + 1) // PARTS)
@@ -274,8 +282,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str =
                         s, e = max(begin, p - most), min(end, p - least + length)
                         if e - s < length:
                             continue
-                        core = _lo(b"%d,%d:" % (a["gram"], part) + raw[p - least : p - most + length])
-                        out[core, a["context"], part] = (core, a["context"], a["all"], p - s, raw[s:e], a["gram"])
+                        core = _lo(b"%d,%d:" % (a["gram"], part) + raw[(p - least) * unit : (p - most + length) * unit])
+                        out[core, a["context"], part] = (core, a["context"], a["all"], p - s, raw[s * unit : e * unit], a["gram"])
             values = [(v[0], v[5] if len(v) > 5 else v[0], *v[1:5]) for v in out.values()]
             key, gram, context, whole, left, raw = zip(*values, strict=True) if values else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(gram, pa.int64()), pa.array(context, pa.int64()), pa.array(whole, pa.bool_()), pa.array(left, pa.int64()), pa.array(raw, pa.binary())], names=["key", "gram", "context", "all", "left", "raw"])
@@ -290,7 +298,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str =
             group = np.repeat(np.arange(len(tables)), [t.num_rows for t in tables])
             t = pa.concat_tables(tables)
             left = t["left"].to_numpy()
-            found = repeated_starts(t["raw"].to_pylist(), group, left, length)
+            found = repeated_starts(t["raw"].to_pylist(), group, left, length, unit)
             gram, context, whole = t["gram"].to_pylist(), t["context"].to_pylist(), t["all"].to_pylist()
             g, c, f, e = [], [], [], []
             for i, starts in enumerate(found):
@@ -336,9 +344,13 @@ def _possible(rows: DataFrame, bits: np.ndarray, wanted: bool = True, text_colum
     return mapped(rows, run, schema)
 
 
-def _with_spans(documents: DataFrame, length: int, id_column: str, text_column: str) -> DataFrame:
+def _with_spans(documents: DataFrame, length: int, id_column: str, text_column: str, least_words: int | None = None) -> DataFrame:
     """All rows and columns, with `_spans`, null for most. Texts that surely have none aren't joined."""
     spans = repeated_spans(documents, length, id_column, text_column)
+    if least_words is not None:
+        told = lambda df, words: df.select("id", "lo", F.transform("spans", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), F.lit(words).alias("words"))).alias("spans"))
+        both = told(spans, False).union(told(repeated_spans(documents, least_words, id_column, text_column, words=True), True))
+        spans = saved(both.groupBy("id", "lo").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     bits = _filter(spans)
     held = documents.withColumnRenamed("lo", "_own_lo") if "lo" in documents.columns else documents
     found = spans.select(F.col("id").alias("_id"), F.col("lo").alias("_of"), F.col("spans").alias("_spans"))
@@ -356,6 +368,14 @@ def _merged(spans, n: int) -> list[tuple[int, int]]:
     return [(s, min(e, n)) for s, e in united(a[:, 0], a[:, 1])]
 
 
+def _in_bytes(spans, raw: bytes) -> list[dict]:
+    """Spans of which some may count words, all in bytes."""
+    if not any("words" in s and s["words"] for s in spans):
+        return spans
+    starts, ends = word_places(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return [{"from": int(starts[s["from"]]), "to": int(ends[s["to"] - 1])} if s["words"] else s for s in spans]
+
+
 def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for s, e in spans:
@@ -389,9 +409,9 @@ def measure_repeats(documents: DataFrame, length: int = LENGTH, id_column: str =
     return mapped(rows, run, f"`{id_column}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(documents: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", count_column: str | None = "n_chars") -> DataFrame:
-    """All rows and columns, texts without what repeats. A character that loses any byte goes as a whole; null stays null. `count_column`, if present, follows the new length."""
-    rows = _with_spans(documents, length, id_column, text_column)
+def without_repeats(documents: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", count_column: str | None = "n_chars", least_words: int | None = None) -> DataFrame:
+    """All rows and columns, texts without what repeats: strings of `length` bytes, and with `least_words` also runs of that many words, whatever their bytes. A character that loses any byte goes as a whole; null stays null. `count_column`, if present, follows the new length."""
+    rows = _with_spans(documents, length, id_column, text_column, least_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, column=text_column):
@@ -402,7 +422,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, id_column: str =
                     new.append(text)
                     continue
                 raw = text.encode()
-                new.append(_kept(raw, _merged(spans, len(raw))).decode("utf-8", "ignore"))
+                new.append(_kept(raw, _merged(_in_bytes(spans, raw), len(raw))).decode("utf-8", "ignore"))
             columns = [pa.array(new, b.schema.field(j).type) if j == i else b.column(j) for j in range(b.num_columns - 1)]
             k = b.schema.get_field_index(count_column) if count_column else -1
             if k >= 0:

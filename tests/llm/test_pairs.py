@@ -122,6 +122,35 @@ def test_repeats_leave_whole_characters(spark):
     assert suffix_dedup.measure_repeats(table(spark, [])).count() == 0
 
 
+def test_repeated_words(spark):
+    rng = random.Random(5)
+    some = lambda n: [rng.choice(["a", "bé", "C", "c", "d"]) for _ in range(n)]
+    passages = [some(20) for _ in range(4)]
+    part = lambda p: rng.choice([some(rng.randrange(20)), p, p[:13], p[6:]])
+    rows = [(i, rng.choice([" ", "\n "]).join(w for _ in range(rng.randrange(5)) for w in part(rng.choice(passages)))) for i in range(80)]
+    rows += [(500, None), (None, " ".join(passages[0])), (7, " ".join(passages[1])), (8, "")]
+    split = [(t or "").split() for _, t in rows]
+    count = defaultdict(int)
+    for w in split:
+        for i in range(len(w) - 11):
+            count[tuple(w[i : i + 12])] += 1
+    want = []
+    for (d, _), w in zip(rows, split, strict=True):
+        gone = {j for i in range(len(w) - 11) if count[tuple(w[i : i + 12])] > 1 for j in range(i, i + 12)}
+        want.append((d, [x for j, x in enumerate(w) if j not in gone]))
+    left = suffix_dedup.without_repeats(table(spark, rows), 10_000, least_words=12).collect()
+    assert sorted(((r["doc_id"], (r["text"] or "").split()) for r in left), key=repr) == sorted(want, key=repr)
+
+
+def test_stage_cuts_passages_of_51_words(spark):
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    shared, short, long = word("p", 51), word("q", 50), "x" * 400
+    assert len(shared) < 400
+    docs = table(spark, [(1, f"one {shared} two"), (2, f"three {shared} four"), (3, f"five {short} six"), (4, f"seven {short} eight"), (5, f"a {long} b"), (6, f"c {long} d")])
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert left == {1: "one  two", 2: "three  four", 3: f"five {short} six", 4: f"seven {short} eight", 5: "ab", 6: "cd"}
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 40)
     monkeypatch.setattr(topk, "QUERIES", 3)

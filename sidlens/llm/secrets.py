@@ -33,8 +33,12 @@ DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 IDENTIFIERS = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUID
     re.compile(r"[0-9_=+/-]+"),  # numbers, dates, rulers
-    re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*"),  # snake_case, kebab-case, paths of words
 )
+#: snake_case, kebab-case, paths of words; a part of LEAST_PART letters or more must itself tokenize as language does.
+JOINED = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))+")
+LEAST_PART = 8
+#: Rulers: one to four characters again and again.
+RULER = re.compile(r"([^0-9]{1,4}?)\1{4,}[^0-9]{0,3}")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -49,13 +53,18 @@ def encoding(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def ratio(run: str, vocabulary: str) -> float:
+    return len(run) / len(encoding(vocabulary).encode_ordinary(run))
+
+
 def is_random(run: str, vocabulary: str) -> bool:
     """Whether a run of key characters tokenizes too badly for language and isn't a known digest or identifier."""
-    if len(run) < LEAST_RANDOM or (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)) or any(p.fullmatch(run) for p in IDENTIFIERS):
+    if len(run) < LEAST_RANDOM or (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)) or any(p.fullmatch(run) for p in (*IDENTIFIERS, RULER)):
         return False
-    if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+    words = run if re.search("[0-9]", run) else run.strip("_/=+-")
+    if JOINED.fullmatch(words) and all(ratio(x, vocabulary) >= MOST_RATIO for x in re.findall("[A-Za-z]{%d,}" % LEAST_PART, run)):
         return False
-    return len(run) / len(encoding(vocabulary).encode_ordinary(run)) < MOST_RATIO
+    return ratio(run, vocabulary) < MOST_RATIO
 
 
 def find(text: str, vocabulary: str) -> list[tuple[int, int, str]]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -99,6 +100,17 @@ def test_secrets():
     assert secrets.find("paſſword=abcdefgh", v) == [] and secrets.find("", v) == []
 
 
+@pytest.mark.parametrize("alphabet", [string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters])
+def test_random_letters_are_secrets(alphabet):
+    v, rng = vocabulary("byte_bpe_50k.tiktoken"), random.Random(4)
+    keys = ["".join(rng.choices(alphabet, k=n)) for n in (24, 32, 40, 64) for _ in range(25)]
+    found = [secrets.redact(f"see {k} here", v) == "see [SECRET] here" for k in keys]
+    assert sum(found) >= 0.98 * len(keys)
+    assert secrets.is_random("-".join(keys[:2]), v)
+    for clean in ("internationalization", "INTERNATIONALIZATION", "getElementsByClassNameOrIdentifier", "some_long_identifier_name_here", "a-b-c-d-e-f-g-h-i-j-k-l-m", "z" * 50, "xy" * 20, "/usr/lib/x/y/z/w/v/u/t/s"):
+        assert secrets.find(clean, v) == []
+
+
 def test_secret_columns(spark):
     v = vocabulary("byte_bpe_50k.tiktoken")
     assert all(r["found"] == [] for r in secrets.scan_secrets(table(spark, EDGES), v).collect())

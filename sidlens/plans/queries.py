@@ -668,5 +668,5 @@ def catalog_argmax(fx: Fixtures) -> DataFrame:
 @query()
 def train_predictor(fx: Fixtures) -> DataFrame:
     train = _sid_examples(fx, "train")
-    net, report = predictor.train(train, predictor.vocabulary(train), epochs=2, sample=2000)
+    net, report = predictor.train(train, predictor.vocabulary(train))
     return fx.spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(report["losses"])], "epoch int, loss double")

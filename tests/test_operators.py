@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sidlens.operators import catalog, cooc, metrics, predictor, quality, rank, resample, sampling, transform
+from sidlens.plans import queries as plans
 from sidlens.plans.session import with_index
 
 A, B, C, X = "<a_1><b_1><c_1>", "<a_1><b_2><c_1>", "<a_2><b_1><c_1>", "<a_9><b_9><c_9>"
@@ -141,6 +142,23 @@ def test_predictor(spark):
     assert predictor.logits(good, v, net).count() == 2 * 3 * 4
 
 
+def test_training_takes_all_examples(spark):
+    rng = np.random.default_rng(1)
+    sid = lambda: f"<a_{rng.integers(3)}><b_{rng.integers(3)}><c_{rng.integers(3)}>"
+    e = spark.createDataFrame([(i, [x := sid(), sid()], x) for i in range(60)], "row_id long, history array<string>, target string")
+    v = predictor.vocabulary(e)
+    for shard in (100, 25):
+        net, report = predictor.train(e, v, epochs=12, dim=8, heads=2, rate=1e-2, batch=16, shard=shard)
+        again, _ = predictor.train(e.repartition(3), v, epochs=12, dim=8, heads=2, rate=1e-2, batch=16, shard=shard)
+        assert report["examples"] == 60 and len(report["losses"]) == 12 and report["losses"][-1] < 0.9 * report["losses"][0]
+        assert all(np.allclose(net.p[k], again.p[k]) for k in net.p)
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(predictor, "train", lambda *a, **k: seen.append((len(a), k)) or (None, {"losses": [1.0]}))
+        plans.QUERIES["train_predictor"](spark, "/root/testdata/sf0.001")
+    assert seen == [(2, {})]
+
+
 def test_gradient():
     net = predictor.Recommender(6, 8, 2, 2, 5, 1)
     rng = np.random.default_rng(0)

@@ -32,6 +32,8 @@ BITS = 1024
 CELL = 2048
 #: Members of an index entry beyond which it isn't looked up whether other entries have the same members.
 SAME = 1 << 18
+#: Sets of a component that one task compares with each other for links, as CELL for entries; they carry their elements.
+LINKED = 256
 #: Cost of comparing a pair that shares an entry by chance, in index entries: bitmaps of two members take about 0.2 microseconds, an entry that is written, dealt out and sorted about 2.
 PAIR_COST = 0.1
 
@@ -166,14 +168,58 @@ class Cell:
         return out
 
 
-def cell_pairs(members: DataFrame, bands: Bands, rooted: bool) -> DataFrame:
-    """Candidate pairs (a, b) of members (entry, fp, n, map[, root]): spanning ones, or with roots all between different roots."""
-    size = members.groupBy("entry").agg(F.count("*").alias("c")).where(F.col("c") > CELL)
-    n_blocks = F.coalesce(F.ceil(F.col("c") / CELL), F.lit(1)).cast("int")
+def _cells(members: DataFrame, cell: int, *columns: str) -> DataFrame:
+    """Members (entry, fp, ...) dealt to cells (entry, i, j): a large entry is cut into blocks, and each pair of blocks is a cell."""
+    size = members.groupBy("entry").agg(F.count("*").alias("c")).where(F.col("c") > cell)
+    n_blocks = F.coalesce(F.ceil(F.col("c") / cell), F.lit(1)).cast("int")
     rows = members.join(size, "entry", "left").withColumn("blocks", n_blocks).withColumn("side", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).drop("c")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("entry", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "fp", "n", "map", "side", *(["root"] if rooted else []))
-    dealt = rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j", "fp")
+    rows = rows.select("entry", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "fp", "n", "map", "side", *columns)
+    return rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j", "fp")
+
+
+def alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two ascending sets link."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def cell_links(sets: DataFrame, bands: Bands, counted: bool) -> DataFrame:
+    """All links (a, b) between sets (entry, fp, n, map, size, elements) of one component each; or counted, per cell and set (fp, n): of how many rows the sets are that it links to."""
+    dealt = _cells(sets, LINKED, "size", "elements")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(t: pa.Table) -> list[tuple[int, int]]:
+            maps = np.frombuffer(b"".join(t["map"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
+            cell = Cell(t["fp"].to_pylist(), t["n"].to_numpy(), maps, t["side"].to_numpy(), bands)
+            cell.across = t["i"][0].as_py() != t["j"][0].as_py()
+            own = [np.frombuffer(x, _U) for x in t["elements"].to_pylist()]
+            return [(i, k) for i in range(len(own) - 1) for k in cell.passing(i, np.arange(i + 1, len(own))).tolist() if alike(own[i], own[k], bands.num, bands.den)]
+
+        held: list[pa.Table] = []
+        for found in grouped(batches, ["entry", "i", "j"], held):
+            for t in found:
+                pairs, names, size = solve(t), t["fp"].to_pylist(), t["size"].to_numpy()
+                if not pairs:
+                    continue
+                if counted:
+                    n = np.zeros(len(names), np.int64)
+                    for i, k in pairs:
+                        n[i] += size[k]
+                        n[k] += size[i]
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.binary()), pa.array(n[at])], names=["fp", "n"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in pairs], pa.binary()), pa.array([names[k] for _, k in pairs], pa.binary())], names=["a", "b"])
+
+    return mapped(dealt, run, "fp binary, n long" if counted else "a binary, b binary")
+
+
+def cell_pairs(members: DataFrame, bands: Bands, rooted: bool) -> DataFrame:
+    """Candidate pairs (a, b) of members (entry, fp, n, map[, root]): spanning ones, or with roots all between different roots."""
+    dealt = _cells(members, CELL, *(["root"] if rooted else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(t: pa.Table) -> list[tuple[bytes, bytes]]:
@@ -212,8 +258,8 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], held: list[pa.Ta
 # ---------------------------------------------------------------- the join
 
 
-def similar_components(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: its id, n_shingles and component_id, the least id reachable by links.
+def similar_components(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text", count_links: bool = False) -> DataFrame:
+    """Per row: its id, n_shingles and component_id, the least id reachable by links; with count_links also n_links, the number of other rows that it links to.
 
     Two rows link when den * |intersection| >= num * |union| of their distinct
     `words`-word shingles; with fewer words, all of them are one shingle. Null and
@@ -221,6 +267,28 @@ def similar_components(documents: DataFrame, words: int = 5, num: int = 80, den:
     rows link with each other. A null id is no component's least unless it
     stands alone, then component_id is null. Other columns are ignored.
     """
+    index, nodes, roots, links = _join(documents, words, num, den, id_column, text_column)
+    known = nodes.select("fp", "id", "size").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = known.groupBy("root").agg(F.min("id").alias("component_id"))
+    of_set = known.join(least, "root").select("fp", "component_id", "size")
+    if count_links:
+        of_set = of_set.join(links(True).groupBy("fp").agg(F.sum("n").alias("others")), "fp", "left")
+    out = index.select("id", "n", "fp").join(of_set, "fp", "left")
+    n_links = [F.coalesce(F.col("size") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).alias("n_links")] if count_links else []
+    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *n_links)
+
+
+def similar_pairs(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """All links between different sets: (id_a, rows_a, id_b, rows_b). Rows of equal sets are one class, named by its least id, with its number of rows; they all link with each other. id_a is the lesser."""
+    _, nodes, _, links = _join(documents, words, num, den, id_column, text_column)
+    named = lambda x: nodes.select(F.col("fp").alias(x), F.struct("id", "size").alias(f"s{x}"))
+    r = links(False).join(named("a"), "a").join(named("b"), "b")
+    r = r.select(F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb"))
+    return r.select(F.col("sa.id").alias("id_a"), F.col("sa.size").alias("rows_a"), F.col("sb.id").alias("id_b"), F.col("sb.size").alias("rows_b"))
+
+
+def _join(documents: DataFrame, words: int, num: int, den: int, id_column: str, text_column: str):
+    """(rows with their set's name, distinct sets, roots of those that link, and a function that gives all links or their number per set)."""
     rows = documents.select(documents[id_column].alias("id"), documents[text_column].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -277,7 +345,7 @@ def similar_components(documents: DataFrame, words: int = 5, num: int = 80, den:
             yield found(entry, lo)
 
     members = mapped(shared, together, "entry long, lo long").distinct()
-    nodes = index.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.first("lo").alias("lo"), F.first("n").alias("n"), F.first("map").alias("map"), F.min("id").alias("id"))
+    nodes = index.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.first("lo").alias("lo"), F.first("n").alias("n"), F.first("map").alias("map"), F.min("id").alias("id"), F.count("*").alias("size"))
     nodes = saved(nodes, "sets")
     members = saved(members.join(nodes.select("lo", "fp", "n", "map"), "lo").drop("lo"), "members")
 
@@ -312,12 +380,7 @@ def similar_components(documents: DataFrame, words: int = 5, num: int = 80, den:
             for b in batches:
                 ok = []
                 for x, y in zip(b.column(2), b.column(3), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                    if len(x) > len(y):
-                        x, y = y, x
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    both = int((y[at] == x).sum())
-                    ok.append(den * both >= num * (len(x) + len(y) - both))
+                    ok.append(alike(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), num, den))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
         full = pairs.join(sets.select(F.col("fp").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("elements").alias("y")), "b")
@@ -331,13 +394,15 @@ def similar_components(documents: DataFrame, words: int = 5, num: int = 80, den:
     open_ = rooted.groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y")).select("entry")
     rest = cell_pairs(saved(rooted.join(open_, "entry", "left_semi"), "open"), bands, rooted=True).join(spanning.select("a", "b"), ["a", "b"], "left_anti")
     more = verified(rest).where("linked").select("a", "b")
-    roots = components(saved(links.union(more), "links"))
+    roots = saved(components(saved(links.union(more), "links")), "roots")
 
-    known = nodes.select("fp", "id").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = known.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_set = known.join(least, "root").select("fp", "component_id")
-    out = index.select("id", "n", "fp").join(of_set, "fp", "left")
-    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    def all_links(counted: bool) -> DataFrame:
+        """Linked sets lie in one component, so all of a component's sets are compared."""
+        sets = elements_of(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        of_root = roots.select(F.col("node").alias("fp"), F.xxhash64("root").alias("entry"))
+        return saved(cell_links(of_root.join(nodes.select("fp", "n", "map", "size"), "fp").join(sets, "fp"), bands, counted), "all-links")
+
+    return index, nodes, roots, all_links
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:

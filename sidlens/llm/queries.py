@@ -27,7 +27,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_components(documents(spark, sf_dir, "doc_id", "text"), words=3, num=90, den=100)
+    return jaccard_join.similar_components(documents(spark, sf_dir, "doc_id", "text"), words=3, num=90, den=100, count_links=True)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

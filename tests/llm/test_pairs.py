@@ -58,6 +58,24 @@ def test_components(spark, monkeypatch, words, num, cell):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == linked(rows, words, num)
 
 
+@pytest.mark.parametrize("cell", [256, 5])
+def test_links(spark, monkeypatch, cell):
+    monkeypatch.setattr(jaccard_join, "LINKED", cell)
+    rows = documents(160, 2) + [(1000, None), (1001, " "), (1002, "Word"), (1003, "wORD"), (7, "a b c d e f g")]
+    sets = [frozenset(exact(t, 2)) for _, t in rows]
+    link = lambda x, y: bool(x and y) and 100 * len(x & y) >= 60 * len(x | y)
+    got = jaccard_join.similar_components(table(spark, rows), 2, 60, count_links=True).collect()
+    want = [(d, sum(link(s, t) for j, t in enumerate(sets) if j != i)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == sorted(want)
+    classes = defaultdict(list)
+    for (d, _), s in zip(rows, sets, strict=True):
+        classes[s].append(d)
+    of = {s: (min(d), len(d)) for s, d in classes.items()}
+    pairs = {(*min(of[x], of[y]), *max(of[x], of[y])) for x in of for y in of if x != y and link(x, y)}
+    assert len(pairs) > len(of) and sorted(tuple(r) for r in jaccard_join.similar_pairs(table(spark, rows), 2, 60).collect()) == sorted(pairs)
+    assert "n_links" in QUERIES["op2_jaccard_components"](spark, "/root/testdata/sf0.001").columns
+
+
 def test_allocation_with_deletions():
     bands = jaccard_join.Bands(80, 100, {4: 10**9, 5: 10**9})
     assert bands.loose.max() > 0

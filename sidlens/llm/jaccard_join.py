@@ -405,10 +405,22 @@ def _join(documents: DataFrame, words: int, num: int, den: int, id_column: str,
     return index, nodes, roots, all_links
 
 
-def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """All columns of the rows that stay: of each component the one of the least id; rows without shingles or without an id all stay."""
-    found = similar_components(documents, **options)
-    id_column = options.get("id_column", "doc_id")
-    gone = found.where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col(id_column))).select(id_column).distinct()
-    kept = documents.join(gone, id_column, "left_anti")
-    return kept
+def one_of_each(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """All columns of the rows that stay: of each component one row, of the least id (a null id only if there is no other); rows without shingles all stay."""
+    index, _, roots, _ = _join(documents, words, num, den, id_column, text_column)
+    own = index.where(F.col("fp").isNotNull()).select("id", "fp").distinct()
+    own = own.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("x"))
+    chosen = saved(chosen.select(F.col("x.id").alias("_id"), F.col("x.fp").alias("_of")), "chosen")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, 1 << 20, text_column):
+            sets = shingles(*text_bytes(b.column(b.schema.get_field_index(text_column))), words)
+            fps = pa.array([name(x) if len(x) else None for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, fps], names=[*b.schema.names, "_fp"])
+
+    rows = mapped(documents, named, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", _fp binary")
+    bare = rows.where("_fp IS NULL").drop("_fp")
+    # A set is chosen once; of equal rows of that id one stays.
+    kept = rows.join(chosen, (F.col("_fp") == F.col("_of")) & F.col(id_column).eqNullSafe(F.col("_id"))).dropDuplicates(["_fp"])
+    return kept.select(*documents.columns).unionByName(bare)

@@ -97,6 +97,14 @@ def test_join_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
 
 
+def test_one_row_of_each_group(spark):
+    x, y, z = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = [(1, x), (1, x), (2, x), (None, y), (None, y), (3, z), (2, z), (1, "v w x y z a b"), (4, None), (4, None), (None, "")]
+    kept = jaccard_join.one_of_each(table(spark, rows)).collect()
+    want = [(1, x), (None, y), (2, z), (1, "v w x y z a b"), (4, None), (4, None), (None, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted(want, key=repr)
+
+
 def test_graph(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -649,7 +649,7 @@ def fit_pointwise(fx: Fixtures) -> DataFrame:
 
 @query()
 def fit_listwise(fx: Fixtures) -> DataFrame:
-    m = learn.fit_listwise(_listwise(fx), features.LISTWISE, epochs=20)
+    m = learn.fit_listwise(_listwise(fx), features.LISTWISE)
     return fx.spark.createDataFrame([(n, float(mu), float(s), float(w)) for n, mu, s, w in zip(m["features"], m["mean"], m["scale"], m["weights"], strict=True)], "feature string, mean double, scale double, weight double")
 
 

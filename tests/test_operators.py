@@ -159,6 +159,20 @@ def test_training_takes_all_examples(spark):
     assert seen == [(2, {})]
 
 
+def test_listwise_query_runs_the_default_epochs(monkeypatch):
+    seen = []
+    monkeypatch.setattr(plans, "_listwise", lambda fx: None)
+
+    def fit(*a, **k):
+        seen.append((len(a), k))
+        raise StopIteration
+
+    monkeypatch.setattr(plans.learn, "fit_listwise", fit)
+    with pytest.raises(StopIteration):
+        plans.QUERIES["fit_listwise"](None, "")
+    assert seen == [(2, {})]
+
+
 def test_gradient():
     net = predictor.Recommender(6, 8, 2, 2, 5, 1)
     rng = np.random.default_rng(0)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import hashlib
 import io
+import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -22,10 +28,13 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Unset, it is one of our own if all runs on this machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/checkpoints/sidlens"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{tempfile.gettempdir()}/checkpoints/sidlens-{os.getpid()}"
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
@@ -34,7 +43,17 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `saved` gave and that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,15 +73,50 @@ def ship(spark: SparkSession) -> None:
 
 
 #: Bytes of a batch between Spark and a Python worker, at most; it bounds what a worker holds of long texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+
+
+_kept: dict[tuple, object] = {}
+_used: set[tuple] = set()
+
+
+def kept(make: Callable) -> Callable:
+    """make(*key), once in a worker, until a task of another kind runs there."""
+
+    @wraps(make)
+    def one(*key):
+        at = (make.__qualname__, *key)
+        _used.add(at)
+        if at not in _kept:
+            _kept[at] = make(*key)
+        return _kept[at]
+
+    return one
+
+
+def given_back() -> None:
+    """What the task before this one didn't use, and what is free, goes back to the machine: a worker lives on for other tasks and stages."""
+    for at in set(_kept) - _used:
+        del _kept[at]
+    _used.clear()
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
 
 
 def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """mapInArrow with the package at hand and batches of bounded size."""
+    """mapInArrow with the package at hand and batches of bounded size. Spark reads the bound when a plan runs, so it stays set on the session, unless the session has one of its own."""
     spark = df.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            given_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -73,6 +127,14 @@ def whole(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name for a helper column that none of the columns has."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 # ---------------------------------------------------------------- Arrow
 
 
@@ -120,8 +182,6 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {"mult": np.ones(1, _U), "inverse": np.ones(1, _U)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -134,38 +194,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_codes(fold_case: bool) -> np.ndarray:
-    """A random 64-bit code for each byte; with fold_case, A-Z have those of a-z."""
-    codes = mix(np.arange(1, 257, dtype=_U) * _MULT)
-    if fold_case:
-        codes[65:91] = codes[97:123]
-    return codes
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse, mod 2**64."""
-    if len(_powers["mult"]) < n:
-        size = max(n, 2 * len(_powers["mult"]))
-        for name, base in (("mult", _MULT), ("inverse", _INVERSE)):
-            full = np.full(size, base, _U)
-            full[0] = 1
-            _powers[name] = np.cumprod(full, dtype=_U)
-    return _powers["mult"][:n], _powers["inverse"][:n]
-
-
-def prefix_hashes(data: np.ndarray, codes: np.ndarray | None) -> np.ndarray:
-    """P with P[j] - P[i], divided by the i-th power, a polynomial hash of data[i:j]. Without codes, data are codes themselves."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, _U)
-    np.cumsum((data if codes is None else codes[data]) * up[: len(data)], out=out[1:], dtype=_U)
+#: Chunks of 8 bytes up to which spans are hashed side by side; longer ones are hashed one by one.
+SIDE_BY_SIDE = 128
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end], chunk after chunk through `mix`, which isn't linear: no text makes others collide, as with polynomial hashes."""
+    size = ends - starts
+    out = mix((size.astype(_U) + _U(salt << 32)) * _MULT + _U(1))
+    if not len(size):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    at = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    order = np.argsort(-size, kind="stable")
+    size, begin = size[order], starts[order]
+    long = int(np.searchsorted(-size, -8 * SIDE_BY_SIDE, "left"))
+    h = out[order]
+    for i in range(long):
+        digest = hashlib.blake2b(data[begin[i] : begin[i] + size[i]].tobytes(), digest_size=8, salt=salt.to_bytes(2, "little")).digest()
+        h[i] = int.from_bytes(digest, "little")
+    size, begin, rest = size[long:], begin[long:], h[long:]
+    for c in range(0, int(size[0]) if len(size) else 0, 8):
+        n = int(np.searchsorted(-size, -c, "left"))  # spans with more than c bytes
+        word = at[begin[:n] + c]
+        short = int(np.searchsorted(-size[:n], -(c + 8), "right"))  # from here on the chunk isn't full
+        word[short:] &= (_U(1) << (_U(8) * (size[short:n] - c).astype(_U))) - _U(1)
+        rest[:n] = mix(rest[:n] ^ word)
+    out[order[:long]] = h[:long]
+    out[order[long:]] = rest
     return out
 
 
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, down = powers(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(_U))
-
-
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 
@@ -194,8 +256,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray, fold_case: bool = True) -> tup
     starts, ends = word_places(data, at)
     if not len(starts):
         return np.zeros(0, _U), np.zeros(len(at), np.int64)
-    prefix = prefix_hashes(data, byte_codes(fold_case))
-    return span_hashes(prefix, starts, ends), np.searchsorted(starts, at, "left")
+    return span_hashes(_LOWER[data] if fold_case else data, starts, ends), np.searchsorted(starts, at, "left")
 
 
 def shingles(data: np.ndarray, at: np.ndarray, n: int, fold_case: bool = True) -> list[np.ndarray]:
@@ -244,6 +305,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "x").where(F.col("y") > F.col("x")).select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
         lowest = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(lowest, "v").where(F.col("u") != F.col("m")).select(F.col("u").alias("v"), F.col("m").alias("u"))
-        e = saved(small.union(lowest.select("v", F.col("m").alias("u"))).distinct(), "edges")
+        last, e = e, saved(small.union(lowest.select("v", F.col("m").alias("u"))).distinct(), "edges")
+        dropped(last)
     roots = e.select(F.col("u").alias("node")).distinct()
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).union(roots.select("node", F.col("node").alias("root")))

@@ -18,15 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_codes, mapped, mix, powers, prefix_hashes, saved, span_hashes, text_bytes, word_hashes, word_places
+from .common import blocks, dropped, mapped, mix, saved, span_hashes, text_bytes, unused, word_hashes, word_places
 from .jaccard_join import grouped
 
 _U = np.uint64
 LENGTH = 400
-#: Contexts of a group beyond which it is cut by what surrounds the gram.
+#: Contexts of a group beyond which it is cut by what surrounds the gram; beyond it again, strings are counted one by one.
 GROUP = 2048
 #: Parts of the offsets for that, and bytes of contexts that are transformed together.
 PARTS, BLOCK = 8, 1 << 19
@@ -49,6 +49,18 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
+_MULT = _U(0x9E3779B97F4A7C15)
+
+
+def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k neighbours: a polynomial, so that it rolls. It only chooses and groups; grams that collide share a group, where bytes decide."""
+    n = len(symbols)
+    power, inverse = (np.cumprod(np.concatenate(([_U(1)], np.full(n, base, _U))), dtype=_U) for base in (_MULT, _U(pow(int(_MULT), -1, 1 << 64))))
+    prefix = np.zeros(n + 1, _U)
+    np.cumsum(symbols * power[:n], out=prefix[1:], dtype=_U)
+    return mix((prefix[k:] - prefix[:-k]) * inverse[: n - k + 1])
+
+
 def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Data: bytes, or hashes of words, which then count for bytes. Of each run of strings of `length` bytes within one row that share their least gram, the leftmost of equal ones: (row, start of the gram in the row, hash of the gram, hash of the context, bytes of it before the gram, its bytes)."""
     k = length // 4
@@ -56,9 +68,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, _U, _U, np.int64, np.int64))
-    prefix = prefix_hashes(data, byte_codes(False) if data.dtype == np.uint8 else None)
-    _, down = powers(n + 1)
-    grams = mix((prefix[k:] - prefix[:-k]) * down[: n - k + 1])
+    grams = gram_hashes(mix(np.arange(1, 257, dtype=_U) * _MULT)[data] if data.dtype == np.uint8 else data, k)
     placed = ((grams >> _PLACE) << _PLACE) | np.arange(n - k + 1, dtype=_U)
     least = (sliding(placed, w, np.minimum) & _U((1 << int(_PLACE)) - 1)).astype(np.int64)  # of the string that starts at each byte
     row = np.searchsorted(at, np.arange(n - length + 1), "right") - 1
@@ -69,7 +79,8 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (row[1:] != row[:-1]))))
     first, last = valid[new], valid[np.append(new[1:], len(valid)) - 1]
     gram, row, end = least[new], row[new], last + length
-    context = mix(span_hashes(prefix, first, end) + (gram - first).astype(_U) * _U(0x9E3779B97F4A7C15))
+    unit = data.dtype.itemsize
+    context = mix(span_hashes(data.view(np.uint8), first * unit, end * unit) + (gram - first).astype(_U) * _MULT)
     return row, gram - at[row], grams[gram], context, gram - first, end - first
 
 
@@ -224,38 +235,13 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str =
             lo = np.array([_lo(raw[a:z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(lo[row]), *(pa.array(x.astype(np.int32)) for x in (start, before, size))], names=["gram", "context", "id", "lo", "start", "before", "size"])
 
-    placed = f"gram long, context long, id {kind}, lo long, start int, before int, size int"
-    dealt = mapped(rows, anchored, placed).repartition("gram").sortWithinPartitions("gram", "context")
-
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Drops grams that occur once, and marks each context's first row (`first`) and whether it has more (`all`). The last row waits for the next batch."""
-        last, multiple, begun = None, False, True
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks()
-            g, c = t["gram"].to_numpy(), t["context"].to_numpy()
-            same_gram = g[1:] == g[:-1]
-            same = same_gram & (c[1:] == c[:-1])
-            keep, first, more = np.zeros(len(g), bool), np.ones(len(g), bool), np.zeros(len(g), bool)
-            keep[1:] = same_gram
-            keep[:-1] |= same_gram
-            keep[0] |= multiple
-            first[1:] = ~same
-            if last is not None:
-                first[0] = begun
-            more[:-1] = same
-            last, multiple, begun = t.slice(len(g) - 1).to_batches()[0], bool(keep[-1]), bool(first[-1])
-            keep[-1] = False
-            yield from t.append_column("first", pa.array(first)).append_column("all", pa.array(more)).filter(pa.array(keep)).to_batches()
-        if last is not None and multiple:
-            yield from pa.Table.from_batches([last]).append_column("first", pa.array([begun])).append_column("all", pa.array([False])).to_batches()
-
-    met = saved(mapped(dealt, together, placed + ", first boolean, all boolean"), "grams")
-    # Equal contexts are one; where it occurs more than once all of it repeats. A group of such contexts only has nothing more to say.
-    w = Window.partitionBy("gram")
-    distinct = met.where("first").withColumn("c", F.count("*").over(w)).withColumn("known", F.min("all").over(w))
-    open_ = saved(distinct.where("c > 1 AND NOT known").select("gram", "context", "all", (F.col("c") > GROUP).alias("large"), "id", "lo", "start", "before", "size"), "contexts")
+    occurring = saved(mapped(rows, anchored, f"gram long, context long, id {kind}, lo long, start int, before int, size int"), "occurrences")
+    # Equal contexts are one; where it occurs more than once all of it repeats. Counts are summed before they are dealt out, so a frequent gram or context is no task's burden.
+    one = [F.first(c).alias(c) for c in ("id", "lo", "start", "before", "size")]
+    distinct = saved(occurring.groupBy("gram", "context").agg((F.count("*") > 1).alias("all"), *one), "contexts")
+    # A group of contexts that all occur more than once has nothing more to say, nor has one context alone.
+    asking = distinct.groupBy("gram").agg(F.count("*").alias("c"), F.min("all").alias("known")).where("c > 1 AND NOT known")
+    open_ = saved(distinct.join(asking, "gram").select("gram", "context", "all", (F.col("c") > GROUP).alias("large"), "id", "lo", "start", "before", "size"), "open")
     asked = open_.groupBy("id", "lo").agg(F.collect_list(F.struct("gram", "context", "all", "large", "start", "before", "size")).alias("asked"))
     ask = asked.select(F.col("id").alias("of"), F.col("lo").alias("of_lo"), "asked").join(_possible(rows, _filter(open_)), F.col("of").eqNullSafe(F.col("id")) & (F.col("of_lo") == F.col("lo"))).select("lo", "asked", "text")
 
@@ -288,15 +274,24 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str =
             key, gram, context, whole, left, raw = zip(*values, strict=True) if values else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(gram, pa.int64()), pa.array(context, pa.int64()), pa.array(whole, pa.bool_()), pa.array(left, pa.int64()), pa.array(raw, pa.binary())], names=["key", "gram", "context", "all", "left", "raw"])
 
-    contexts = mapped(ask, cut, "key long, gram long, context long, all boolean, left long, raw binary").dropDuplicates(["key", "gram", "context"])
-    contexts = contexts.repartition("key").sortWithinPartitions("key")
+    windows = saved(mapped(ask, cut, "key long, gram long, context long, all boolean, left long, raw binary"), "windows")
+    # Cut groups that are large still.
+    huge = windows.where(F.col("key") != F.col("gram")).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > GROUP).select("key")
+    huge = saved(huge, "huge")
+    few = windows.join(huge, "key", "left_anti").repartition("key").sortWithinPartitions("key", "gram", "context")
 
     def expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(gram, context, spans relative to the gram) of contexts that others of their group repeat."""
 
         def solve(tables: list[pa.Table]) -> pa.RecordBatch:
             group = np.repeat(np.arange(len(tables)), [t.num_rows for t in tables])
-            t = pa.concat_tables(tables)
+            t = pa.concat_tables(tables).combine_chunks()
+            # Rows of one id and text give a window each.
+            new = np.ones(t.num_rows, bool)
+            for c in (group, *(t[c].to_numpy() for c in ("gram", "context"))):
+                new[1:] &= c[1:] == c[:-1]
+            new[1:] = ~new[1:]
+            t, group = t.filter(pa.array(new)), group[new]
             left = t["left"].to_numpy()
             found = repeated_starts(t["raw"].to_pylist(), group, left, length, unit)
             gram, context, whole = t["gram"].to_pylist(), t["context"].to_pylist(), t["all"].to_pylist()
@@ -323,42 +318,65 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str =
         if waiting:
             yield solve(waiting)
 
-    parts = mapped(contexts, expanded, "gram long, context long, `from` long, `to` long")
-    whole = met.where("first AND all").select("gram", "context", (-F.col("before")).cast("long").alias("from"), (F.col("size") - F.col("before")).cast("long").alias("to"))
-    spans = parts.union(whole)
-    hit = met.select("gram", "context", "id", "lo", "start").join(spans, ["gram", "context"]).select("id", "lo", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"))
-    return saved(hit.groupBy("id", "lo").agg(F.collect_set(F.struct("from", "to")).alias("spans")), "spans")
+    spans = mapped(few, expanded, "gram long, context long, `from` long, `to` long")
+    spans = spans.union(_counted(windows.join(huge, "key", "left_semi").dropDuplicates(["key", "gram", "context"]), length, unit))
+    spans = spans.union(distinct.where("all").select("gram", "context", (-F.col("before")).cast("long").alias("from"), (F.col("size") - F.col("before")).cast("long").alias("to")))
+    hit = occurring.select("gram", "context", "id", "lo", "start").join(spans, ["gram", "context"]).select("id", "lo", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"))
+    out = saved(hit.groupBy("id", "lo").agg(F.collect_set(F.struct("from", "to")).alias("spans")), "spans")
+    dropped(occurring, distinct, open_, windows, huge)
+    return out
 
 
-def _possible(rows: DataFrame, bits: np.ndarray, wanted: bool = True, text_column: str = "text") -> DataFrame:
-    """The rows, with `lo`, whose texts the filter lets through; or those that it doesn't."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lo long"
+def _counted(contexts: DataFrame, length: int, unit: int) -> DataFrame:
+    """(gram, context, from, to) of the strings that several windows (key, gram, context, left, raw) of one key hold at the same distance from the gram. They share all but the ends of these strings, so each window has few; their counts are summed before they are dealt out."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, start, digest = [], [], []
+            for i, (left, raw) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                for s in range(len(raw) // unit - length + 1):
+                    own.append(i)
+                    start.append(s - left)
+                    digest.append(hashlib.blake2b(raw[s * unit : (s + length) * unit], digest_size=16).digest())
+            at = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(3)), pa.array(start, pa.int64()), pa.array(digest, pa.binary())], names=["key", "gram", "context", "from", "string"])
+
+    held = mapped(contexts, strings, "key long, gram long, context long, `from` long, string binary")
+    # A digest has 16 bytes; equal ones are equal strings.
+    twice = held.groupBy("key", "from", "string").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    return held.join(twice, ["key", "from", "string"]).select("gram", "context", "from", (F.col("from") + length).alias("to"))
+
+
+def _possible(rows: DataFrame, bits: np.ndarray, wanted: bool = True, text_column: str = "text", lo: str = "lo") -> DataFrame:
+    """The rows, with a column `lo`, whose texts the filter lets through; or those that it doesn't."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{lo}` long"
     names, shared = rows.columns, rows.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lo = [_lo((x or "").encode()) for x in b.column(b.schema.get_field_index(text_column)).to_pylist()]
-            full = pa.RecordBatch.from_arrays([*b.columns, pa.array(lo, pa.int64())], names=[*names, "lo"])
-            yield full.filter(pa.array(_in_filter(shared.value, lo) == wanted))
+            found = [_lo((x or "").encode()) for x in b.column(b.schema.get_field_index(text_column)).to_pylist()]
+            full = pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], names=[*names, lo])
+            yield full.filter(pa.array(_in_filter(shared.value, found) == wanted))
 
     return mapped(rows, run, schema)
 
 
 def _with_spans(documents: DataFrame, length: int, id_column: str, text_column: str, least_words: int | None = None) -> DataFrame:
-    """All rows and columns, with `_spans`, null for most. Texts that surely have none aren't joined."""
+    """All rows and columns, and last the spans, null for most. Texts that surely have none aren't joined."""
     spans = repeated_spans(documents, length, id_column, text_column)
     if least_words is not None:
         told = lambda df, words: df.select("id", "lo", F.transform("spans", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), F.lit(words).alias("words"))).alias("spans"))
-        both = told(spans, False).union(told(repeated_spans(documents, least_words, id_column, text_column, words=True), True))
+        parts = spans, repeated_spans(documents, least_words, id_column, text_column, words=True)
+        both = told(parts[0], False).union(told(parts[1], True))
         spans = saved(both.groupBy("id", "lo").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+        dropped(*parts)
     bits = _filter(spans)
-    held = documents.withColumnRenamed("lo", "_own_lo") if "lo" in documents.columns else documents
-    found = spans.select(F.col("id").alias("_id"), F.col("lo").alias("_of"), F.col("spans").alias("_spans"))
-    rows = _possible(held, bits, True, text_column)
-    joined = rows.join(found, (F.col("_of") == F.col("lo")) & F.col("_id").eqNullSafe(F.col(id_column)), "left").drop("_id", "_of", "lo")
-    others = _possible(held, bits, False, text_column).drop("lo").withColumn("_spans", F.lit(None).cast(joined.schema["_spans"].dataType))
-    out = joined.unionByName(others)
-    return out.withColumnRenamed("_own_lo", "lo") if "_own_lo" in out.columns else out
+    lo, own, of, found = (unused(c, documents.columns) for c in ("lo", "id", "of", "spans"))
+    spans = spans.select(F.col("id").alias(own), F.col("lo").alias(of), F.col("spans").alias(found))
+    rows = _possible(documents, bits, True, text_column, lo)
+    joined = rows.join(spans, (F.col(of) == F.col(lo)) & F.col(own).eqNullSafe(F.col(id_column)), "left").drop(own, of, lo)
+    others = _possible(documents, bits, False, text_column, lo).drop(lo).withColumn(found, F.lit(None).cast(joined.schema[found].dataType))
+    return joined.unionByName(others)
 
 
 def _merged(spans, n: int) -> list[tuple[int, int]]:
@@ -384,29 +402,34 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def measure_repeats(documents: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans and kept_sha256 of what stays.
+def measure_repeats(documents: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", least_words: int | None = None) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans and kept_sha256 of what stays; with least_words also n_repeated_words.
 
     Removed is each byte that lies in a string of `length` bytes which also
     starts anywhere else, in the same text or another; strings lie within one
-    text. Null counts as empty; repeated rows repeat each other; null ids are
-    ids like others; other columns are ignored.
+    text. n_repeated_words counts the words in runs of least_words words that
+    start anywhere else, however few bytes they have; white space between them
+    doesn't count. Null counts as empty; repeated rows repeat each other; null
+    ids are ids like others; other columns are ignored.
     """
-    rows = _with_spans(documents.select(documents[id_column].alias("id"), documents[text_column].alias("text")), length, "id", "text")
+    rows = _with_spans(documents.select(documents[id_column].alias("id"), documents[text_column].alias("text")), length, "id", "text", least_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            n, gone, many, digest = [], [], [], []
+            n, gone, many, digest, repeated = [], [], [], [], []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                merged = _merged(spans, len(raw))
+                merged = _merged([s for s in spans or [] if not s.get("words")], len(raw))
                 n.append(len(raw))
                 gone.append(sum(e - s for s, e in merged))
                 many.append(len(merged))
                 digest.append(hashlib.sha256(_kept(raw, merged)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, many)), pa.array(digest, pa.string())], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                repeated.append(sum(e - s for s, e in _merged([s for s in spans or [] if s.get("words")], len(raw))))
+            columns = [b.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, many)), pa.array(digest, pa.string()), pa.array(repeated, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
-    return mapped(rows, run, f"`{id_column}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    names = [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_repeated_words"] if least_words else [])]
+    return mapped(rows, run, f"`{id_column}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_repeated_words long" * bool(least_words))
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", count_column: str | None = "n_chars", least_words: int | None = None) -> DataFrame:

@@ -11,14 +11,13 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import blocks, mapped, texts
+from .common import blocks, kept, mapped, texts
 
 #: Fixed value: how byte-level vocabularies split text before merging.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -251,7 +250,7 @@ class ByteBPE:
         return b"".join(self.bytes_of.get(i, b"") for i in ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@kept
 def byte_bpe(path: str) -> ByteBPE:
     return ByteBPE(path)
 

@@ -16,8 +16,8 @@ from .common import blocks, mapped, shingles, text_bytes
 
 #: Hashes kept, bits of each, words in a shingle.
 K, BITS, WORDS = 128, 48, 5
-#: Tasks that the order of ids is dealt to, at most.
-MOST_RANGES = 4096
+#: Ranges that the order of ids is dealt to, at most, a task each: the driver gets a row for each of them. Sampled keys for their borders, which only decide how even they are.
+MOST_RANGES, BORDER_SAMPLE = 1 << 15, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -102,79 +102,68 @@ def likeness_to_edited(documents: DataFrame, k: int = K, id_column: str = "doc_i
 
     Columns: id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. Null texts count as empty; null ids come first; rows
-    of equal id follow each other by text. A single row is its own next.
+    of equal id follow each other by a hash of the text. A single row is its own
+    next. Ids are numbers, texts or whatever Python orders as Spark does.
 
     Rows are dealt to ranges of the order, one task each, and the first row of
-    each range is also given to the range before. What the driver gets is one
-    row per range.
+    each range is also given to the range before.
     """
     import zstandard
 
-    rows = documents.select(documents[id_column].alias("id"), F.coalesce(documents[text_column], F.lit("")).alias("text"))
+    text = F.coalesce(documents[text_column], F.lit(""))
+    rows = documents.select(documents[id_column].alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     kind = rows.schema["id"].dataType.simpleString()
-
-    if rows.schema["id"].dataType.typeName() not in ("byte", "short", "integer", "long", "float", "double"):
-        raise TypeError(f"{id_column} must be a number")
     n = min(MOST_RANGES, max(1, rows.rdd.getNumPartitions()))
-    # Quantiles of the ids, n - 1 numbers; their accuracy only decides how even the ranges are.
+    key = lambda i, h: (False, None, h) if i is None else (True, i, h)
     edges: list = []
     if n > 1:
-        edges = sorted(set(rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []))
-
-    def range_of(i) -> int:
-        return 0 if i is None else bisect_right(edges, i)
+        found = sorted(key(*r) for r in rows.select("id", "hash").orderBy(F.xxhash64("id", "hash")).limit(min(32 * n, BORDER_SAMPLE)).collect())
+        edges = sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
 
+    # The first key of each range that has rows: one row per range for the driver.
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([range_of(i) for i in ids.to_pylist()], pa.int32())], names=["id", "range"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([bisect_right(edges, key(i, h)) for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.int32())], names=["id", "hash", "range"])
 
-    # The first id of each range that has rows: one row per range for the driver.
-    heads = {r["range"]: (r["null"], r["id"]) for r in mapped(rows.select("id"), binned, f"id {kind}, range int").groupBy("range").agg(F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("null")).collect()}
-    present = sorted(heads)
-    before = {r: present[i - 1] for i, r in enumerate(present)}
+    ranges = mapped(rows.select("id", "hash"), binned, f"id {kind}, hash long, range int").groupBy("range")
+    first = F.struct(F.col("id").isNotNull().alias("k"), "id", "hash")
+    heads = {r["range"]: key(r["x"]["id"], r["x"]["hash"]) for r in ranges.agg(F.min(first).alias("x")).collect()}
+    present = {r: i for i, r in enumerate(sorted(heads))}  # range numbers without gaps
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for b in blocks(batches):
             row, to, borrowed = [], [], []
-            for k, i in enumerate(b.column(0).to_pylist()):
-                r = range_of(i)
+            for k, at in enumerate(map(key, b.column(0).to_pylist(), b.column(2).to_pylist())):
+                r = bisect_right(edges, at)
                 row.append(k)
-                to.append(r)
+                to.append(present[r])
                 borrowed.append(0)
-                null, least = heads[r]
-                if (i is None) if null else (i == least):
+                if at == heads[r]:
                     row.append(k)
-                    to.append(before[r])
+                    to.append((present[r] - 1) % len(present))
                     borrowed.append(1)
             z = pa.array([press.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), z.take(at), pa.array(to, pa.int32()), pa.array(borrowed, pa.int32())], names=["id", "z", "range", "borrowed"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), z.take(at), pa.array(to, pa.int32()), pa.array(borrowed, pa.int32())], names=["id", "hash", "z", "range", "borrowed"])
 
-    ordered = mapped(rows, dealt, f"id {kind}, z binary, range int, borrowed int").repartition(max(2, len(present)), "range").sortWithinPartitions("range", "borrowed", F.col("id").asc_nulls_first())
+    spread = mapped(rows, dealt, f"id {kind}, hash long, z binary, range int, borrowed int").repartitionById(max(1, len(present)), "range")
+    ordered = spread.sortWithinPartitions("range", "borrowed", F.col("id").asc_nulls_first(), "hash")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
 
-        def stream():
-            """(range, borrowed, id, text); rows of equal id by text."""
-            held: list[tuple] = []
-            for b in batches:
-                for i, z, own, borrowed in zip(b.column(0), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    row = (own, borrowed, i.as_py(), unpress.decompress(z.as_py()).decode())
-                    if held and held[0][:3] != row[:3]:
-                        yield from sorted(held, key=lambda r: r[3])
-                        held = []
-                    held.append(row)
-            yield from sorted(held, key=lambda r: r[3])
-
         def pairs():
+            """(id, text, the next row's text) of each row that isn't borrowed; at most one borrowed row of a range has a use."""
             last = None
-            for row in stream():
-                if last is not None and row[0] == last[0]:
-                    yield last[2], last[3], row[3]
-                last = None if row[1] else row
+            for b in batches:
+                for i, z, own, borrowed in zip(b.column(0), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                    if last is None and borrowed:
+                        continue
+                    text = unpress.decompress(z.as_py()).decode()
+                    if last is not None and own == last[0]:
+                        yield last[1], last[2], text
+                    last = None if borrowed else (own, i.as_py(), text)
 
         names = [id_column, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

@@ -19,8 +19,8 @@ CHUNK, STEP = 512, 448
 FILTERS, WIDTH = 16, 5
 #: Documents whose probability lies below are rejected.
 THRESHOLD = 0.7
-#: Bound of the labelled sample that the classifier is fitted on, and of the chunks of each text that a step of training sees.
-SAMPLE, TRAINING_CHUNKS = 2000, 6
+#: Bound of the labelled rows that the classifier is fitted on; it sees all chunks of their texts.
+SAMPLE = 2000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -96,21 +96,15 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 14, rate: floa
         step = rate * (1 - epoch / epochs)
         for lo in range(0, len(order), 32):
             rows = order[lo : lo + 32]
-            chunks, owner = [], []
-            for k, i in enumerate(rows):
-                starts = chunk_starts(len(raw[i]))
-                if len(starts) > TRAINING_CHUNKS:
-                    starts = rng.choice(starts, TRAINING_CHUNKS, replace=False)
-                for s in starts:
-                    c = np.zeros(CHUNK, np.uint8)
-                    piece = raw[i][s : s + CHUNK]
-                    c[: len(piece)] = piece
-                    chunks.append(c)
-                    owner.append(k)
-            chunks, owner = np.stack(chunks), np.array(owner)
-            conv = net.convolve(chunks)
-            where = conv.argmax(1)
-            best = np.take_along_axis(conv, where[:, None, :], 1)[:, 0, :] + net.bias
+            chunks, first = chunk_table(np.concatenate([raw[i] for i in rows]), np.cumsum([0, *(len(raw[i]) for i in rows)]))
+            owner = np.repeat(np.arange(len(rows)), np.diff(first))
+            parts = []
+            for c in range(0, len(chunks), 64):
+                conv = net.convolve(chunks[c : c + 64])
+                at = conv.argmax(1)
+                parts.append((at, np.take_along_axis(conv, at[:, None, :], 1)[:, 0, :]))
+            where, best = (np.concatenate(x) for x in zip(*parts, strict=True))
+            best += net.bias
             act = np.tanh(np.maximum(best, 0))
             per = np.bincount(owner, minlength=len(rows)).astype(np.float32)
             mean = np.zeros((len(rows), FILTERS), np.float32)
@@ -142,21 +136,22 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 14, rate: floa
     return net
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most `sample` labelled rows (text, quality), none of them held out: those of the least hashed ids. Labels that are null or neither 0 nor 1 are left out; of repeated labels of an id the least counts."""
+def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:
+    """At most `sample` labelled rows (id, text, quality), none of them held out: those of the least hashed ids. Labels that are null or neither 0 nor 1 are left out; of repeated labels of an id the least counts, of its texts the least."""
+    ids = labels.select(labels[id_column].alias("id"), labels[label_column].alias("quality"))
     known = (
-        labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id")
+        ids.where(F.col("quality").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
+        .groupBy("id")
         .agg(F.min("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .orderBy(F.xxhash64("id"), "id")
         .limit(sample)
     )
-    rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).select("doc_id", "text", "quality")
+    rows = documents.select(documents[id_column].alias("id"), documents[text_column].alias("text")).join(F.broadcast(known), "id")  # `sample` rows
+    return rows.groupBy("id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).select("id", "text", "quality")
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteCNN:
-    rows = sorted(training_rows(documents, labels, sample).collect(), key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, **columns: str) -> ByteCNN:
+    rows = sorted(training_rows(documents, labels, sample, **columns).collect(), key=lambda r: zlib.crc32(str(r["id"]).encode()))
     return fit([r["text"] for r in rows], [r["quality"] for r in rows])
 
 

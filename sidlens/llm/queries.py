@@ -13,6 +13,10 @@ from . import bpe, fingerprint, jaccard_join, packing, quality, secrets, suffix_
 from .common import documents
 
 
+#: Words of a passage that op8 counts as repeated in its further column.
+PASSAGE_WORDS = 51
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file: in the folder SIDLENS_TOKENIZERS names, else where the package public_tokenizers is installed."""
     folder = os.environ.get("SIDLENS_TOKENIZERS")
@@ -56,7 +60,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.measure_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return suffix_dedup.measure_repeats(documents(spark, sf_dir, "doc_id", "text"), least_words=PASSAGE_WORDS)
 
 
 def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,11 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, mapped, texts
+from .common import blocks, kept, mapped, texts
 
 #: The patterns of the base scan, in the order of their kinds.
 KINDS = ("assign", "access", "hex", "random")
@@ -21,7 +20,7 @@ HEX = re.compile(r"[0-9a-f]+")
 #: Least length: of group 2 of an assignment, of an access key, of a run of hex digits.
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
-#: Runs of the characters of keys and of encoded bytes; shorter ones than LEAST_RANDOM are not weighed.
+#: Runs of the characters of keys and of encoded bytes; a dot ends one, for it also ends sentences. Shorter ones than LEAST_RANDOM are not weighed.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_RANDOM = 20
 #: Characters per token under which a run is random. English prose has above 4, base64 of random bytes about 1.4, hex digits about 1.7.
@@ -42,7 +41,7 @@ RULER = re.compile(r"([^0-9]{1,4}?)\1{4,}[^0-9]{0,3}")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=2)
+@kept
 def encoding(path: str):
     import tiktoken
 
@@ -76,12 +75,36 @@ def find(text: str, vocabulary: str) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     out += [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)]
-    base = list(out)
+    out.sort()
+    base, covered = iter(united(out)), (0, 0)
+    random = []
     for m in RUN.finditer(text):
-        s, e = m.span()
-        if not any(a < e and s < b for a, _, b in base) and is_random(m[0], vocabulary):
-            out.append((s, 3, e))
-    return sorted(out)
+        at, end = m.span()
+        # What base spans leave of the run is weighed by itself.
+        while covered is not None and at < end:
+            if covered[1] <= at:
+                covered = next(base, None)
+                continue
+            stop = min(end, max(at, covered[0]))
+            random += [(at, 3, stop)] if stop - at >= LEAST_RANDOM and is_random(text[at:stop], vocabulary) else []
+            if covered[0] >= end:
+                at = end
+                break
+            at = covered[1]
+        if end - at >= LEAST_RANDOM and is_random(text[at:end], vocabulary):
+            random.append((at, 3, end))
+    return sorted(out + random)
+
+
+def united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of sorted spans (start, kind, end), overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, _, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 #: Of maximal runs only long ones count, so those are searched for.

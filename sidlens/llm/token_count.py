@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,7 +96,7 @@ class UnigramCounter:
         return sum(map(known.__getitem__, parts))
 
 
-@lru_cache(maxsize=2)
+@kept
 def counter(path: str) -> UnigramCounter:
     return UnigramCounter(path)
 

@@ -1,4 +1,12 @@
-"""Exact top-k search by pivot-table elimination."""
+"""Exact top-k search by pivot-table elimination.
+
+The table holds each vector's distances to pivots, of which the origin is one.
+They fix the vector's place in the space that the pivots span and its distance
+from that space, so the largest lower bound that they allow for the distance of a
+query and a candidate is that of two points with those coordinates. It gives an
+upper bound of the inner product; candidates are evaluated in the order of the
+bounds until the k-th score exceeds all that are left.
+"""
 
 from __future__ import annotations
 
@@ -9,148 +17,191 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, saved
+from .common import dropped, mapped, saved
 
-#: Pivots, and the vectors they are chosen from.
-PIVOTS, PIVOT_SAMPLE = 32, 1024
-#: Rows of a block of candidates and of queries.
-CANDIDATES, QUERIES = 8192, 1024
+#: Pivots besides the origin, and the vectors they are chosen from.
+PIVOTS, PIVOT_SAMPLE = 48, 1024
+#: Rows of a block of candidates and of queries, and queries whose bounds are held at a time.
+CANDIDATES, QUERIES, ROWS = 4096, 8192, 256
 SCALE = 256
-#: More than the rounding of a distance, for bounds that stay bounds.
-SLACK = 1e-6
+#: More than the rounding of a bound relative to the norms, for bounds that stay bounds.
+SLACK = 1e-7
 #: Candidates evaluated before a query's bound is looked at again.
-STEP = 256
+STEP = 32
 
 
-def quantized(vector: np.ndarray) -> np.ndarray:
-    return np.floor(vector * float(SCALE)).astype(np.int64)
+def quantized(vectors: np.ndarray) -> np.ndarray:
+    """floor(256 x). Components that leave 31 bits are an error, for their scores would leave 64."""
+    out = np.floor(vectors * float(SCALE))
+    if out.size and np.abs(out).max() >= 2**31 - 1:
+        raise ValueError("components of 2**23 or more can't be scored in 64 bits")
+    return out.astype(np.int32)
 
 
 def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
-    """Farthest-first from a bounded sample: each next pivot lies farthest from those before."""
-    if not len(sample):
-        return sample
-    x = sample.astype(np.float64)
-    chosen = [int(((x - x.mean(0)) ** 2).sum(1).argmax())]
-    far = ((x - x[chosen[0]]) ** 2).sum(1)
-    while len(chosen) < min(n, len(x)) and far.max() > 0:
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+    """Farthest-first from a bounded sample: each next pivot lies farthest from the space that those before span."""
+    left = sample.astype(np.float64)
+    chosen: list[int] = []
+    size = (left**2).sum(1)
+    least = 1e-9 * size.max(initial=0)
+    while len(chosen) < min(n, *sample.shape) and size.max(initial=0) > least:
+        i = int(size.argmax())
+        chosen.append(i)
+        unit = left[i] / np.sqrt(size[i])
+        left -= (left @ unit)[:, None] * unit
+        size = (left**2).sum(1)
     return sample[chosen]
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The pivot table: Euclidean distances of each row to each pivot."""
-    a, p = x.astype(np.float64), pivots.astype(np.float64)
-    return np.stack([np.sqrt(((a - v) ** 2).sum(1)) for v in p], 1) if len(p) else np.zeros((len(a), 0))
+    """The pivot table: Euclidean distances of each row to the origin and each pivot."""
+    a = x.astype(np.float64)
+    return np.stack([np.sqrt(((a - p) ** 2).sum(1)) for p in (np.zeros(a.shape[1]), *pivots.astype(np.float64))], 1)
+
+
+def coordinates(table: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """From a row's distances its coordinates in the space of the pivots, and last its distance from that space. The product of two rows is an upper bound of the vectors' own."""
+    p = pivots.astype(np.float64)
+    square = table**2
+    if len(p):
+        inner = (square[:, :1] + (p**2).sum(1) - square[:, 1:]) / 2
+        inside = np.linalg.solve(np.linalg.cholesky(p @ p.T), inner.T).T
+    else:
+        inside = np.zeros((len(table), 0))
+    rest = np.sqrt(np.maximum(square[:, 0] - (inside**2).sum(1), 0))
+    return np.concatenate([inside, rest[:, None]], 1)
 
 
 def products(a: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Exact inner products of rows with one vector: in doubles where no sum can leave 2**53."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(v).max(initial=0)) * a.shape[1]
-    return (a.astype(np.float64) @ v.astype(np.float64)).astype(np.int64) if most < 2**53 else a @ v
-
-
-def search_block(q_ids, q, q_table, ids, x, table, k: int) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score): each query's k best of one block.
-
-    |d(q, p) - d(x, p)| of any pivot bounds d(q, x) from below, hence the inner
-    product from above. Candidates go in order of that bound until the k-th
-    score so far exceeds all bounds left; at equality the search goes on, for
-    ties belong to the smaller id.
-    """
-    out = []
-    norms = (x.astype(np.float64) ** 2).sum(1)
-    for qi, v, t in zip(q_ids.tolist(), q, q_table, strict=True):
-        lower = np.abs(table - t).max(1, initial=0)
-        lower = np.maximum(lower - SLACK * (1 + lower), 0)
-        norm = float((v.astype(np.float64) ** 2).sum())
-        bound = (norm + norms - lower**2) / 2
-        bound += SLACK * (1 + np.abs(bound))
-        order = np.argsort(-bound)
-        own_ids, own_scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for lo in range(0, len(order), STEP):
-            if len(own_ids) == k and own_scores[-1] > bound[order[lo]]:
-                break
-            part = order[lo : lo + STEP]
-            part = part[ids[part] != qi]
-            own_ids = np.concatenate([own_ids, ids[part]])
-            own_scores = np.concatenate([own_scores, products(x[part], v)])
-            best = np.lexsort((own_ids, -own_scores))[:k]
-            own_ids, own_scores = own_ids[best], own_scores[best]
-        out += [(qi, int(i), int(s)) for i, s in zip(own_ids, own_scores, strict=True)]
-    return out
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """Per query its k best other rows by exact inner product of quantized vectors: query_id, rank, vec_id, score.
-
-    Vectors that are null or hold null or non-finite components take no part,
-    nor do rows without an id. Vectors of another length than most take no part
-    either. Whole-row repetitions count once; rows that share the query's id are
-    its own. Ties go to the smaller id. Fewer candidates than k: all of them.
+    if most < 2**53:
+        return (a.astype(np.float64) @ v.astype(np.float64)).astype(np.int64)
+    if most >= 2**63:
+        return np.array([_exact(r, v) for r in a], np.int64)
+    return a.astype(np.int64) @ v.astype(np.int64)
+
+
+def _exact(a: np.ndarray, v: np.ndarray) -> int:
+    score = sum(x * y for x, y in zip(a.tolist(), v.tolist(), strict=True))
+    if not -(2**63) <= score < 2**63:
+        raise ValueError("a score leaves 64 bits")
+    return score
+
+
+def search_block(q_ids, q, q_at, least, ids, x, x_at, k: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """(query id, vector id, score): each query's k best of one block, as far as they reach the score `least` of the query; and how many candidates were evaluated for each. At equality of bound and score the search goes on, for ties belong to the smaller id."""
+    out, evaluated = [], np.zeros(len(q_ids), np.int64)
+    far = np.sqrt((x_at**2).sum(1)).max(initial=0)
+    slack = SLACK * (1 + np.sqrt((q_at**2).sum(1)) * far)
+    for lo in range(0, len(q_ids), ROWS):
+        bounds = q_at[lo : lo + ROWS] @ x_at.T + slack[lo : lo + ROWS, None]
+        for i, bound in enumerate(bounds, lo):
+            order = np.flatnonzero(bound >= least[i])
+            order = order[np.argsort(-bound[order], kind="stable")]
+            own_ids, own_scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for at in range(0, len(order), STEP):
+                if len(own_ids) == k and own_scores[-1] > bound[order[at]]:
+                    break
+                part = order[at : at + STEP]
+                evaluated[i] += len(part)
+                part = part[ids[part] != q_ids[i]]
+                own_ids = np.concatenate([own_ids, ids[part]])
+                own_scores = np.concatenate([own_scores, products(x[part], q[i])])
+                best = np.lexsort((own_ids, -own_scores))[:k]
+                own_ids, own_scores = own_ids[best], own_scores[best]
+            out += [(int(q_ids[i]), int(a), int(s)) for a, s in zip(own_ids, own_scores, strict=True)]
+    return out, evaluated
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", count_evaluated: bool = False) -> DataFrame:
+    """Per query its k best other rows by exact inner product of quantized vectors: query_id, rank, vec_id, score; with count_evaluated also `evaluated`, the candidates whose product was taken.
+
+    Vectors that are null, empty or hold null or non-finite components take no
+    part, nor do rows without an id; a null condition is no query. Vectors meet
+    those of their own length. Rows that share the query's id are its own;
+    repeated candidates count each; queries of one id and vector are one, and
+    those of one id share a ranking. Ties go to the smaller id. Fewer
+    candidates than k: all of them. Components of 2**23 or more are an error.
 
     Rows are packed into blocks; each block of queries meets each block of
-    candidates in one row, so a task holds two bounded blocks.
+    candidates in one row, so a task holds two bounded blocks. A query's k-th
+    score among a bounded sample is the least that any block has to reach.
     """
     spark = vectors.sparkSession
-    v = F.col(vector_column).cast("array<double>")
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v"), is_query.alias("q"))
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     usable = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = saved(rows.where(usable).dropDuplicates(["id", "v"]), "vectors")
-    usual = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.count_if("q").alias("queries")).orderBy(F.desc("rows"), "n").first()
-    schema = "query_id long, rank int, vec_id long, score long"
-    if usual is None:
+    rows = saved(rows.where(usable), "vectors")
+    schema = "query_id long, rank int, vec_id long, score long" + ", evaluated long" * count_evaluated
+    counted = rows.agg(F.count("*").alias("rows"), F.count_if("q").alias("queries")).first()
+    if not counted["queries"]:
         return spark.createDataFrame([], schema)
-    dim = usual["n"]
-    rows = rows.where(F.size("v") == dim)
-    sample = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).collect()
-    pivots = choose_pivots(quantized(np.array([r["v"] for r in sample], np.float64)))
-    n_c, n_q = max(1, -(-usual["rows"] // CANDIDATES)), max(1, -(-usual["queries"] // QUERIES))
+    sample: dict[int, list] = {}
+    for r in rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).collect():
+        sample.setdefault(len(r["v"]), []).append((r["id"], r["v"]))
+    known = {n: (np.array([i for i, _ in s]), quantized(np.array([v for _, v in s], np.float64))) for n, s in sample.items()}
+    pivots_of = {n: choose_pivots(x) for n, (_, x) in known.items()}
+    n_c, n_q = max(1, -(-counted["rows"] // CANDIDATES)), max(1, -(-counted["queries"] // QUERIES))
+
+    def at_least(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The k-th score of each query among the sample, which all candidates that count reach; the least number where it has fewer."""
+        dim = x.shape[1]
+        out = np.full(len(ids), np.iinfo(np.int64).min)
+        if dim in known:
+            own, y = known[dim]
+            for i in range(len(ids)):
+                scores = products(y, x[i])[own != ids[i]]
+                if len(scores) >= k:
+                    out[i] = np.partition(scores, -k)[-k]
+        return out
 
     def packed(side: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = CANDIDATES if side == "c" else QUERIES
-            ids, vs, held = [], [], 0
-            names = [f"{side}_ids", f"{side}_v", f"{side}_table"]
+            names = ["dim", *(f"{side}_{c}" for c in ("ids", "v", "at", "least"))]
 
-            def emit(i, x):
-                blob = [i.astype(np.int64).tobytes(), x.tobytes(), distances(x, pivots).tobytes()]
-                return pa.RecordBatch.from_arrays([pa.array([z], pa.binary()) for z in blob], names=names)
+            def emit(dim: int, part: list) -> pa.RecordBatch:
+                i, x = np.array([p[0] for p in part], np.int64), quantized(np.array([p[1] for p in part], np.float64))
+                pivots = pivots_of.get(dim, np.zeros((0, dim), np.int32))
+                least = at_least(i, x) if side == "q" else np.zeros(0, np.int64)
+                return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([z.tobytes()], pa.binary()) for z in (i, x, coordinates(distances(x, pivots), pivots), least))], names=names)
 
+            held: dict[int, list] = {}
             for b in batches:
-                ids.append(b.column(0).to_numpy())
-                vs.append(quantized(b.column(1).flatten().to_numpy().reshape(-1, dim)))
-                held += b.num_rows
-                if held >= size:
-                    i, x = np.concatenate(ids), np.concatenate(vs)
-                    while len(i) >= size:
-                        yield emit(i[:size], x[:size])
-                        i, x = i[size:], x[size:]
-                    ids, vs, held = [i], [x], len(i)
-            if held:
-                yield emit(np.concatenate(ids), np.concatenate(vs))
+                for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    part = held.setdefault(len(v), [])
+                    part.append((i, v))
+                    if len(part) == size:
+                        yield emit(len(v), held.pop(len(v)))
+            for dim, part in held.items():
+                yield emit(dim, part)
 
         return run
 
     def blocks_of(side: str, kept: DataFrame, n: int) -> DataFrame:
-        made = mapped(kept.select("id", "v").repartition(n, F.xxhash64("id")), packed(side), f"{side}_ids binary, {side}_v binary, {side}_table binary")
-        return saved(made, f"blocks-{side}")
+        columns = ", ".join(f"{side}_{c} binary" for c in ("ids", "v", "at", "least"))
+        return saved(mapped(kept.repartition(n, F.xxhash64("id")), packed(side), f"dim int, {columns}"), f"blocks-{side}")
 
-    c, q = blocks_of("c", rows, n_c), blocks_of("q", rows.where("q"), n_q)
+    c, q = blocks_of("c", rows.select("id", "v"), n_c), blocks_of("q", rows.where("q").select("id", "v").distinct(), n_q)
     # Every block of queries is stated once for each of n_c groups of candidate blocks, and joined on the group.
-    group = F.pmod(F.xxhash64("c_ids"), F.lit(n_c)).cast("int")
-    cells = q.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))).join(c.withColumn("group", group), "group").select("q_ids", "q_v", "q_table", "c_ids", "c_v", "c_table")
+    groups = q.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))).repartition(n_c, "group")
+    cells = groups.join(c.withColumn("group", F.pmod(F.xxhash64("c_ids"), F.lit(n_c)).cast("int")).repartition(n_c, "group"), ["group", "dim"]).select("dim", "q_ids", "q_v", "q_at", "q_least", "c_ids", "c_v", "c_at")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                f = [b.column(j)[r].as_py() for j in range(6)]
-                qi, ci = np.frombuffer(f[0], np.int64), np.frombuffer(f[3], np.int64)
-                found = search_block(qi, np.frombuffer(f[1], np.int64).reshape(len(qi), dim), np.frombuffer(f[2], np.float64).reshape(len(qi), -1), ci, np.frombuffer(f[4], np.int64).reshape(len(ci), dim), np.frombuffer(f[5], np.float64).reshape(len(ci), -1), k)
+                dim, *f = (b.column(j)[r].as_py() for j in range(8))
+                q_ids, ids = np.frombuffer(f[0], np.int64), np.frombuffer(f[4], np.int64)
+                table = lambda raw, n, kind: np.frombuffer(raw, kind).reshape(n, -1)
+                found, evaluated = search_block(q_ids, table(f[1], len(q_ids), np.int32), table(f[2], len(q_ids), np.float64), np.frombuffer(f[3], np.int64), ids, table(f[5], len(ids), np.int32), table(f[6], len(ids), np.float64), k)
                 a = np.array(found, np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, j]) for j in range(3)], names=["query_id", "vec_id", "score"])
+                # Of a row without a vector the score counts what was evaluated.
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[:, 0], q_ids])), pa.array([*a[:, 1].tolist(), *[None] * len(q_ids)], pa.int64()), pa.array(np.concatenate([a[:, 2], evaluated]))], names=["query_id", "vec_id", "score"])
 
-    best = mapped(cells, search, "query_id long, vec_id long, score long").dropDuplicates()
+    best = saved(mapped(cells, search, "query_id long, vec_id long, score long"), "best")
+    dropped(rows, c, q)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = best.where("vec_id IS NOT NULL").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    if count_evaluated:
+        out = out.join(best.where("vec_id IS NULL").groupBy("query_id").agg(F.sum("score").alias("evaluated")), "query_id").select("query_id", "rank", "vec_id", "score", "evaluated")
+    return out

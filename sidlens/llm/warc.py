@@ -18,15 +18,16 @@ from datetime import datetime, timezone
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mapped, saved, shared_dir
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 100
-#: Records of an archive, which is read as a whole.
-ARCHIVE_RECORDS = 2000
+#: Records of an archive, which is read as a whole; entries of a range of the index, which is merged by one task.
+ARCHIVE_RECORDS, RANGE = 2000, 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Pages have no time of capture; the page of id n counts as captured n seconds after this one.
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
@@ -37,17 +38,17 @@ ENTRY = "url_key string, captured string, page_id long, url string, record_type
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload, of LEAST_BYTES or more, a page of smaller id has too."""
+    """(page_id, digest, refers_to) of pages whose payload, of LEAST_BYTES or more, a page of smaller id has too."""
     payload = F.coalesce("html", F.lit(""))
     meta = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= LEAST_BYTES)
     first = meta.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return meta.join(first, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", "refers_to").distinct()
+    return meta.join(first, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
 
 
 def records(pages: DataFrame) -> DataFrame:
     """One `value` per page: the WARC record without the CRLF CRLF at its end."""
-    rows = pages.select("page_id", "url", "html").join(revisits(pages), "page_id", "left")
     payload = F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest")).join(revisits(pages), ["page_id", "digest"], "left")
     size = F.octet_length(payload)
     crlf = "\r\n"
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
@@ -68,7 +69,7 @@ def records(pages: DataFrame) -> DataFrame:
         date,
         F.coalesce(F.concat(F.lit(f"{crlf}WARC-Target-URI: "), url), F.lit("")),
         F.lit(f"{crlf}Content-Type: application/http; msgtype=response{crlf}WARC-Payload-Digest: sha256:"),
-        F.sha2(payload, 256),
+        F.col("digest"),
         F.coalesce(F.when(revisit, F.concat(F.lit(f"{crlf}WARC-Profile: {PROFILE}{crlf}WARC-Refers-To: "), urn(F.col("refers_to")))), F.lit("")),
         F.lit(f"{crlf}Content-Length: "),
         F.octet_length(block).cast("string"),
@@ -209,22 +210,38 @@ class LoserTree:
 
 
 def merged_index(runs: DataFrame) -> DataFrame:
-    """All entries in the order of URL key, time and page: across partitions, and within them. `history` numbers the captures of a URL key within a partition."""
+    """All entries in the order of URL key, time and page: by `range`, and in it by `place`. `history` numbers the captures of a URL key.
+
+    Ranges have about RANGE entries whatever a URL's captures are, so their
+    number grows with the input; a task merges one range.
+    """
     order = ["url_key", "captured", F.col("page_id").asc_nulls_first()]
-    dealt = runs.repartitionByRange(*order).sortWithinPartitions("archive", "record")
+    dealt = runs.repartitionByRange(max(1, -(-runs.count() // RANGE)), *order).sortWithinPartitions("archive", "record")
     names = [*(c.split()[0] for c in ENTRY.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
+        t = pa.Table.from_batches(batches).combine_chunks() if (batches := list(batches)) else None
         if t is None or not t.num_rows:
             return
         key, when, page, archive = (t[c].to_pylist() for c in ("url_key", "captured", "page_id", "archive"))
         cuts = [0, *(i for i in range(1, len(archive)) if archive[i] != archive[i - 1]), len(archive)]
         pieces = [((key[i], when[i], page[i] is not None, page[i] or 0, i) for i in range(a, z)) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-        at = [x[4] for x in LoserTree(pieces)]
-        yield from t.take(pa.array(at)).select(names).to_batches(max_chunksize=10_000)
-
-    return mapped(dealt, run, ENTRY)
+        at, history, last = [], [], None
+        for x in LoserTree(pieces):
+            at.append(x[4])
+            history.append(history[-1] + 1 if history and x[0] == last else 1)
+            last = x[0]
+        place = TaskContext.get().partitionId()
+        out = t.take(pa.array(at)).select(names).append_column("range", pa.array([place] * len(at), pa.int32())).append_column("place", pa.array(range(len(at)), pa.int64()))
+        yield from out.append_column("history", pa.array(history, pa.int64())).to_batches(max_chunksize=10_000)
+
+    merged = saved(mapped(dealt, run, f"{ENTRY}, range int, place long, history long"), "merged")
+    # A URL key that goes on from one range to the next goes on being counted: at most one key of each range does.
+    last = merged.groupBy("range").agg(F.max("url_key").alias("url_key"), F.min("url_key").alias("least"))
+    across = last.select("url_key").intersect(last.select(F.col("least").alias("url_key"))) if merged.rdd.getNumPartitions() > 1 else last.select("url_key").limit(0)
+    each = merged.join(across, "url_key", "left_semi").groupBy("url_key", "range").agg(F.count("*").alias("n"))
+    before = each.withColumn("before", F.sum("n").over(Window.partitionBy("url_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).where("before > 0").drop("n")
+    return merged.join(before, ["url_key", "range"], "left").withColumn("history", F.col("history") + F.coalesce("before", F.lit(0))).drop("before")
 
 
 def capture_index(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -232,9 +249,11 @@ def capture_index(pages: DataFrame, path: str | None = None) -> DataFrame:
 
     Of equal payloads of LEAST_BYTES or more, that of the smallest page_id is a
     response, others revisit it. Rows of a null id are responses, as are
-    repetitions of a response's row. An empty table gives an empty index.
+    repetitions of a response's row. Of rows that share an id each refers by its
+    own payload. An empty table gives an empty index; other columns are ignored.
+    Ids are whole numbers.
     """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    return saved(merged_index(saved(read_runs(spark, path), "runs")), "captures")
+    return merged_index(saved(read_runs(spark, path), "runs"))

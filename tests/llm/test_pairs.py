@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from sidlens.llm import jaccard_join, suffix_dedup, topk, warc
 from sidlens.llm.common import components
 from sidlens.llm.queries import QUERIES, SQL
@@ -183,17 +184,22 @@ def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "STEP", 8)
     rng = np.random.default_rng(0)
     x = np.repeat(rng.normal(0, 0.2, (60, 6)), 2, 0).astype(np.float32).tolist()
-    rows = [*enumerate(x), (500, None), (501, [None] * 6), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, x[0]), (3, x[3])]
+    short = [[9.0], [-1.0], [3.0]]
+    rows = [*enumerate(x), (500, None), (501, [None] * 6), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (504, []), (None, x[0]), (3, x[3]), *zip((600, 601, 602), short, strict=True)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {tuple(r) for r in topk.top_k(df, df["vec_id"] % 10 == 0).collect()}
-    q = np.floor(256 * np.array(x)).astype(int)
-    want = set()
+    ids, q = np.array([*range(120), 3]), np.floor(256 * np.array([*x, x[3]])).astype(int)
+    want = {(600, 1, 602, 9 * 3 * 65536), (600, 2, 601, -9 * 65536)}
     for i in range(0, 120, 10):
         s = q @ q[i]
-        best = [j for j in np.lexsort((np.arange(120), -s)) if j != i][:5]
-        want |= {(i, r + 1, int(j), int(s[j])) for r, j in enumerate(best)}
+        best = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:5]
+        want |= {(i, r + 1, int(ids[j]), int(s[j])) for r, j in enumerate(best)}
     assert got == want
     assert topk.top_k(df.limit(0), df["vec_id"] % 10 == 0).count() == 0
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    renamed = df.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), F.lit(1).alias("id"))
+    assert {tuple(r)[:4] for r in topk.top_k(renamed, F.col("q") % 10 == 0, id_column="q", vector_column="v", count_evaluated=True).collect()} == want
     two = df.where("vec_id < 2")
     assert topk.top_k(two, two["vec_id"] % 10 == 0).count() == 1
 
@@ -205,11 +211,18 @@ def test_losers():
         assert [x[0] for x in warc.LoserTree([iter([(v,) for v in r]) for r in runs])] == sorted(v for r in runs for v in r)
 
 
-def test_archives(spark, tmp_path):
+def test_archives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE", 3)
     rows = [(1, "http://a.b/x\r\n%41", "x" * 200), (2, None, "x" * 200), (3, "http://[bad", "\r\n\r\nWARC/1.1" + "é" * 100), (None, "http://A.b:80/", None), (5, "", "y" * 99), (6, "u", "y" * 99), (7, "http://z.a.b/q?x=1#f", "x" * 200), (7, "http://z.a.b/q?x=1#f", "x" * 200)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = warc.capture_index(df.repartition(3), str(tmp_path / "archives")).collect()
-    assert len(got) == 8 and [r["url_key"] for r in got] == sorted(r["url_key"] for r in got)
+    got.sort(key=lambda r: (r["range"], r["place"]))
+    order = [(r["url_key"], r["captured"]) for r in got]
+    assert len(got) == 8 and order == sorted(order)
+    seen = defaultdict(int)
+    for r in got:
+        seen[r["url_key"]] += 1
+        assert r["history"] == seen[r["url_key"]]
     by = {r["page_id"]: r for r in got}
     assert {i: (r["record_type"], r["refers_to"]) for i, r in by.items()} == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None), None: ("response", None), 5: ("response", None), 6: ("response", None), 7: ("revisit", 1)}
     assert all(by[i]["url"] == u for i, u, _ in rows)
@@ -217,6 +230,15 @@ def test_archives(spark, tmp_path):
     assert warc.capture_index(df.limit(0)).count() == 0
 
 
+def test_pages_that_share_an_id(spark, tmp_path):
+    rows = [(7, "u", "x" * 200), (7, "u", "z" * 300), (1, "u", "x" * 200), (8, "u", "q" * 300), (8, "u", "x" * 200), (9, "u", "q" * 300)]
+    got = warc.capture_index(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int"), str(tmp_path / "a")).collect()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(7, digest("x" * 200), 1), (7, digest("z" * 300), None), (1, digest("x" * 200), None), (8, digest("q" * 300), None), (8, digest("x" * 200), 1), (9, digest("q" * 300), 8)]
+    assert sorted((r["page_id"], r["payload_digest"], r["refers_to"]) for r in got) == sorted(want)
+    assert sorted(r["history"] for r in got) == [1, 2, 3, 4, 5, 6]
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     sf, c = "/root/testdata/sf0.001", duckdb.connect()

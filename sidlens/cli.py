@@ -235,14 +235,21 @@ def rerank_learned(spark, a):
     beam = beam_of(spark, a.result, rows, c)
     if a.mode == "ceiling":
         return show(cooc.recall_ceiling(cooc.prior_scores(rows, st.ppmi), beam, c), a)
-    scores = written(learn.scored(features.by_sid(beam, rows, st), readers.reranker(spark, a.model)), "scores")
-    if a.augment:
-        show(rank.augmented(beam, rows, st, readers.reranker(spark, a.model), a.augment), a, "augmented")
+    found = written(features.by_sid(beam, rows, st), "features")
+    scores = {}
+    for path in a.model.split(","):  # several models in one grid
+        model = readers.reranker(spark, path)
+        s = learn.scored(found, model)
+        # SIDs from outside the beam take part in selection and application.
+        scores[path] = written(learn.with_augmented(s, rank.augmented(beam, rows, st, model, a.augment)) if a.augment else s, "scores")
     if a.mode == "select":
-        cells = written(learn.grid(beam, scores, c, a.topk), "grid")
+        cells = written(learn.model_grid(beam, scores, c, a.topk), "grid")
         show(cells, a, "grid")
         return show(learn.selected(cells), a, "selected")
-    show(learn.compare(beam, scores, c, a.lam, a.rrf_k, a.topk), a, "compare")
+    for path, s in scores.items():
+        show(learn.compare(beam, s, c, a.lam, a.rrf_k, a.topk), a, "compare")
+        users = rows.select("row_id", F.coalesce(F.col("u").cast("string"), F.concat(F.lit("row "), "row_id")).alias("cluster"))
+        show(learn.comparison(beam, rank.fused(s, lam=a.lam, k=a.rrf_k), c, users, k=a.topk, rounds=a.rounds), a, "intervals")
 
 
 def rerank_listwise(spark, a):
@@ -254,12 +261,12 @@ def rerank_listwise(spark, a):
         print(json.dumps(model))
         return writers.model(spark, model, a.model)
     full = readers.reranker(spark, a.model)
-    for name, names in features.SUBSETS.items():
-        scores = written(learn.scored(f, learn.subset_model(full, names)), "scores")
-        if a.mode == "select":
-            show(learn.selected(learn.grid(beam, scores, c, a.topk)), a, name)
-        elif name == a.subset:
-            show(learn.compare(beam, scores, c, a.lam, a.rrf_k, a.topk), a, name)
+    if a.mode == "select":
+        cells = written(learn.subset_grid(beam, f, full, c, a.topk), "subsets")
+        show(cells, a, "grid")
+        return show(learn.selected_subset(cells, list(features.SUBSETS)), a, "selected")
+    scores = written(learn.scored(f, learn.subset_model(full, features.SUBSETS[a.subset])), "scores")
+    show(learn.compare(beam, scores, c, a.lam, a.rrf_k, a.topk), a, a.subset)
 
 
 #: The options of each command beside --json-out, --topk and --rounds.

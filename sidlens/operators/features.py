@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sid as S
-from ..plans.session import written
+from ..plans.session import with_index, written
 from . import cooc
 
 POINTWISE = ("ppmi_sum", "ppmi_max", "cooc_norm", "pop_log", "in_history", "last_same", "l1_frac", "l2_frac", "prev_l1", "prev_l2", "hist_len_log", "sid_shared", "pop_l1_rate", "pop_l2_rate")
 LISTWISE = (*POINTWISE, "rank_model", "is_top1", "prior_item_rank_log", "prior_l1_rank_log", "prior_l2_rank_log", "branch_l1_slots", "branch_l2_slots")
-#: Named subsets of the listwise features.
+_CORE, _PRIOR = ("ppmi_sum", "pop_log", "in_history", "rank_model"), ("prior_item_rank_log", "prior_l1_rank_log", "prior_l2_rank_log")
+#: Named subsets of the listwise features; fixed values.
 SUBSETS = {
+    "core_plus_prior": (*_CORE, *_PRIOR),
+    "core_plus_prior_branch": (*_CORE, *_PRIOR, "branch_l1_slots", "branch_l2_slots", "is_top1"),
+    "prior_only": ("rank_model", *_PRIOR),
+    "core_only": _CORE,
     "all": LISTWISE,
-    "pointwise": POINTWISE,
-    "priors": ("rank_model", "is_top1", "prior_item_rank_log", "prior_l1_rank_log", "prior_l2_rank_log"),
-    "rank_cooc": ("rank_model", "is_top1", "ppmi_sum", "ppmi_max", "cooc_norm"),
-    "rank_branch": ("rank_model", "is_top1", "branch_l1_slots", "branch_l2_slots"),
 }
-#: Ranks beyond the popular lists for items and codes that are on none; fixed values.
+#: Ranks of items that the catalog doesn't know and of codes that no train target has; fixed values.
 NO_ITEM, NO_CODE = 9999, 999
 
 
@@ -102,8 +103,10 @@ def listwise(beam: DataFrame, rows: DataFrame, st: Stats, fallback: str = "id",
     """(row_id, sid, rank, label, the 21 features).
 
     Prior ranks are those of the SID's best item and of its keys by summed PPMI
-    of the history; what has none ranks after all that have, by its place among
-    targets in order of id (`fallback="popularity"`: of frequency). The level-2
+    of the history; what has none ranks after all that have: items by their place
+    among all items of the catalog in order of id (`fallback="popularity"`: among
+    train targets by frequency), codes by how often they are a train target, of
+    equal ones that which was one first. The level-2
     fallback looks up the first character of the key as a level-1 code unless
     first_character is off, and branches are counted over 7 and 14 characters
     unless `tokens` is on: both as results of this kind are known to do.
@@ -112,13 +115,14 @@ def listwise(beam: DataFrame, rows: DataFrame, st: Stats, fallback: str = "id",
     scores = written(cooc.prior_scores(rows, st.ppmi), "priors")
     levels = cooc.level_prior_ranks(scores, st.catalog)
     n_items = scores.groupBy("row_id").agg(F.count("*").alias("n_items"))
-    order = F.col("item") if fallback == "id" else F.struct(-F.col("n"), F.col("item"))
-    # Places of items and codes among train targets: of catalog size, ranked over one column.
-    top = cooc.popular(st.train, NO_ITEM)
-    pop_item = top.withColumn("pop", F.row_number().over(Window.orderBy(order))).select("item", "pop")
-    l1 = st.levels.where("level = 1")
-    code_order = F.col("code") if fallback == "id" else F.struct(-F.col("n"), F.col("code"))
-    pop_code = l1.withColumn("pop", F.row_number().over(Window.orderBy(code_order))).select("code", "pop")
+    if fallback == "id":
+        pop_item = with_index(st.catalog.select("item").distinct(), "item", name="pop").select("item", (F.col("pop") + 1).alias("pop"))
+    else:
+        seen = st.train.groupBy(F.col("target").alias("item")).agg((-F.count("*")).alias("less"), F.min("row_id").alias("first_row"))
+        pop_item = with_index(seen, "less", "first_row", name="pop").select("item", (F.col("pop") + 1).alias("pop"))
+    # Level-1 codes, of which a codebook has a few hundred.
+    codes = st.train.join(st.catalog.select(F.col("item").alias("target"), S.level1(F.col("sid")).alias("code")), "target").groupBy("code").agg((-F.count("*")).alias("less"), F.min("row_id").alias("first_row"))
+    pop_code = codes.withColumn("pop", F.row_number().over(Window.orderBy("less", "first_row"))).select("code", "pop")
     slots = beam_candidates(beam).join(st.catalog.select("item", "sid"), "sid")
     item = slots.join(scores.select("row_id", "item", "rnk"), ["row_id", "item"], "left").join(n_items, "row_id", "left").join(pop_item, "item", "left")
     item = item.groupBy("row_id", "sid").agg(F.min(F.coalesce("rnk", F.coalesce("n_items", F.lit(0)) + F.coalesce("pop", F.lit(NO_ITEM)))).alias("item_rank"))

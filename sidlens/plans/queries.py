@@ -558,7 +558,7 @@ def augment_candidates(fx: Fixtures) -> DataFrame:
     return rank.augmented(fx.beam(), fx.rows(), _stats(fx), MODEL, 5, cap=20)
 
 
-_LIST = f"""n_items AS (SELECT row_id, count(*) AS n FROM prior GROUP BY 1), pop_item AS (SELECT item, row_number() OVER (ORDER BY item) AS pop FROM popular WHERE rnk <= 9999), pop_code AS (SELECT code, row_number() OVER (ORDER BY code) AS pop FROM lev WHERE level = 1),
+_LIST = f"""n_items AS (SELECT row_id, count(*) AS n FROM prior GROUP BY 1), pop_item AS (SELECT item, row_number() OVER (ORDER BY item) AS pop FROM cat_a), pop_code AS (SELECT code, row_number() OVER (ORDER BY k DESC, f) AS pop FROM (SELECT l1 AS code, count(*) AS k, min(row_id) AS f FROM train JOIN enr_a ON item = target GROUP BY 1)),
     lp AS (SELECT *, row_number() OVER (PARTITION BY row_id, level ORDER BY score DESC, code) AS rnk FROM (SELECT row_id, level, code, round(sum(score), 9) AS score FROM (SELECT row_id, score, 1 AS level, l1 AS code FROM prior JOIN enr_a USING (item) UNION ALL SELECT row_id, score, 2, l2 FROM prior JOIN enr_a USING (item)) GROUP BY 1, 2, 3)),
     nl AS (SELECT row_id, count(*) FILTER (level = 1) AS n1, count(*) FILTER (level = 2) AS n2 FROM lp GROUP BY 1),
     it AS (SELECT d.row_id, d.sid, min(coalesce(p.rnk, coalesce(n_items.n, 0) + coalesce(pop, 9999))) AS ir FROM dist d JOIN cat_a c USING (sid) LEFT JOIN prior p ON p.row_id = d.row_id AND p.item = c.item LEFT JOIN n_items ON n_items.row_id = d.row_id LEFT JOIN pop_item ON pop_item.item = c.item GROUP BY 1, 2),
@@ -619,6 +619,50 @@ def apply_compare(fx: Fixtures) -> DataFrame:
     return learn.compare(fx.beam(), learn.scored(_by_sid(fx), MODEL), fx.catalog())
 
 
+_SUBSET_SCORES = " UNION ALL ".join(f"SELECT '{name}' AS subset, row_id, sid, rank, round({linear_sql(learn.subset_model(LIST_MODEL, names))}, 6) AS score FROM lf" for name, names in features.SUBSETS.items())
+_SUBSET_GRID = f"""WITH {_LIST}, ss AS ({_SUBSET_SCORES}), sp AS (SELECT *, row_number() OVER (PARTITION BY subset, row_id ORDER BY score DESC, rank) - 1 AS place FROM ss),
+    sh AS (SELECT subset, p.row_id, min(place) FILTER (p.sid = t.sid) AS code_pos, any_value(t.n_items) AS ti, arg_min(k.n_keys, place) FILTER (k.key IS NOT NULL AND t.n_keys = 1) AS ak FROM sp p JOIN test USING (row_id) JOIN enr_a t ON t.item = target LEFT JOIN key_a k ON k.sid = p.sid AND k.key = t.key WHERE place < 10 GROUP BY 1, 2),
+    sg AS (SELECT subset, count(*) AS n_rows, count(code_pos) AS code_hits, count(code_pos) FILTER (ti = 1) AS strict_hits, count(*) FILTER (ak = 1) AS product_hits FROM sh GROUP BY 1)"""
+
+
+def _subsets(fx: Fixtures) -> DataFrame:
+    return learn.subset_grid(fx.beam(), _listwise(fx), LIST_MODEL, fx.catalog())
+
+
+@query(f"{_SUBSET_GRID} SELECT * FROM sg")
+def subset_cells(fx: Fixtures) -> DataFrame:
+    return _subsets(fx)
+
+
+@query(f"{_SUBSET_GRID} SELECT * FROM sg ORDER BY strict_hits DESC, product_hits DESC, list_position([{', '.join(f'{chr(39)}{n}{chr(39)}' for n in features.SUBSETS)}], subset) LIMIT 1")
+def subset_select(fx: Fixtures) -> DataFrame:
+    return learn.selected_subset(_subsets(fx), list(features.SUBSETS))
+
+
+_BOTH = f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(1 / (11 + rank) + 1.0 / (11 + new_rank), 9) DESC, rank) - 1 AS place FROM {_SCORED}),
+    h AS (SELECT s.row_id, min(place) FILTER (s.sid = t.sid) AS code_pos, any_value(t.n_items) AS ti, arg_min(k.n_keys, place) FILTER (k.key IS NOT NULL AND t.n_keys = 1) AS ak FROM s JOIN test USING (row_id) JOIN enr_a t ON t.item = target LEFT JOIN key_a k ON k.sid = s.sid AND k.key = t.key WHERE place < 10 GROUP BY 1),
+    w AS (SELECT x.row_id, row_number() OVER (ORDER BY x.row_id) - 1 AS idx, c_nationkey AS cluster, dense_rank() OVER (ORDER BY c_nationkey) - 1 AS cidx, [CAST(x.code_pos IS NOT NULL AS INT), CAST(x.strict_pos IS NOT NULL AS INT), CAST(x.product_pos IS NOT NULL AND NOT x.ambiguous_target AS INT)] AS a,
+      [CAST(h.code_pos IS NOT NULL AS INT), CAST(coalesce(h.code_pos IS NOT NULL AND ti = 1, false) AS INT), CAST(coalesce(ak = 1, false) AS INT)] AS b FROM hits10_test42a x LEFT JOIN h USING (row_id) JOIN customer ON c_custkey = x.row_id // 100000),
+    v AS (SELECT p, idx, cidx, a[p] AS a, b[p] AS b, b[p] - a[p] AS d FROM w, range(1, 4) r(p)),
+    m AS (SELECT count(*) AS n, max(cidx) + 1 AS k FROM w),
+    dr AS (SELECT CAST(g AS INT) AS round, {oracles.u32('13', 'g', 'idx')} % n AS idx FROM w, range({ROUNDS}) r(g), m),
+    rs AS (SELECT p, round, sum(d) / any_value(n) AS v FROM dr JOIN v USING (idx), m GROUP BY 1, 2),
+    cs AS (SELECT p, cidx, sum(d) AS d, count(*) AS c FROM v GROUP BY 1, 2),
+    cd AS (SELECT CAST(g AS INT) AS round, {oracles.u32('17', 'g', 'i')} % k AS cidx FROM m, range({ROUNDS}) r(g), LATERAL (SELECT unnest(range(0, k)) AS i)),
+    us AS (SELECT p, round, sum(d) / sum(c) AS v FROM cd JOIN cs USING (cidx) GROUP BY 1, 2),
+    ri AS (SELECT p, {_INTERVAL} FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY v) - 1 AS r FROM rs) GROUP BY 1),
+    ui AS (SELECT p, {_INTERVAL} FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY v) - 1 AS r FROM us) GROUP BY 1)
+    SELECT ['code', 'strict', 'product'][p] AS protocol, count(*) AS n_rows, sum(a) AS base_hits, sum(b) AS new_hits, round(avg(d), 6) AS diff, round(any_value(ri.lo), 6) AS ci_lo, round(any_value(ri.hi), 6) AS ci_hi, round(any_value(ui.lo), 6) AS user_lo, round(any_value(ui.hi), 6) AS user_hi FROM v JOIN ri USING (p) JOIN ui USING (p) GROUP BY p"""
+
+
+@query(_BOTH)
+def compare_ci(fx: Fixtures) -> DataFrame:
+    users = fx.table("customer").select(F.col("c_custkey").alias("u"), F.col("c_nationkey").alias("cluster"))
+    beam = fx.beam()
+    clusters = beam.select("row_id", F.floor(F.col("row_id") / 100000).alias("u")).join(users, "u")
+    return learn.comparison(beam, rank.fused(learn.scored(_by_sid(fx), MODEL)), fx.catalog(), clusters, rounds=ROUNDS)
+
+
 # ---------------------------------------------------------------- learning
 
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import kept, batch_of, blocks, mapped, texts
+from .common import batch_of, blocks, kept, mapped, texts
 
 #: What an unknown character scores below the vocabulary's lowest piece; a fixed value of unigram tokenizers.
 UNKNOWN_PENALTY = 10.0

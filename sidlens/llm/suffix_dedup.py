@@ -21,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, dropped, mapped, mix, saved, span_hashes, text_bytes, unused, word_hashes, word_places
+from .common import blocks, dropped, mapped, mix, saved, text_bytes, unused, word_hashes, word_places
 from .jaccard_join import grouped
 
 _U = np.uint64
@@ -30,6 +30,8 @@ LENGTH = 400
 GROUP = 2048
 #: Parts of the offsets for that, and bytes of contexts that are transformed together.
 PARTS, BLOCK = 8, 1 << 19
+#: Repeated strings of a corpus, as rows of 32 bytes, up to which they are broadcast.
+MOST_BROADCAST = 200_000
 #: Bits of the filter that tells which texts surely have no part in a join; of fixed size, it lets more through as it fills.
 FILTER_BITS = 1 << 23
 #: Low bits of a gram's hash that give way to its place when the least is sought.
@@ -80,7 +82,9 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     first, last = valid[new], valid[np.append(new[1:], len(valid)) - 1]
     gram, row, end = least[new], row[new], last + length
     unit = data.dtype.itemsize
-    context = mix(span_hashes(data.view(np.uint8), first * unit, end * unit) + (gram - first).astype(_U) * _MULT)
+    raw = data.tobytes()
+    held = np.frombuffer(b"".join(hashlib.blake2b(raw[a:z], digest_size=8).digest() for a, z in zip((first * unit).tolist(), (end * unit).tolist(), strict=True)), "<u8")
+    context = mix(held + (gram - first).astype(_U) * _MULT)
     return row, gram - at[row], grams[gram], context, gram - first, end - first
 
 
@@ -228,7 +232,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str =
     kind = rows.schema["id"].dataType.simpleString()
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, 1 << 19):
+        for b in blocks(batches, 1 << 17):
             data, at = text_bytes(b.column(1))
             row, start, gram, context, before, size = anchors(*(word_hashes(data, at, False) if words else (data, at)), length)
             raw = data.tobytes()
@@ -321,12 +325,50 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, id_column: str =
     spans = mapped(few, expanded, "gram long, context long, `from` long, `to` long")
     spans = spans.union(_counted(windows.join(huge, "key", "left_semi").dropDuplicates(["key", "gram", "context"]), length, unit))
     spans = spans.union(distinct.where("all").select("gram", "context", (-F.col("before")).cast("long").alias("from"), (F.col("size") - F.col("before")).cast("long").alias("to")))
-    hit = occurring.select("gram", "context", "id", "lo", "start").join(spans, ["gram", "context"]).select("id", "lo", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"))
-    out = saved(hit.groupBy("id", "lo").agg(F.collect_set(F.struct("from", "to")).alias("spans")), "spans")
-    dropped(occurring, distinct, open_, windows, huge)
+    spans = saved(spans, "found")
+    if (n := spans.count()) <= MOST_BROADCAST:
+        out = _looked_up(rows, spans, n, anchored)
+    else:
+        # A row for each occurrence of a context that repeats, as many as the texts have.
+        hit = occurring.select("gram", "context", "id", "lo", "start").join(spans, ["gram", "context"]).select("id", "lo", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"))
+        out = hit.groupBy("id", "lo").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    out = saved(out, "spans")
+    dropped(occurring, distinct, open_, windows, huge, spans)
     return out
 
 
+def _looked_up(rows: DataFrame, spans: DataFrame, n: int, anchored) -> DataFrame:
+    """(id, lo, spans) as repeated_spans, where all that repeats is few enough, n rows, to be at hand in each task: contexts are looked up as the texts are read."""
+    found = np.array([tuple(r) for r in spans.select("context", "gram", "from", "to").collect()], np.int64).reshape(n, 4)
+    shared = rows.sparkSession.sparkContext.broadcast(found[np.lexsort((found[:, 1], found[:, 0]))])  # 32 bytes a row
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        context = np.ascontiguousarray(known[:, 0])
+        for b in anchored(batches):
+            own = b.column(1).to_numpy()
+            lo, hi = np.searchsorted(context, own, "left"), np.searchsorted(context, own, "right")
+            row = np.repeat(np.arange(len(own)), hi - lo)
+            at = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(len(row))
+            right = known[at, 1] == b.column(0).to_numpy()[row]
+            row, at = row[right], at[right]
+            # Rows of a batch come text by text.
+            start, text = b.column(4).to_numpy()[row], b.column(3).to_numpy()[row]
+            ids = b.column(2).take(pa.array(row))
+            new = np.concatenate(([True], text[1:] != text[:-1])) if len(row) else np.zeros(0, bool)
+            if len(row) > 1:
+                same_id = pa.compute.fill_null(pa.compute.equal(ids.slice(1), ids.slice(0, len(row) - 1)), False).to_numpy(zero_copy_only=False)
+                null = ids.is_null().to_numpy(zero_copy_only=False)
+                new[1:] |= ~(same_id | (null[1:] & null[:-1]))
+            edge = np.append(np.flatnonzero(new), len(row))
+            pairs = pa.StructArray.from_arrays([pa.array(start + known[at, 2]), pa.array(start + known[at, 3])], names=["from", "to"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(edge[:-1])), pa.array(text[edge[:-1]]), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pairs)], names=["id", "lo", "spans"])
+
+    # Rows of one id and text have the same spans.
+    return mapped(rows, run, f"id {kind}, lo long, spans array<struct<`from`: long, `to`: long>>").dropDuplicates(["id", "lo"])
+
+
 def _counted(contexts: DataFrame, length: int, unit: int) -> DataFrame:
     """(gram, context, from, to) of the strings that several windows (key, gram, context, left, raw) of one key hold at the same distance from the gram. They share all but the ends of these strings, so each window has few; their counts are summed before they are dealt out."""
 

@@ -128,9 +128,10 @@ def removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group", [2048, 3])
-def test_repeats(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "most"), [(2048, 10**6), (3, 10**6), (3, 0)])
+def test_repeats(spark, monkeypatch, group, most):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "MOST_BROADCAST", most)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 4000)
     rng = random.Random(3)
     some = lambda n: "".join(rng.choice("abé d") for _ in range(n))

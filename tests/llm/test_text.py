@@ -187,3 +187,128 @@ def test_quality(spark):
     scored = quality.with_quality(table(spark, EDGES), net).collect()
     assert len(scored) == len(EDGES) and all(0 <= r["score"] <= 1 for r in scored)
     assert quality.with_quality(table(spark, []), quality.fit([], [])).count() == 0
+
+
+def mirrored(n, a, b):
+    """A word of two letters in the order of the parity of set bits, which polynomial hashes modulo powers of 2 can't tell from its mirror."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 4096])
+def test_mirrored_words_differ(n):
+    import pyarrow as pa
+
+    from sidlens.llm import common
+
+    a, b, upper = common.shingles(*common.text_bytes(pa.array([mirrored(n, "a", "b"), mirrored(n, "b", "a"), mirrored(n, "A", "B")])), 5)
+    assert a[0] == upper[0] != b[0]
+
+
+def fewest(items, capacity):
+    """The least number of sequences, by trying all sets with the longest piece."""
+    if not items:
+        return 0
+    first, rest = items[0], items[1:]
+    best = len(items)
+    for chosen in range(1 << len(rest)):
+        held = [x for i, x in enumerate(rest) if chosen >> i & 1]
+        if first + sum(held) <= capacity:
+            best = min(best, 1 + fewest([x for i, x in enumerate(rest) if not chosen >> i & 1], capacity))
+    return best
+
+
+def test_reduction_keeps_the_optimum():
+    rng, some = random.Random(1), 0
+    for _ in range(120):
+        capacity = rng.randrange(8, 40)
+        items = sorted((rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 8))), reverse=True)
+        left = np.bincount(items, minlength=capacity + 1)
+        fixed = packing.reduced(left, capacity)
+        rest = np.repeat(np.arange(capacity, -1, -1), left[::-1]).tolist()
+        some += sum(m * len(h) for m, h in fixed)
+        assert sum(m for m, _ in fixed) + fewest(rest, capacity) == fewest(items, capacity)
+    assert some > 100
+
+
+def test_packing_query(spark):
+    sf, library = "/root/testdata/sf0.001", Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    rows = QUERIES["op4_best_fit_packing"](spark, sf).collect()
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want, sequences = set(), {}
+    for i, t in docs.items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want |= {(i, k, lo, len(part := ids[lo : lo + 4096]), zlib.crc32(part.tobytes())) for k, lo in enumerate(range(0, len(ids), 4096))}
+    assert {tuple(r)[:5] for r in rows} == want and len(rows) == len(want)
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(held)])
+        assert [o for o, _ in sorted(held)] == [0, *ends[:-1].tolist()] and ends[-1] <= 4096
+    least = -(-sum(n for _, _, _, n, _ in want) // 4096)
+    assert least <= len(sequences) <= least + 1 and any(r["fixed"] for r in rows)
+
+
+def test_secret_query(spark):
+    """Base spans by a scan that reads character by character."""
+    sf = "/root/testdata/sf0.01"
+    value, digits = set(string.ascii_letters + string.digits + "+/_.=-"), set("0123456789abcdef")
+
+    def scan(t):
+        out, i = [], 0
+        while i < len(t):
+            name = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if t[i : i + len(w)].isascii() and t[i : i + len(w)].lower() == w), None)
+            if name:
+                j = i + len(name)
+                j += t[j : j + 1] in ("'", '"') and j < len(t)
+                while t[j : j + 1] == " ":
+                    j += 1
+                if t[j : j + 1] in (":", "=") and j < len(t):
+                    j += 1
+                    while t[j : j + 1] == " ":
+                        j += 1
+                    j += j < len(t) and t[j] in "'\""
+                    k = j
+                    while k < len(t) and t[k] in value:
+                        k += 1
+                    if k > j:
+                        out += [(i, 0, k)] * (k - j >= 6)
+                        i = k
+                        continue
+            i += 1
+        for kind, start, least, chars in ((1, "AKIA", 20, set(string.ascii_uppercase + string.digits)), (2, "", 24, digits)):
+            i = 0
+            while i < len(t):
+                k = i + len(start)
+                if t.startswith(start, i):
+                    while k < len(t) and t[k] in chars:
+                        k += 1
+                if t.startswith(start, i) and k > i + len(start):
+                    out += [(i, kind, k)] * (k - i >= least)
+                    i = k
+                else:
+                    i += 1
+        return sorted(out)
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seen = 0
+    for r in QUERIES["op3_secret_scan"](spark, sf).collect():
+        base = scan(docs[r["doc_id"]])
+        seen += len(base)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == kind for _, k, _ in base) for kind in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(secrets.spans_string(base).encode()).hexdigest()
+        assert set(secrets.spans_string(base).split(",")) - {""} <= set(r["spans"].split(","))
+    assert seen > 0
+
+
+def test_scores_are_those_of_a_plain_convolution():
+    rng = np.random.default_rng(0)
+    net = quality.fit(["good text here"] * 3 + ["!!!! ####"] * 3, [1] * 3 + [0] * 3, epochs=2)
+    for t in ("", "abc", "x" * 512, "".join(map(chr, rng.integers(32, 127, 1300)))):
+        raw = t.encode()
+        pooled = []
+        for s in range(0, max(1, len(raw) - 64), 448):
+            chunk = raw[s : s + 512].ljust(512, b"\0")
+            best = np.max([[sum(net.table[j, chunk[i + j], f] for j in range(5)) for f in range(16)] for i in range(508)], 0)
+            pooled.append(np.tanh(np.maximum(best + net.bias, 0)))
+        want = 1 / (1 + np.exp(-(np.mean(pooled, 0) @ net.weight + net.offset)))
+        assert abs(net.score(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0] - want) < 1e-5

@@ -29,7 +29,7 @@ LENGTH = 400
 #: Contexts of a group beyond which it is cut by what surrounds the gram; beyond it again, strings are counted one by one.
 GROUP = 2048
 #: Parts of the offsets for that, and bytes of contexts that are transformed together.
-PARTS, BLOCK = 8, 1 << 19
+PARTS, BLOCK = 8, 1 << 17
 #: Repeated strings of a corpus, as rows of 32 bytes, up to which they are broadcast.
 MOST_BROADCAST = 200_000
 #: Bits of the filter that tells which texts surely have no part in a join; of fixed size, it lets more through as it fills.

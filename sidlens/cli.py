@@ -101,7 +101,9 @@ def compare_item_level(spark, a):
 
 def check_collision_confound(spark, a):
     rows, ca, cb = rows_of(spark, a.csv), readers.catalog(spark, a.index), readers.catalog(spark, a.index_b)
-    show(metrics.collision_confound(beam_of(spark, a.a, rows, ca), beam_of(spark, a.b, rows, cb), ca, cb, a.topk), a)
+    x, y = beam_of(spark, a.a, rows, ca), beam_of(spark, a.b, rows, cb)
+    show(metrics.collision_confound(x, y, ca, cb, a.topk), a)
+    show(resample.subset_bootstraps(diagnose.hits_of(metrics.collision_rows(x, y, ca, cb, a.topk)), diagnose.SUBSETS, a.rounds), a, "bootstrap")
 
 
 def analyze_sid(spark, a):
@@ -111,6 +113,8 @@ def analyze_sid(spark, a):
     show(C.codebook_top(c), a, "codes")
     show(C.unused_codes(c), a, "unused")
     show(C.collision_groups(c), a, "groups")
+    if a.info:
+        show(C.info_stats(readers.info_file(spark, a.info)), a, "info")
     if a.csv:
         show(C.test_set_stats(rows_of(spark, a.csv), c), a, "test")
 
@@ -124,7 +128,8 @@ def analyze_sid_quality(spark, a):
     show(quality.heldout_majority(with_index(st.select("row_id", "x", "y"), "row_id")), a, "heldout")
     show(quality.information(st), a, "information")
     if a.item_meta:
-        show(quality.title_coherence(c, a.level), a, "titles")
+        # No drawn pairs: all of them.
+        show(quality.sampled_title_coherence(c, a.level, a.pairs) if a.pairs else quality.title_coherence(c, a.level), a, "titles")
 
 
 def _seeds(spark, a, protocol):
@@ -132,15 +137,25 @@ def _seeds(spark, a, protocol):
         raise SystemExit("labels and results differ in number")
     rows, ca = rows_of(spark, a.csv), _catalog(spark, a)
     cb = readers.catalog(spark, a.index_b, a.item_meta)
+    rows_b = rows_of(spark, a.csv_b) if a.csv_b else rows
+    if a.csv_b and (wrong := metrics.order_mismatches(rows, rows_b).limit(1).collect()):
+        raise SystemExit(f"the splits differ in row {wrong[0]['row_id']}")
     out = None
     for i, (ra, rb) in enumerate(zip(a.results_a, a.results_b, strict=True)):
-        p = metrics.paired(_strict(beam_of(spark, ra, rows, ca), ca, a.topk, protocol), _strict(beam_of(spark, rb, rows, cb), cb, a.topk, protocol)).select(F.lit(i).alias("sidx"), F.lit(a.labels[i]).alias("label"), "*")
+        p = metrics.paired(_strict(beam_of(spark, ra, rows, ca), ca, a.topk, protocol), _strict(beam_of(spark, rb, rows_b, cb), cb, a.topk, protocol)).select(F.lit(i).alias("sidx"), F.lit(a.labels[i]).alias("label"), "*")
         out = p if out is None else out.union(p)
-    pairs = written(out.join(with_index(out.where("sidx = 0").select("row_id"), "row_id"), "row_id"), "pairs")
-    diffs = pairs.groupBy("label").agg(F.avg("a").alias("a"), F.avg("b").alias("b"), (F.avg("b") - F.avg("a")).alias("diff"))
-    show(diffs, a, "seeds")
-    show(resample.seed_summary(diffs, protocol == "product"), a, "summary")
-    show(resample.two_stage_bootstrap(pairs, a.rounds), a, "bootstrap")
+    out = written(out, "seeds")
+    subsets = {"": out}
+    if protocol == "strict":
+        subsets["_kept"] = out.join(metrics.unique_in_both(rows, ca, cb), "row_id", "left_semi")
+    for name, rows in subsets.items():
+        pairs = written(rows.join(with_index(rows.where("sidx = 0").select("row_id"), "row_id"), "row_id"), "pairs")
+        show(resample.seed_means(pairs, "label"), a, f"seeds{name}")
+        diffs = pairs.groupBy("label").agg((F.avg("b") - F.avg("a")).alias("diff"))
+        show(resample.seed_summary(diffs, protocol == "product"), a, f"summary{name}")
+        show(resample.two_stage_bootstrap(pairs, a.rounds), a, f"bootstrap{name}")
+    # By label, one interval a seed.
+    show(resample.subset_bootstraps(out.select(F.col("label").alias("subset"), "row_id", "a", "b"), a.labels, a.rounds), a, "seed_intervals")
 
 
 def analyze_seeds(spark, a):
@@ -171,8 +186,14 @@ def history_copy_diagnostic(spark, a):
 
 
 def analyze_rl_curve(spark, a):
+    out = None
     for path in a.logs:
-        show(diagnose.metric_curve(readers.metric_log(spark, path).select("log", "step", F.col(f"`{a.metric}`").alias("hr10"))), a, "curve")
+        # Logs of one file name are told apart by path.
+        c = diagnose.metric_curve(readers.metric_log(spark, path).select(F.lit(path).alias("log"), "step", F.col(f"`{a.metric}`").alias("hr10")))
+        out = c if out is None else out.union(c)
+    out = written(out, "curves")
+    show(out, a, "curve")
+    show(diagnose.curve_summary(out), a, "summary")
 
 
 def make_subsets(spark, a):
@@ -226,8 +247,17 @@ def rerank_learned(spark, a):
     c, tr = _catalog(spark, a), rows_of(spark, a.train_csv)
     st = features.Stats(tr, c)
     if a.mode == "fit":
-        neg = sampling.negatives(tr, tr, st.ppmi, a.negatives).withColumn("label", F.lit(0))
-        samples = written(tr.select("row_id", F.col("target").alias("item"), F.lit(1).alias("label")).union(neg), "samples")
+        if a.pool_mode not in ("mixed", "beamlike"):
+            raise SystemExit(f"unknown pool mode {a.pool_mode}")
+        own = tr.where(F.size("hist") > 0)
+        own = own.where(F.col("row_id") < a.limit_rows) if a.limit_rows else own
+        draw = sampling.beamlike_negatives if a.pool_mode == "beamlike" else sampling.negatives
+        samples = None
+        for i in range(a.draws):  # each with negatives of its own
+            neg = draw(own, tr, st.ppmi, a.negatives, a.seed + i).withColumn("label", F.lit(0))
+            s = own.select("row_id", F.col("target").alias("item"), F.lit(1).alias("label")).union(neg)
+            samples = s if samples is None else samples.union(s)
+        samples = written(samples, "samples")
         model = learn.fit_pointwise(written(learn.pointwise_examples(samples, tr, st), "examples"))
         print(json.dumps(model))
         return writers.model(spark, model, a.model)
@@ -244,6 +274,8 @@ def rerank_learned(spark, a):
         scores[path] = written(learn.with_augmented(s, rank.augmented(beam, rows, st, model, a.augment)) if a.augment else s, "scores")
     if a.mode == "select":
         cells = written(learn.model_grid(beam, scores, c, a.topk), "grid")
+        for path, s in scores.items():
+            show(metrics.reachability(rank.reordered(beam, s, "rank"), c), a, "ceiling")
         show(cells, a, "grid")
         return show(learn.selected(cells), a, "selected")
     for path, s in scores.items():
@@ -279,10 +311,10 @@ COMMANDS = {
     compare_results: "a b",
     compare_item_level: "a b index index-b csv",
     check_collision_confound: "a b index index-b csv",
-    analyze_sid: "index item-meta? csv?",
-    analyze_sid_quality: "index train-csv item-meta? level=1",
-    analyze_seeds: "labels* results-a* results-b* index index-b csv item-meta?",
-    analyze_seeds_product: "labels* results-a* results-b* index index-b csv item-meta",
+    analyze_sid: "index item-meta? csv? info?",
+    analyze_sid_quality: "index train-csv item-meta? level=1 pairs=100000",
+    analyze_seeds: "labels* results-a* results-b* index index-b csv csv-b? item-meta?",
+    analyze_seeds_product: "labels* results-a* results-b* index index-b csv csv-b? item-meta",
     diagnose_shared_rows: "labels* results-a* results-b* index index-b csv item-meta?",
     popularity_diagnostic: "result index csv train-csv item-meta?",
     history_copy_diagnostic: "result index csv item-meta?",
@@ -291,7 +323,7 @@ COMMANDS = {
     remap_sids: "src-root index out-dir item-meta",
     rerank_cooccurrence: "result index csv train-csv item-meta?",
     rerank_probe: "result index csv embeddings item-meta?",
-    rerank_learned: "mode model? result? index csv? train-csv item-meta? negatives=4 augment=0 lam=1.0 rrf-k=10",
+    rerank_learned: "mode model? result? index csv? train-csv item-meta? negatives=4 pool-mode=mixed limit-rows=0 draws=1 seed=17 augment=0 lam=1.0 rrf-k=10",
     rerank_listwise: "mode model result index csv train-csv item-meta? subset=all lam=1.0 rrf-k=10",
 }
 

@@ -85,6 +85,12 @@ def test_set_stats(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
+def info_stats(info: DataFrame) -> DataFrame:
+    """One row on an info file's (sid): rows, unique SIDs, rows beyond the first of their SID."""
+    g = info.groupBy("sid").count()
+    return g.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n_rows"), F.count("*").alias("unique_sids"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"))
+
+
 def info_table(catalog: DataFrame) -> DataFrame:
     """(item, line): the tab-separated lines of an info file; missing titles are empty."""
     return catalog.select("item", F.concat_ws("\t", "sid", F.coalesce("title", F.lit("")), F.col("item").cast("string")).alias("line")).orderBy("item")

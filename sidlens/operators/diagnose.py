@@ -12,6 +12,14 @@ from .metrics import first_hits
 #: The buckets of train target counts: name, least, most.
 BUCKETS = (("0", 0, 0), ("1", 1, 1), ("2-5", 2, 5), ("6-20", 6, 20), ("21-100", 21, 100), (">100", 101, 1 << 62))
 
+#: The subsets of collision_rows.
+SUBSETS = ("all", "clean", "collision")
+
+
+def hits_of(rows: DataFrame) -> DataFrame:
+    """(subset, row_id, a, b) as 0/1 of collision_rows."""
+    return rows.select("subset", "row_id", F.col("pa").isNotNull().cast("int").alias("a"), F.col("pb").isNotNull().cast("int").alias("b"))
+
 
 def popularity_buckets(beam: DataFrame, catalog: DataFrame, train: DataFrame, k: int = 10) -> DataFrame:
     """(bucket, n_rows, share, hr, strict_hr, coverage, level1): by how often targets are train targets, and all; empty buckets have zeros."""
@@ -88,3 +96,9 @@ def metric_curve(log: DataFrame) -> DataFrame:
         F.round(F.max("hr10") - F.min_by("hr10", "step"), 6).alias("gain_best"),
         F.round(F.max_by("hr10", "step") - F.min_by("hr10", "step"), 6).alias("gain_final"),
     )
+
+
+def curve_summary(curves: DataFrame) -> DataFrame:
+    """One row over metric_curve's: runs, means of start, best and final, and in how many runs the best beats the start."""
+    means = [F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("start", "best", "final")]
+    return curves.agg(F.count("*").alias("runs"), *means, F.count_if(F.col("gain_best") > 0).alias("wins"))

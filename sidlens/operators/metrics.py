@@ -30,8 +30,9 @@ def hr_ndcg(beam: DataFrame, ks=KS) -> DataFrame:
 
 
 def audit(beam: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row: counts of candidates that no item has, wrong token counts, duplicates, empties, over all occurrences."""
+    """One row: counts of candidates that no item has, those with a token that no item has, wrong token counts, duplicates, empties, over all occurrences."""
     known = catalog.select("sid").distinct().withColumn("known", F.lit(1))
+    tokens = catalog.select(F.explode(S.tokens(F.col("sid"))).alias("token")).distinct()
     slots = beam.select("row_id", F.posexplode("predict").alias("pos", "raw")).withColumn("sid", S.normalize(F.col("raw")))
     n_tokens = F.size(S.tokens(F.col("sid")))
     per = slots.join(known, "sid", "left").agg(
@@ -46,7 +47,22 @@ def audit(beam: DataFrame, catalog: DataFrame) -> DataFrame:
         F.count_if(F.size("predict") > F.size(F.array_distinct("predict"))).alias("rows_with_duplicates"),
         F.array_join(F.array_sort(F.collect_set(F.size("predict"))), ",").alias("beam_sizes"),
     )
-    return rows.crossJoin(per)  # one row each
+    # Only a candidate that no item has can hold such a token.
+    unknown = slots.join(known, "sid", "left_anti").select("row_id", "pos", F.explode(S.tokens(F.col("sid"))).alias("token"))
+    illegal = unknown.join(tokens, "token", "left_anti").select("row_id", "pos").distinct().agg(F.count("*").alias("illegal_tokens"))
+    return rows.crossJoin(per).crossJoin(illegal)  # one row each
+
+
+def order_mismatches(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(row_id, a, b): rows of two splits (row_id, target) whose targets differ, or that one of them lacks; none where both hold the same rows in the same order."""
+    r = a.select("row_id", F.col("target").alias("a")).join(b.select("row_id", F.col("target").alias("b")), "row_id", "full_outer")
+    return r.where(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def unique_in_both(rows: DataFrame, catalog_a: DataFrame, catalog_b: DataFrame) -> DataFrame:
+    """(row_id) of the rows whose target has a SID of its own in both catalogs."""
+    own = [c.join(sid_groups(c).where("n_items = 1").select("sid"), "sid").select(F.col("item").alias("target")) for c in (catalog_a, catalog_b)]
+    return rows.select("row_id", "target").join(own[0], "target", "left_semi").join(own[1], "target", "left_semi").select("row_id")
 
 
 def illegal_examples(beam: DataFrame, catalog: DataFrame, n: int = 10) -> DataFrame:
@@ -142,15 +158,20 @@ def paired_table(pairs: DataFrame) -> DataFrame:
     )
 
 
-def collision_confound(a: DataFrame, b: DataFrame, catalog_a: DataFrame, catalog_b: DataFrame, k: int = 10) -> DataFrame:
-    """(subset, n_rows, hr and ndcg of each side): all rows, and those whose target shares its SID in either catalog, or in none."""
+def collision_rows(a: DataFrame, b: DataFrame, catalog_a: DataFrame, catalog_b: DataFrame, k: int = 10) -> DataFrame:
+    """(subset, row_id, pa, pb): each row's first hits, once as "all", once as "collision" if its target shares its SID in either catalog, else as "clean"."""
     shared = sid_groups(catalog_a).where("n_items > 1").select("sid").join(catalog_a, "sid").select("item").union(sid_groups(catalog_b).where("n_items > 1").select("sid").join(catalog_b, "sid").select("item")).distinct()
     ra = a.select("row_id", "target", code_rank(F.slice("predict", 1, k), F.col("output")).alias("pa"))
     rb = b.select("row_id", code_rank(F.slice("predict", 1, k), F.col("output")).alias("pb"))
     r = ra.join(rb, "row_id").join(shared.select(F.col("item").alias("target"), F.lit(True).alias("shared")), "target", "left")
     subset = F.explode(F.array(F.lit("all"), F.when(F.coalesce("shared", F.lit(False)), "collision").otherwise("clean")))
+    return r.withColumn("subset", subset).select("subset", "row_id", "pa", "pb")
+
+
+def collision_confound(a: DataFrame, b: DataFrame, catalog_a: DataFrame, catalog_b: DataFrame, k: int = 10) -> DataFrame:
+    """(subset, n_rows, hr and ndcg of each side): all rows, and those whose target shares its SID in either catalog, or in none."""
     rates = [x for p, n in (("pa", "a"), ("pb", "b")) for x in _rates(p, n)]
-    return r.withColumn("subset", subset).groupBy("subset").agg(F.count("*").alias("n_rows"), *rates)
+    return collision_rows(a, b, catalog_a, catalog_b, k).groupBy("subset").agg(F.count("*").alias("n_rows"), *rates)
 
 
 def reachability(beam: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ SQL: dict[str, str] = {}
 
 #: Rounds of bootstraps here; the operators' own default is 2000.
 ROUNDS = 200
+_INTERVAL = f"max(v) FILTER (r = {int(ROUNDS * 0.025)}) AS lo, max(v) FILTER (r = {int(ROUNDS * 0.975) - 1}) AS hi"
+_REPORT = "n_rows, round(diff, 6) AS diff, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi, lo > 0 OR hi < 0 AS significant"
 #: A pointwise model of given weights, for scoring queries.
 MODEL = {
     "features": list(features.POINTWISE),
@@ -204,6 +206,11 @@ def sid_space(fx: Fixtures) -> DataFrame:
     return C.sid_space(fx.catalog())
 
 
+@query("SELECT sum(n) AS n_rows, count(*) AS unique_sids, sum(n - 1) AS duplicate_rows FROM (SELECT sid, count(*) AS n FROM cat_a GROUP BY 1)")
+def info_stats(fx: Fixtures) -> DataFrame:
+    return C.info_stats(fx.catalog().select("sid"))
+
+
 @query("SELECT count(*) AS n_rows, count(DISTINCT target) AS distinct_targets, count(*) FILTER (c.item IS NULL) AS missing_targets, count(*) FILTER (list_contains(hist, target)) AS repeat_rows, min(len(hist)) AS hist_min, max(len(hist)) AS hist_max, round(avg(len(hist)), 6) AS hist_mean FROM test LEFT JOIN cat_a c ON c.item = target")
 def test_set_stats(fx: Fixtures) -> DataFrame:
     return C.test_set_stats(fx.rows(), fx.catalog())
@@ -219,11 +226,18 @@ def ambiguous_sids(fx: Fixtures) -> DataFrame:
 
 @query("""WITH s AS (SELECT row_id, unnest(predict) AS sid FROM faulty)
     SELECT * FROM (SELECT count(*) AS n_rows, sum(len(predict) - len(list_distinct(predict))) AS duplicates, count(*) FILTER (len(predict) > len(list_distinct(predict))) AS rows_with_duplicates, '50' AS beam_sizes FROM faulty),
-    (SELECT count(*) AS n_predictions, count(*) FILTER (sid NOT IN (SELECT sid FROM cat_a)) AS illegal_sids, count(*) FILTER (len(regexp_extract_all(sid, '<[abc]_[0-9]+>')) <> 3) AS wrong_length, count(*) FILTER (sid = '') AS empty_predictions FROM s)""")
+    (SELECT count(*) AS n_predictions, count(*) FILTER (sid NOT IN (SELECT sid FROM cat_a)) AS illegal_sids, count(*) FILTER (len(regexp_extract_all(sid, '<[abc]_[0-9]+>')) <> 3) AS wrong_length, count(*) FILTER (sid = '') AS empty_predictions FROM s),
+    (SELECT count(*) FILTER (len(list_filter(regexp_extract_all(sid, '<[abc]_[0-9]+>'), lambda x: x NOT IN (SELECT unnest(regexp_extract_all(sid, '<[abc]_[0-9]+>')) FROM cat_a))) > 0) AS illegal_tokens FROM s)""")
 def prediction_audit(fx: Fixtures) -> DataFrame:
     return metrics.audit(fx.beam(faults=True), fx.catalog())
 
 
+@query("SELECT coalesce(x.u, y.u) AS row_id, x.target AS a, y.target AS b FROM test x FULL JOIN valid y ON x.u = y.u WHERE x.target IS DISTINCT FROM y.target")
+def split_order(fx: Fixtures) -> DataFrame:
+    of = lambda split: fx.rows(split).select(F.col("u").alias("row_id"), "target")
+    return metrics.order_mismatches(of("test"), of("valid"))
+
+
 @query("SELECT row_id, pos, sid FROM (SELECT row_id, unnest(predict) AS sid, unnest(range(50)) AS pos FROM faulty) WHERE sid NOT IN (SELECT sid FROM cat_a) ORDER BY 1, 2 LIMIT 10")
 def illegal_examples(fx: Fixtures) -> DataFrame:
     return metrics.illegal_examples(fx.beam(faults=True), fx.catalog())
@@ -280,6 +294,17 @@ def collision_confound(fx: Fixtures) -> DataFrame:
     return metrics.collision_confound(fx.beam(42, a), fx.beam(42, b), a, b)
 
 
+@query(f"""WITH r AS (SELECT row_id, CAST(coalesce(x.code_pos < 10, false) AS INT) AS a, CAST(coalesce(y.code_pos < 10, false) AS INT) AS b, EXISTS (SELECT 1 FROM enr_a e WHERE e.item = x.target AND n_items > 1) OR EXISTS (SELECT 1 FROM enr_b e WHERE e.item = x.target AND n_items > 1) AS shared FROM hits10_test42a x JOIN hits10_test42b y USING (row_id)),
+    s AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY row_id) - 1 AS idx FROM (SELECT 'all' AS subset, * FROM r UNION ALL SELECT CASE WHEN shared THEN 'collision' ELSE 'clean' END, * FROM r)),
+    m AS (SELECT subset, count(*) AS n_rows, avg(b - a) AS diff FROM s GROUP BY 1),
+    d AS (SELECT subset, n_rows, CAST(g AS INT) AS round, {oracles.u32('42', 'g', 'idx')} % n_rows AS idx FROM s JOIN m USING (subset), range({ROUNDS}) r(g)),
+    v AS (SELECT subset, round, sum(b - a) / any_value(n_rows) AS v FROM d JOIN s USING (subset, idx) GROUP BY 1, 2)
+    SELECT subset, {_REPORT} FROM m JOIN (SELECT subset, {_INTERVAL} FROM (SELECT subset, v, row_number() OVER (PARTITION BY subset ORDER BY v) - 1 AS r FROM v) GROUP BY 1) USING (subset)""")
+def collision_intervals(fx: Fixtures) -> DataFrame:
+    a, b = fx.catalog(), fx.catalog_b()
+    return resample.subset_bootstraps(diagnose.hits_of(metrics.collision_rows(fx.beam(42, a), fx.beam(42, b), a, b)), diagnose.SUBSETS, ROUNDS)
+
+
 @query("SELECT count(*) AS n_rows, count(code_pos) AS in_beam, count(strict_pos) AS strict_in_beam, round(count(code_pos) / count(*), 6) AS code_ceiling, round(count(strict_pos) / count(*), 6) AS strict_ceiling FROM hits50_test42a")
 def reachability(fx: Fixtures) -> DataFrame:
     return metrics.reachability(fx.beam(), fx.catalog())
@@ -287,8 +312,6 @@ def reachability(fx: Fixtures) -> DataFrame:
 
 # ---------------------------------------------------------------- resampling
 
-_INTERVAL = f"max(v) FILTER (r = {int(ROUNDS * 0.025)}) AS lo, max(v) FILTER (r = {int(ROUNDS * 0.975) - 1}) AS hi"
-_REPORT = "n_rows, round(diff, 6) AS diff, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi, lo > 0 OR hi < 0 AS significant"
 
 
 def _indexed(fx: Fixtures, protocol: str = "code") -> DataFrame:
@@ -331,27 +354,57 @@ def _seeds_sql(pos: str) -> str:
     return " UNION ALL ".join(f"SELECT {i} AS sidx, * FROM ({_pair_sql(f'hits10_test{s}a', f'hits10_test{s}b', pos)})" for i, s in enumerate((42, 43, 44)))
 
 
-@query(f"""WITH p AS (SELECT sidx, row_number() OVER (PARTITION BY sidx ORDER BY row_id) - 1 AS idx, b - a AS d FROM ({_seeds_sql('strict_pos')})), m AS (SELECT max(idx) + 1 AS n FROM p),
+def _two_stage_sql(pairs: str) -> str:
+    return f"""WITH p AS (SELECT sidx, row_number() OVER (PARTITION BY sidx ORDER BY row_id) - 1 AS idx, b - a AS d FROM ({pairs})), m AS (SELECT max(idx) + 1 AS n FROM p),
     q AS (SELECT CAST(z AS INT) AS round, n, {oracles.u32('7', 'z', "'s'", 'j')} % 3 AS sidx, {oracles.u32('7', 'z', 'j', 'idx')} % n AS idx FROM p, range({ROUNDS}) r(z), range(3) t(j), m WHERE p.sidx = 0),
     s AS (SELECT round, sum(d) / (3 * any_value(n)) AS v FROM q JOIN p USING (sidx, idx) GROUP BY 1)
-    SELECT {_REPORT} FROM (SELECT count(*) AS n_rows, avg(d) AS diff FROM p), (SELECT {_INTERVAL} FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM s))""")
-def two_stage_bootstrap(fx: Fixtures) -> DataFrame:
-    p = _seed_pairs(fx, "strict")
+    SELECT {_REPORT} FROM (SELECT count(*) AS n_rows, avg(d) AS diff FROM p), (SELECT {_INTERVAL} FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM s))"""
+
+
+def _two_stage(p: DataFrame) -> DataFrame:
     i = with_index(p.where("sidx = 0").select("row_id"), "row_id")
     return resample.two_stage_bootstrap(written(p.join(i, "row_id")), ROUNDS)
 
 
-def _summary_sql(pos: str, same: str) -> str:
-    return f"""WITH d AS (SELECT sidx, avg(b) - avg(a) AS diff FROM ({_seeds_sql(pos)}) GROUP BY 1), s AS (SELECT count(*) AS n_seeds, avg(diff) AS mean, stddev_samp(diff) AS sd, min(diff) AS lo, max(diff) AS hi FROM d), t AS (SELECT *, mean / (nullif(sd, 0) / sqrt(n_seeds)) AS t FROM s)
+@query(_two_stage_sql(_seeds_sql("strict_pos")))
+def two_stage_bootstrap(fx: Fixtures) -> DataFrame:
+    return _two_stage(_seed_pairs(fx, "strict"))
+
+
+#: Rows whose target has a SID of its own in both catalogs.
+_KEPT_SQL = f"SELECT p.* FROM ({_seeds_sql('strict_pos')}) p JOIN test t ON t.row_id = p.row_id JOIN enr_a x ON x.item = t.target JOIN enr_b y ON y.item = t.target WHERE x.n_items = 1 AND y.n_items = 1"
+
+
+def _kept_pairs(fx: Fixtures) -> DataFrame:
+    return _seed_pairs(fx, "strict").join(metrics.unique_in_both(fx.rows(), fx.catalog(), fx.catalog_b()), "row_id", "left_semi")
+
+
+@query(_two_stage_sql(_KEPT_SQL))
+def two_stage_bootstrap_kept(fx: Fixtures) -> DataFrame:
+    return _two_stage(_kept_pairs(fx))
+
+
+@query(f"SELECT sidx, count(*) AS n_rows, round(avg(a), 6) AS hr_a, round(avg(b), 6) AS hr_b, round(avg(b) - avg(a), 6) AS diff FROM ({_KEPT_SQL}) GROUP BY 1")
+def seed_means_kept(fx: Fixtures) -> DataFrame:
+    return resample.seed_means(_kept_pairs(fx))
+
+
+def _summary_sql(pairs: str, same: str) -> str:
+    return f"""WITH d AS (SELECT sidx, avg(b) - avg(a) AS diff FROM ({pairs}) GROUP BY 1), s AS (SELECT count(*) AS n_seeds, avg(diff) AS mean, stddev_samp(diff) AS sd, min(diff) AS lo, max(diff) AS hi FROM d), t AS (SELECT *, mean / (nullif(sd, 0) / sqrt(n_seeds)) AS t FROM s)
     SELECT n_seeds, round(mean, 6) AS mean, round(sd, 6) AS sd, round(lo, 6) AS lo, round(hi, 6) AS hi, round(t, 6) AS t, {same} AS same_sign, n_seeds - 1 AS df, round(1 - abs(t) / sqrt(t * t + 2), 4) AS p FROM t"""
 
 
-@query(_summary_sql("strict_pos", "lo > 0"))
+@query(_summary_sql(_KEPT_SQL, "lo > 0"))
+def seed_summary_kept(fx: Fixtures) -> DataFrame:
+    return resample.seed_summary(_kept_pairs(fx).groupBy("sidx").agg((F.avg("b") - F.avg("a")).alias("diff")))
+
+
+@query(_summary_sql(_seeds_sql("strict_pos"), "lo > 0"))
 def seed_summary(fx: Fixtures) -> DataFrame:
     return resample.seed_summary(_seed_pairs(fx, "strict").groupBy("sidx").agg((F.avg("b") - F.avg("a")).alias("diff")))
 
 
-@query(_summary_sql("product_pos", "lo > 0 OR hi < 0"))
+@query(_summary_sql(_seeds_sql("product_pos"), "lo > 0 OR hi < 0"))
 def seed_summary_product(fx: Fixtures) -> DataFrame:
     return resample.seed_summary(_seed_pairs(fx, "product").groupBy("sidx").agg((F.avg("b") - F.avg("a")).alias("diff")), either_sign=True)
 
@@ -391,12 +444,20 @@ def top_targets(fx: Fixtures) -> DataFrame:
     return diagnose.top_targets(fx.rows(), fx.catalog(), fx.catalog_b())
 
 
-@query("""SELECT log, count(*) AS points, round(arg_min(hr10, step), 6) AS start, round(max(hr10), 6) AS best, first(step ORDER BY hr10 DESC, step) AS best_step, round(arg_max(hr10, step), 6) AS final,
-    round(max(hr10) - arg_min(hr10, step), 6) AS gain_best, round(arg_max(hr10, step) - arg_min(hr10, step), 6) AS gain_final FROM mlog GROUP BY 1""")
+_CURVE = """SELECT log, count(*) AS points, round(arg_min(hr10, step), 6) AS start, round(max(hr10), 6) AS best, first(step ORDER BY hr10 DESC, step) AS best_step, round(arg_max(hr10, step), 6) AS final,
+    round(max(hr10) - arg_min(hr10, step), 6) AS gain_best, round(arg_max(hr10, step) - arg_min(hr10, step), 6) AS gain_final FROM mlog GROUP BY 1"""
+
+
+@query(_CURVE)
 def metric_curve(fx: Fixtures) -> DataFrame:
     return diagnose.metric_curve(fx.metric_log())
 
 
+@query(f"SELECT count(*) AS runs, round(avg(start), 6) AS mean_start, round(avg(best), 6) AS mean_best, round(avg(final), 6) AS mean_final, count(*) FILTER (gain_best > 0) AS wins FROM ({_CURVE})")
+def curve_summary(fx: Fixtures) -> DataFrame:
+    return diagnose.curve_summary(diagnose.metric_curve(fx.metric_log()))
+
+
 # ---------------------------------------------------------------- SID quality
 
 _STATES = """st AS (SELECT row_id, regexp_extract(l.sid, '^<a_[0-9]+>') AS x, l.sid AS x_full, regexp_extract(t.sid, '^<a_[0-9]+>') AS y FROM train JOIN cat_a t ON t.item = target JOIN cat_a l ON l.item = hist[-1])"""
@@ -438,6 +499,14 @@ def target_entropy(fx: Fixtures) -> DataFrame:
     return quality.information(_states(fx)).select("target_entropy", "target_classes")
 
 
+#: Drawn pairs of titles, the operator's default.
+_PAIRS = 100000
+
+
+def _titles(kind: str) -> str:
+    return oracles.u32("42", "i", f"'{kind}'")
+
+
 @query("""WITH t AS (SELECT regexp_extract(sid, '^<a_[0-9]+>') AS p, list_sort(list_distinct(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda x: length(x) >= 3))) AS k, item FROM cat_a),
     j AS (SELECT a.p = b.p AS same, CASE WHEN len(a.k) = 0 OR len(b.k) = 0 THEN 0.0 ELSE len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k))) END AS j FROM t a JOIN t b ON a.item < b.item)
     SELECT count(*) FILTER (same) AS within_pairs, count(*) FILTER (NOT same) AS across_pairs, round(avg(j) FILTER (same), 6) AS within, round(avg(j) FILTER (NOT same), 6) AS across, round(avg(j) FILTER (same) - avg(j) FILTER (NOT same), 6) AS gain FROM j""")
@@ -448,6 +517,19 @@ def title_coherence(fx: Fixtures) -> DataFrame:
 # ---------------------------------------------------------------- co-occurrence
 
 
+@query(f"""WITH t AS (SELECT *, row_number() OVER (ORDER BY p, item) - 1 AS idx, list_distinct(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda x: length(x) >= 3)) AS tokens FROM (SELECT item, title, regexp_extract(sid, '^<a_[0-9]+>') AS p FROM cat_a)),
+    g AS (SELECT p, min(idx) AS head, count(*) AS n FROM t GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY p) - 1 AS k FROM g WHERE n > 1),
+    m AS (SELECT (SELECT count(*) FROM k) AS n_keys, sum(n) AS n_all, CAST(ceil({_PAIRS} / (1 - sum(n * n) / (sum(n) * sum(n))) * 1.2) AS BIGINT) + 100 AS tries FROM g),
+    i1 AS (SELECT i, k.*, {_titles('a')} % n AS first FROM (SELECT i, {_titles('k')} % n_keys AS k FROM range({_PAIRS}) r(i), m) JOIN k USING (k)),
+    i2 AS (SELECT i, n_all AS n, {_titles('x')} % n_all AS first FROM m, range(200000) r(i) WHERE i < tries),
+    d AS (SELECT i, true AS same, head + first AS a, head + (first + 1 + {_titles('b')} % (n - 1)) % n AS b FROM i1 UNION ALL SELECT i, false, first, (first + 1 + {_titles('b')} % (n - 1)) % n FROM i2),
+    j AS (SELECT i, same, CASE WHEN len(x.tokens) = 0 OR len(y.tokens) = 0 THEN 0.0 ELSE len(list_intersect(x.tokens, y.tokens)) / len(list_distinct(list_concat(x.tokens, y.tokens))) END AS j FROM d JOIN t x ON x.idx = a JOIN t y ON y.idx = b WHERE same OR x.p <> y.p),
+    f AS (SELECT same, j FROM (SELECT *, row_number() OVER (PARTITION BY same ORDER BY i) AS r FROM j) WHERE r <= {_PAIRS})
+    SELECT count(*) FILTER (same) AS within_pairs, count(*) FILTER (NOT same) AS across_pairs, round(avg(j) FILTER (same), 6) AS within, round(avg(j) FILTER (NOT same), 6) AS across, round(avg(j) FILTER (same) - avg(j) FILTER (NOT same), 6) AS gain FROM f""")
+def title_coherence_sampled(fx: Fixtures) -> DataFrame:
+    return quality.sampled_title_coherence(fx.catalog(), n_pairs=_PAIRS)
+
+
 @query("SELECT a, b, c FROM pairs")
 def pair_counts(fx: Fixtures) -> DataFrame:
     return cooc.pair_counts(fx.rows("train"))
@@ -551,13 +633,24 @@ def fused_orders(fx: Fixtures) -> DataFrame:
 _FRESH = "(SELECT DISTINCT row_id, other AS item FROM (SELECT row_id, unnest(list_distinct(hist)) AS item FROM test) JOIN adj USING (item) WHERE rnk <= 20)"
 
 
-@query(f"""WITH fresh AS (SELECT f.row_id, f.item FROM {_FRESH} f JOIN cat_a c USING (item) WHERE NOT EXISTS (SELECT 1 FROM dist WHERE dist.row_id = f.row_id AND dist.sid = c.sid)), x AS (SELECT *, round({linear_sql(MODEL)}, 6) AS score FROM ({oracles.features('fresh', 'test')})),
-    o AS (SELECT row_id, sid, item, score FROM (SELECT *, row_number() OVER (PARTITION BY row_id, sid ORDER BY score DESC, item) AS r FROM x) WHERE r = 1)
-    SELECT row_id, sid, item, score, place FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, item) AS place FROM o) WHERE place <= 5""")
+_AUGMENTED = f"""fresh AS (SELECT f.row_id, f.item FROM {_FRESH} f JOIN cat_a c USING (item) WHERE NOT EXISTS (SELECT 1 FROM dist WHERE dist.row_id = f.row_id AND dist.sid = c.sid)), x AS (SELECT *, round({linear_sql(MODEL)}, 6) AS score FROM ({oracles.features('fresh', 'test')})),
+    o AS (SELECT row_id, sid, item, score FROM (SELECT *, row_number() OVER (PARTITION BY row_id, sid ORDER BY score DESC, item) AS r FROM x) WHERE r = 1),
+    au AS (SELECT row_id, sid, item, score, place FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, item) AS place FROM o) WHERE place <= 5)"""
+
+
+@query(f"WITH {_AUGMENTED} SELECT * FROM au")
 def augment_candidates(fx: Fixtures) -> DataFrame:
     return rank.augmented(fx.beam(), fx.rows(), _stats(fx), MODEL, 5, cap=20)
 
 
+@query(f"""WITH {_AUGMENTED}, r AS (SELECT b.row_id, e.n_items, list_contains(b.predict, b.output) OR EXISTS (SELECT 1 FROM au WHERE au.row_id = b.row_id AND au.sid = b.output) AS held FROM beam_test42a b JOIN enr_a e ON e.item = b.target)
+    SELECT count(*) AS n_rows, count(*) FILTER (held) AS in_beam, count(*) FILTER (held AND n_items = 1) AS strict_in_beam, round(count(*) FILTER (held) / count(*), 6) AS code_ceiling, round(count(*) FILTER (held AND n_items = 1) / count(*), 6) AS strict_ceiling FROM r""")
+def reachability_augmented(fx: Fixtures) -> DataFrame:
+    beam, c = fx.beam(), fx.catalog()
+    added = rank.augmented(beam, fx.rows(), _stats(fx), MODEL, 5, cap=20)
+    return metrics.reachability(rank.reordered(beam, learn.with_augmented(learn.scored(_by_sid(fx), MODEL), added), "rank"), c)
+
+
 _LIST = f"""n_items AS (SELECT row_id, count(*) AS n FROM prior GROUP BY 1), pop_item AS (SELECT item, row_number() OVER (ORDER BY item) AS pop FROM cat_a), pop_code AS (SELECT code, row_number() OVER (ORDER BY k DESC, f) AS pop FROM (SELECT l1 AS code, count(*) AS k, min(row_id) AS f FROM train JOIN enr_a ON item = target GROUP BY 1)),
     lp AS (SELECT *, row_number() OVER (PARTITION BY row_id, level ORDER BY score DESC, code) AS rnk FROM (SELECT row_id, level, code, round(sum(score), 9) AS score FROM (SELECT row_id, score, 1 AS level, l1 AS code FROM prior JOIN enr_a USING (item) UNION ALL SELECT row_id, score, 2, l2 FROM prior JOIN enr_a USING (item)) GROUP BY 1, 2, 3)),
     nl AS (SELECT row_id, count(*) FILTER (level = 1) AS n1, count(*) FILTER (level = 2) AS n2 FROM lp GROUP BY 1),
@@ -681,6 +774,15 @@ def negative_sample(fx: Fixtures) -> DataFrame:
     return sampling.negatives(train, train, cooc.ppmi(train))
 
 
+@query(f"""WITH near AS (SELECT row_id, item, row_number() OVER (PARTITION BY row_id ORDER BY v DESC, item) AS place FROM (SELECT row_id, other AS item, max(ppmi) AS v FROM (SELECT row_id, unnest(list_distinct(hist)) AS item FROM test) JOIN adj USING (item) WHERE rnk <= 200 GROUP BY 1, 2)), top AS (SELECT * FROM near WHERE place <= 60),
+    pool AS (SELECT row_id, item, place FROM top UNION ALL SELECT t.row_id, p.item, 60 + p.rnk FROM test t, popular p WHERE p.rnk <= 40 AND NOT EXISTS (SELECT 1 FROM top WHERE top.row_id = t.row_id AND top.item = p.item)),
+    pools AS (SELECT row_id, list(item ORDER BY place) AS items FROM pool JOIN test USING (row_id) WHERE item <> target AND len(hist) > 0 GROUP BY 1)
+    SELECT DISTINCT row_id, items[{_draw('b')} % len(items) + 1] AS item FROM pools, range(4) r(slot)""")
+def beamlike_negatives(fx: Fixtures) -> DataFrame:
+    train = fx.rows("train")
+    return sampling.beamlike_negatives(fx.rows(), train, cooc.ppmi(train))
+
+
 @query()
 def fit_pointwise(fx: Fixtures) -> DataFrame:
     train = fx.rows("train")

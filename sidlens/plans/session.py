@@ -7,7 +7,7 @@ import os
 import shutil
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,10 +45,15 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
-    """Dense zero-based numbers in an order, without gathering the rows: ranges are numbered apart, then shifted by what lies before them."""
+def with_running(df: DataFrame, value: Column, *order: str, name: str) -> DataFrame:
+    """Running sums in an order, each row's own value included, without gathering the rows: ranges are summed apart, then shifted by what lies before them."""
     dealt = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     # One row per range.
-    before = dealt.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
-    w = Window.partitionBy("_range").orderBy(*order)
-    return dealt.withColumn("_at", F.row_number().over(w)).join(F.broadcast(before), "_range").withColumn(name, (F.coalesce("_before", F.lit(0)) + F.col("_at") - 1).cast("long")).drop("_range", "_n", "_before", "_at")
+    before = dealt.groupBy("_range").agg(F.sum(value).alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dealt.withColumn("_at", F.sum(value).over(w)).join(F.broadcast(before), "_range").withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_at")).drop("_range", "_n", "_before", "_at")
+
+
+def with_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
+    """Dense zero-based numbers in an order, by ranges as in with_running."""
+    return with_running(df, F.lit(1), *order, name=name).withColumn(name, (F.col(name) - 1).cast("long"))

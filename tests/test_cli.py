@@ -54,10 +54,10 @@ SEEDS = f"--labels 1 2 --results-a @result_a1.json @result_a2.json --results-b @
         (f"product-level-eval {ONE}", '"bucket": "all"'),
         ("compare-results --a @result_a1.json --b @result_a2.json --rounds 20", '"n_rows": 20'),
         (f"compare-item-level {PAIR} --rounds 20", '"only_a"'),
-        (f"check-collision-confound {PAIR}", '"subset": "collision"'),
-        (f"analyze-sid {COMMON} --csv @test.csv", '"unique_sids": 9'),
+        (f"check-collision-confound {PAIR} --rounds 20", '"bootstrap"'),
+        (f"analyze-sid {COMMON} --csv @test.csv --info @info.txt", '"duplicate_rows": 21'),
         (f"analyze-sid-quality {COMMON} --train-csv @train.csv", '"nmi"'),
-        (f"analyze-seeds {SEEDS} --rounds 20", '"n_seeds": 2'),
+        (f"analyze-seeds {SEEDS} --csv-b @test.csv --rounds 20", '"summary_kept"'),
         (f"analyze-seeds-product {SEEDS} --rounds 20", '"n_seeds": 2'),
         (f"diagnose-shared-rows {SEEDS}", '"hits_a"'),
         (f"popularity-diagnostic {ONE} --train-csv @train.csv", '"bucket": ">100"'),
@@ -71,8 +71,15 @@ def test_command(spark, files, capsys, line, said):
     assert said in run(spark, files, capsys, line)
 
 
+def test_other_order_is_refused(spark, files, capsys):
+    with pytest.raises(SystemExit, match="differ in row"):
+        run(spark, files, capsys, f"analyze-seeds {SEEDS} --csv-b @valid.csv --rounds 20")
+
+
 def test_learned(spark, files, capsys):
-    run(spark, files, capsys, f"rerank-learned --mode fit --model @m {COMMON} --train-csv @train.csv --negatives 2")
+    run(spark, files, capsys, f"rerank-learned --mode fit --model @m {COMMON} --train-csv @train.csv --negatives 2 --draws 2")
+    run(spark, files, capsys, f"rerank-learned --mode fit --model @m2 {COMMON} --train-csv @train.csv --pool-mode beamlike --limit-rows 40")
+    assert '"code_ceiling"' in run(spark, files, capsys, f"rerank-learned --mode select --model @m,@m2 {ONE} --train-csv @train.csv --augment 2")
     assert '"lam"' in run(spark, files, capsys, f"rerank-learned --mode select --model @m {ONE} --train-csv @train.csv")
     assert '"variant": "fused"' in run(spark, files, capsys, f"rerank-learned --mode apply --model @m {ONE} --train-csv @train.csv --augment 2")
 

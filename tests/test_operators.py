@@ -2,9 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sidlens.operators import catalog, cooc, metrics, predictor, quality, rank, resample, sampling, transform
+from sidlens.operators import catalog, cooc, diagnose, metrics, predictor, quality, rank, resample, sampling, transform
 from sidlens.plans import queries as plans
-from sidlens.plans.session import with_index
+from sidlens.plans.session import with_index, with_running
 
 A, B, C, X = "<a_1><b_1><c_1>", "<a_1><b_2><c_1>", "<a_2><b_1><c_1>", "<a_9><b_9><c_9>"
 
@@ -40,6 +40,54 @@ def test_cutoff_and_audit(spark, cat):
     assert metrics.first_hits(b, cat, k=1).first()["code_pos"] is None
     a = metrics.audit(b, cat).first()
     assert (a["n_predictions"], a["illegal_sids"], a["wrong_length"], a["duplicates"], a["empty_predictions"]) == (4, 2, 1, 1, 1)
+    # X has no token of the catalog, the mixed SID only such; the empty candidate has no token.
+    b = beam_of(spark, (3, B, [X, "<a_2><b_2><c_1>", A, ""]))
+    a = metrics.audit(b, cat).first()
+    assert (a["illegal_sids"], a["illegal_tokens"]) == (3, 1)
+
+
+def test_split_order_and_kept(spark, cat):
+    rows = lambda *t: spark.createDataFrame(list(enumerate(t)), "row_id long, target int")
+    assert metrics.order_mismatches(rows(1, 2, None), rows(1, 2, None)).count() == 0
+    assert sorted(map(tuple, metrics.order_mismatches(rows(1, 2, 3), rows(1, 3)).collect())) == [(1, 2, 3), (2, 3, None)]
+    other = spark.createDataFrame([(i, f"<a_{i}><b_0><c_0>", "") for i in (1, 2, 3, 4)], "item int, sid string, title string")
+    # 1 and 4 share a SID in the first catalog, 5 is unknown to the second; 99 to both.
+    assert [r["row_id"] for r in metrics.unique_in_both(rows(1, 3, 4, 5, 99, 3), cat, other).orderBy("row_id").collect()] == [1, 5]
+
+
+def test_curves_and_info(spark):
+    log = spark.createDataFrame([("x", 0, 0.1), ("x", 10, 0.3), ("x", 20, 0.2), ("y", 0, 0.4), ("y", 5, 0.2)], "log string, step int, hr10 double")
+    s = diagnose.curve_summary(diagnose.metric_curve(log)).first()
+    assert tuple(s) == (2, 0.25, 0.35, 0.2, 1)
+    assert tuple(catalog.info_stats(spark.createDataFrame([(A,), (A,), (A,), (B,)], "sid string")).first()) == (4, 2, 2)
+    assert tuple(catalog.info_stats(spark.createDataFrame([], "sid string")).first()) == (0, 0, 0)
+
+
+def test_sampled_titles(spark):
+    # Items of a prefix share two of their three words, of different prefixes none.
+    rows = [(i, f"<a_{i % 4}><b_{i}><c_0>", f"group{i % 4} kind{i % 4} item{i}") for i in range(40)]
+    c = spark.createDataFrame(rows, "item int, sid string, title string")
+    assert tuple(quality.sampled_title_coherence(c, n_pairs=500).first()) == (500, 500, 0.5, 0.0, 0.5)
+    assert tuple(quality.sampled_title_coherence(c.where("item % 4 = 0"), n_pairs=50).first()) == (50, 0, 0.5, None, None)
+    assert tuple(quality.sampled_title_coherence(c.where("item < 4"), n_pairs=50).first()) == (0, 50, None, 0.0, None)
+    assert tuple(quality.sampled_title_coherence(c.where("item < 0")).first())[:2] == (0, 0)
+
+
+def test_beamlike_negatives(spark):
+    train = spark.createDataFrame([(i, i % 5, [(i + 1) % 5, (i + 2) % 5]) for i in range(20)] + [(20, 3, [])], "row_id long, target int, hist array<int>")
+    p = cooc.ppmi(train)
+    got = sampling.beamlike_negatives(train, train, p, per_row=6).collect()
+    target = {r["row_id"]: r["target"] for r in train.collect()}
+    assert {r["row_id"] for r in got} == set(range(20)) and all(r["item"] != target[r["row_id"]] for r in got)
+    assert len({tuple(r) for r in got}) == len(got)
+
+
+def test_running_sums(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("k"), (F.col("id") % 3).alias("v")).repartition(7)
+    want, total = {}, 0
+    for r in df.orderBy("k").collect():
+        want[r["k"]] = total = total + r["v"]
+    assert {r["k"]: r["s"] for r in with_running(df, F.col("v"), "k", name="s").collect()} == want
 
 
 def test_empty_beam(spark, cat):

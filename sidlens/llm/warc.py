@@ -19,15 +19,17 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mapped, saved, shared_dir
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 100
-#: Records of an archive, which is read as a whole; entries of a range of the index, which is merged by one task.
-ARCHIVE_RECORDS, RANGE = 2000, 100_000
+#: Bytes of a record up to which an archive has so many of them; an archive is read as a whole, so larger records are in archives of fewer.
+ARCHIVE_RECORDS = {1 << 15: 2000, 1 << 20: 64, 1 << 62: 1}
+#: Entries of a range of the index, which is merged by one task.
+RANGE = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Pages have no time of capture; the page of id n counts as captured n seconds after this one.
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
@@ -45,10 +47,10 @@ def revisits(pages: DataFrame) -> DataFrame:
     return meta.join(first, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """One `value` per page: the WARC record without the CRLF CRLF at its end."""
+def records(pages: DataFrame, which: Column | None = None) -> DataFrame:
+    """One `value` per page, or per page of which a condition holds: the WARC record without the CRLF CRLF at its end."""
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest")).join(revisits(pages), ["page_id", "digest"], "left")
+    rows = (pages if which is None else pages.where(which)).select("page_id", "url", "html", F.sha2(payload, 256).alias("digest")).join(revisits(pages), ["page_id", "digest"], "left")
     size = F.octet_length(payload)
     crlf = "\r\n"
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
@@ -79,12 +81,19 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> str:
-    """Archives of at most ARCHIVE_RECORDS records. Null payloads are empty, null URLs are left out; repeated rows have a record each."""
+    """Archives of at most as many records as ARCHIVE_RECORDS tells for their sizes, in a folder for each size. Null payloads are empty, null URLs are left out; repeated rows have a record each."""
     spark = pages.sparkSession
     zone = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     try:
-        records(pages).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+        size = F.octet_length(F.coalesce("html", F.lit("")))
+        counts = pages.agg(*[F.count_if((size > lo) & (size <= hi)) for lo, hi in zip([-1, *ARCHIVE_RECORDS], ARCHIVE_RECORDS)]).first()  # noqa: B905
+        least, first = -1, True
+        for (most, n), count in zip(ARCHIVE_RECORDS.items(), counts, strict=True):
+            if count or (first and most == 1 << 62):
+                records(pages, (size > least) & (size <= most)).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", n).text(f"{path}/of-{n}")
+                first = False
+            least = most
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     return path
@@ -153,7 +162,7 @@ def _order(e: dict) -> tuple:
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """An entry per record: each archive's sorted by URL key, time and page, with its place in that run."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     names = [c.split()[0] for c in ENTRY.split(", ")]
     types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
 
@@ -236,9 +245,9 @@ def merged_index(runs: DataFrame) -> DataFrame:
         yield from out.append_column("history", pa.array(history, pa.int64())).to_batches(max_chunksize=10_000)
 
     merged = saved(mapped(dealt, run, f"{ENTRY}, range int, place long, history long"), "merged")
-    # A URL key that goes on from one range to the next goes on being counted: at most one key of each range does.
-    last = merged.groupBy("range").agg(F.max("url_key").alias("url_key"), F.min("url_key").alias("least"))
-    across = last.select("url_key").intersect(last.select(F.col("least").alias("url_key"))) if merged.rdd.getNumPartitions() > 1 else last.select("url_key").limit(0)
+    # A URL key that goes on from one range to the next goes on being counted: it is the first or last key of several.
+    ends = merged.groupBy("range").agg(F.array_distinct(F.array(F.min("url_key"), F.max("url_key"))).alias("keys")).select("range", F.explode("keys").alias("url_key"))
+    across = ends.groupBy("url_key").agg(F.count("*").alias("n")).where("n > 1").select("url_key")
     each = merged.join(across, "url_key", "left_semi").groupBy("url_key", "range").agg(F.count("*").alias("n"))
     before = each.withColumn("before", F.sum("n").over(Window.partitionBy("url_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).where("before > 0").drop("n")
     return merged.join(before, ["url_key", "range"], "left").withColumn("history", F.col("history") + F.coalesce("before", F.lit(0))).drop("before")

@@ -231,6 +231,32 @@ def test_archives(spark, tmp_path, monkeypatch):
     assert warc.capture_index(df.limit(0)).count() == 0
 
 
+def test_history_goes_on_across_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE", 4)
+    rows = [(i, "http://a.b/x" if i < 16 else f"http://a.b/y{i}", f"page {i}") for i in range(20)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:  # files of all ranges are read as one partition
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        got = warc.capture_index(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len({r["range"] for r in got}) > 2
+    assert sorted((r["page_id"], r["history"]) for r in got) == [(i, i + 1 if i < 16 else 1) for i in range(20)]
+
+
+def test_archives_of_large_pages_hold_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", {100: 4, 1 << 20: 2, 1 << 62: 1})
+    rows = [(i, f"u{i}", "é" * n) for i, n in enumerate([0, 50, 51, 60, 10_000_000, 1 << 19, (1 << 19) + 1, 7, 3, 2])]
+    df = spark.createDataFrame([*rows, (99, "u", None)], "page_id long, url string, html string").coalesce(1)
+    path = tmp_path / "a"
+    got = {r["page_id"]: r for r in warc.capture_index(df, str(path)).collect()}
+    assert {i: got[i]["payload_bytes"] for i, _, _ in rows} == {i: 2 * len(t) for i, _, t in rows} and got[99]["payload_bytes"] == 0
+    assert {d.name: len(list(d.glob("*.gz"))) for d in path.iterdir() if d.is_dir()} == {"of-4": 2, "of-2": 2, "of-1": 2}
+
+
 def test_pages_that_share_an_id(spark, tmp_path):
     rows = [(7, "u", "x" * 200), (7, "u", "z" * 300), (1, "u", "x" * 200), (8, "u", "q" * 300), (8, "u", "x" * 200), (9, "u", "q" * 300)]
     got = warc.capture_index(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int"), str(tmp_path / "a")).collect()
@@ -243,7 +269,7 @@ def test_pages_that_share_an_id(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     sf, c = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     assert {tuple(r) for r in df.collect()} == set(c.sql(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})").fetchall())

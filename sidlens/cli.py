@@ -86,7 +86,7 @@ def product_level_eval(spark, a):
 
 
 def compare_results(spark, a):
-    pairs = written(with_index(metrics.paired(_code_hits(result_beam(spark, a.a), a.topk), _code_hits(result_beam(spark, a.b), a.topk)), "row_id"))
+    pairs = written(metrics.paired(_code_hits(result_beam(spark, a.a), a.topk), _code_hits(result_beam(spark, a.b), a.topk)))
     show(metrics.paired_table(pairs), a, "table")
     show(resample.paired_bootstrap(pairs, a.rounds), a, "bootstrap")
 
@@ -94,7 +94,7 @@ def compare_results(spark, a):
 def compare_item_level(spark, a):
     rows, ca, cb = rows_of(spark, a.csv), readers.catalog(spark, a.index), readers.catalog(spark, a.index_b)
     x, y = (_strict(beam_of(spark, r, rows, c), c, a.topk) for r, c in ((a.a, ca), (a.b, cb)))
-    pairs = written(with_index(metrics.paired(x, y), "row_id"))
+    pairs = written(metrics.paired(x, y))
     show(metrics.paired_table(pairs), a, "table")
     show(resample.paired_bootstrap(pairs, a.rounds), a, "bootstrap")
 
@@ -149,7 +149,7 @@ def _seeds(spark, a, protocol):
     if protocol == "strict":
         subsets["_kept"] = out.join(metrics.unique_in_both(rows, ca, cb), "row_id", "left_semi")
     for name, rows in subsets.items():
-        pairs = written(rows.join(with_index(rows.where("sidx = 0").select("row_id"), "row_id"), "row_id"), "pairs")
+        pairs = written(rows, "pairs")
         show(resample.seed_means(pairs, "label"), a, f"seeds{name}")
         diffs = pairs.groupBy("label").agg((F.avg("b") - F.avg("a")).alias("diff"))
         show(resample.seed_summary(diffs, protocol == "product"), a, f"summary{name}")
@@ -221,8 +221,7 @@ def _variant(spark, a, base, orders, c, column="new_rank"):
     new = metrics.hit_columns(rank.reordered(base, orders, column), c, k).select("row_id", F.col("strict").alias("hit"))
     pairs = metrics.paired(_strict(base, c, k), new)
     rows = rows_of(spark, a.csv).select("row_id", F.col("u").alias("cluster"))
-    pairs = written(with_index(pairs, "row_id").join(rows, "row_id"), "pairs")
-    pairs = pairs.join(with_index(pairs.select("cluster").distinct(), "cluster", name="cidx"), "cluster")
+    pairs = written(pairs.join(rows, "row_id"), "pairs")
     return resample.paired_bootstrap(pairs, a.rounds, 13).withColumn("interval", F.lit("rows")).union(resample.cluster_bootstrap(pairs, a.rounds).withColumn("interval", F.lit("users")))
 
 

@@ -85,6 +85,25 @@ TABLES["feat"] = f"SELECT d.row_id, d.sid, d.rank, {', '.join('f.' + n for n in
 TABLES["vfeat"] = f"SELECT d.row_id, d.sid, d.rank, {', '.join('f.' + n for n in _NAMES)} FROM vdist d JOIN (SELECT row_id, sid, {_avg} FROM vfeat_items GROUP BY 1, 2) f USING (row_id, sid)"
 
 
+def splitting_tree(name: str, seed: int, groups: str, plan: str) -> str:
+    """CTEs of which `name` has (round, stream, s, idx, n): how many draws fall on each group. groups: (s, idx, n, ...), idx from 0 in each set s; plan: (round, stream, s, draws). A row of the recursion is a node and what its split has decided so far."""
+    word = f"CAST('0x' || substr(md5('{seed}|' || round || '|' || stream || '|' || s || '|' || lo || '|' || hi || '|' || j || '|' || i), 1, 15) AS BIGINT)"
+    ones = f"CASE WHEN u > 0 AND r > 0 AND r < m THEN list_sum(list_transform(range(CAST(ceil(u / 60.0) AS BIGINT)), lambda i: bit_count(CASE WHEN u - 60 * i < 60 THEN {word} & ((CAST(1 AS BIGINT) << CAST(u - 60 * i AS INTEGER)) - 1) ELSE {word} END))) ELSE 0 END"
+    half = lambda w: f"list_max(list_filter([CAST(1 AS BIGINT) << CAST(x AS INTEGER) FOR x IN range(40)], lambda p: p < {w}))"
+    node = lambda lo, hi, n: f"{{'lo': {lo}, 'hi': {hi}, 'n': {n}, 'u': {n}, 'k': 0, 'r': cum[{lo} + coalesce({half(f'({hi}) - ({lo})')}, 0) + 1] - cum[{lo} + 1], 'm': cum[{hi} + 1] - cum[{lo} + 1], 'j': 0}}"
+    kinds = "STRUCT(lo BIGINT, hi BIGINT, n BIGINT, u BIGINT, k BIGINT, r BIGINT, m BIGINT, j BIGINT)"
+    return f"""{name}_c AS (SELECT s, list_prepend(CAST(0 AS BIGINT), list(c ORDER BY idx)) AS cum, count(*) AS g FROM (SELECT s, idx, CAST(sum(n) OVER (PARTITION BY s ORDER BY idx) AS BIGINT) AS c FROM {groups}) GROUP BY s),
+    {name}_t AS (
+        SELECT round, stream, s, x.lo, x.hi, x.n, x.u, x.k, x.r, x.m, x.j FROM (SELECT round, stream, s, CAST({node('0', 'g', 'draws')} AS {kinds}) AS x FROM {plan} JOIN {name}_c USING (s))
+        UNION ALL
+        SELECT round, stream, s, x.lo, x.hi, x.n, x.u, x.k, x.r, x.m, x.j FROM (
+            SELECT round, stream, s, unnest(CASE WHEN u > 0 AND r >= m THEN [CAST({{'lo': lo, 'hi': hi, 'n': n, 'u': 0, 'k': k + u, 'r': r, 'm': m, 'j': j}} AS {kinds})]
+                WHEN u > 0 AND r > 0 THEN [CAST({{'lo': lo, 'hi': hi, 'n': n, 'u': CASE WHEN 2 * r >= m THEN u - z ELSE z END, 'k': CASE WHEN 2 * r >= m THEN k + z ELSE k END, 'r': CASE WHEN 2 * r >= m THEN 2 * r - m ELSE 2 * r END, 'm': m, 'j': j + 1}} AS {kinds})]
+                ELSE [CAST({node('lo', '(lo + half)', 'k')} AS {kinds}), CAST({node('(lo + half)', 'hi', '(n - k)')} AS {kinds})] END) AS x
+            FROM (SELECT *, {ones} AS z, {half('hi - lo')} AS half FROM {name}_t JOIN {name}_c USING (s) WHERE hi - lo > 1 AND n > 0))),
+    {name} AS (SELECT round, stream, s, lo AS idx, n FROM {name}_t WHERE hi - lo = 1 AND n > 0)"""
+
+
 def with_tables(sql: str) -> str:
     """The query after the definitions of what it names."""
     needed: dict[str, str] = {}
@@ -99,6 +118,7 @@ def with_tables(sql: str) -> str:
     add(sql)
     own = sql.strip()
     head = ",\n".join(f"{n} AS ({t})" for n, t in needed.items())
-    if own.upper().startswith("WITH "):
-        return f"WITH {head},\n{own[5:]}" if head else own
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if own.upper().startswith(start):
+            return f"{start}{head},\n{own[len(start) :]}" if head else own
     return f"WITH {head}\n{own}" if head else own

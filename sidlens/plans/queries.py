@@ -18,8 +18,8 @@ from .session import with_index, written
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-#: Rounds of bootstraps here; the operators' own default is 2000.
-ROUNDS = 200
+#: Rounds of bootstraps, the operators' default.
+ROUNDS = 2000
 _INTERVAL = f"max(v) FILTER (r = {int(ROUNDS * 0.025)}) AS lo, max(v) FILTER (r = {int(ROUNDS * 0.975) - 1}) AS hi"
 _REPORT = "n_rows, round(diff, 6) AS diff, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi, lo > 0 OR hi < 0 AS significant"
 #: A pointwise model of given weights, for scoring queries.
@@ -121,8 +121,8 @@ def _new_index(fx: Fixtures) -> DataFrame:
     return fx.catalog_b().where("item % 97 <> 5")
 
 
-@query(f"""SELECT row_id, target, n.sid AS new_sid, '[' || h.lit || ']' AS new_history FROM test JOIN {_NEW} n ON n.item = target
-    JOIN (SELECT row_id, string_agg('''' || sid || '''', ', ' ORDER BY i) AS lit, count(*) FILTER (sid IS NULL) AS missing FROM (SELECT row_id, unnest(hist) AS item, unnest(range(len(hist))) AS i FROM test) LEFT JOIN {_NEW} USING (item) GROUP BY 1) h USING (row_id) WHERE missing = 0""")
+@query(f"""WITH m AS (SELECT map_from_entries(list((item, sid))) AS m FROM {_NEW}), r AS (SELECT row_id, target, m[target] AS new_sid, list_transform(hist, lambda i: m[i]) AS sids FROM test, m)
+    SELECT row_id, target, new_sid, '[' || array_to_string(list_transform(sids, lambda x: chr(39) || x || chr(39)), ', ') || ']' AS new_history FROM r WHERE new_sid IS NOT NULL AND len(list_filter(sids, lambda x: x IS NULL)) = 0""")
 def remap_sid(fx: Fixtures) -> DataFrame:
     return transform.remap(fx.rows(), _new_index(fx)).select("row_id", "target", "new_sid", S.list_literal(F.col("new_hist")).alias("new_history"))
 
@@ -158,10 +158,9 @@ def vocabulary(fx: Fixtures) -> DataFrame:
     return predictor.vocabulary(_sid_examples(fx, "train"))
 
 
-@query(f"""WITH v AS ({_VOCAB}), s AS (SELECT item, list_transform(regexp_extract_all(sid, '<[abc]_[0-9]+>'), lambda x: x) AS toks FROM cat_a),
-    i AS (SELECT item, string_agg(id, ' ' ORDER BY k) AS ids FROM (SELECT item, unnest(toks) AS token, unnest(range(3)) AS k FROM s) JOIN v USING (token) GROUP BY 1),
-    h AS (SELECT row_id, count(*) AS n, string_agg(ids, ' ' ORDER BY k) AS seq FROM (SELECT row_id, unnest(hist) AS item, unnest(range(len(hist))) AS k FROM test) JOIN i USING (item) GROUP BY 1)
-    SELECT row_id, 10 AS width, repeat('0 0 0 ', 10 - n) || seq AS history, i.ids AS target FROM test JOIN h USING (row_id) JOIN i ON i.item = target""")
+@query(f"""WITH v AS (SELECT map_from_entries(list((token, id))) AS v FROM ({_VOCAB})),
+    m AS (SELECT map_from_entries(list((item, array_to_string(list_transform(regexp_extract_all(sid, '<[abc]_[0-9]+>'), lambda t: v[t]), ' ')))) AS m FROM cat_a, v)
+    SELECT row_id, 10 AS width, repeat('0 0 0 ', 10 - len(hist)) || array_to_string(list_transform(hist, lambda i: m[i]), ' ') AS history, m[target] AS target FROM test, m""")
 def encode_examples(fx: Fixtures) -> DataFrame:
     e = predictor.encoded(_sid_examples(fx, "test"), predictor.vocabulary(_sid_examples(fx, "train")), width=10)
     text = lambda a: F.array_join(a.cast("array<string>"), " ")
@@ -294,12 +293,22 @@ def collision_confound(fx: Fixtures) -> DataFrame:
     return metrics.collision_confound(fx.beam(42, a), fx.beam(42, b), a, b)
 
 
-@query(f"""WITH r AS (SELECT row_id, CAST(coalesce(x.code_pos < 10, false) AS INT) AS a, CAST(coalesce(y.code_pos < 10, false) AS INT) AS b, EXISTS (SELECT 1 FROM enr_a e WHERE e.item = x.target AND n_items > 1) OR EXISTS (SELECT 1 FROM enr_b e WHERE e.item = x.target AND n_items > 1) AS shared FROM hits10_test42a x JOIN hits10_test42b y USING (row_id)),
-    s AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY row_id) - 1 AS idx FROM (SELECT 'all' AS subset, * FROM r UNION ALL SELECT CASE WHEN shared THEN 'collision' ELSE 'clean' END, * FROM r)),
-    m AS (SELECT subset, count(*) AS n_rows, avg(b - a) AS diff FROM s GROUP BY 1),
-    d AS (SELECT subset, n_rows, CAST(g AS INT) AS round, {oracles.u32('42', 'g', 'idx')} % n_rows AS idx FROM s JOIN m USING (subset), range({ROUNDS}) r(g)),
-    v AS (SELECT subset, round, sum(b - a) / any_value(n_rows) AS v FROM d JOIN s USING (subset, idx) GROUP BY 1, 2)
-    SELECT subset, {_REPORT} FROM m JOIN (SELECT subset, {_INTERVAL} FROM (SELECT subset, v, row_number() OVER (PARTITION BY subset ORDER BY v) - 1 AS r FROM v) GROUP BY 1) USING (subset)""")
+def _bootstrap_sql(before: str, seed: int, weight: str = "1", names: str = "''") -> str:
+    """The report of sets of p (s, d): the sum of d over that of a weight, in draws of as many rows as a set has. names: the sets' names."""
+    return f"""WITH RECURSIVE {before}, pg AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY d{", size" * (weight != "1")}) - 1 AS idx, d, {weight} AS w, count(*) AS n FROM p GROUP BY s, d, {weight}),
+    pm AS (SELECT s, count(*) AS draws, CAST(sum({weight}) AS BIGINT) AS n_rows, sum(d) / sum({weight}) AS diff FROM p GROUP BY s),
+    pp AS (SELECT g AS round, 0 AS stream, s, draws FROM pm, range({ROUNDS}) r(g)),
+    {oracles.splitting_tree("tr", seed, "pg", "pp")},
+    pv AS (SELECT s, round, sum(tr.n * d) / sum(tr.n * w) AS v FROM tr JOIN pg USING (s, idx) GROUP BY s, round),
+    pi AS (SELECT s, {_INTERVAL} FROM (SELECT s, v, row_number() OVER (PARTITION BY s ORDER BY v) - 1 AS r FROM pv) GROUP BY s)
+    SELECT {names} AS subset, {_REPORT} FROM pm JOIN pi USING (s)"""
+
+
+_COLLISIONS = f"""cr AS (SELECT row_id, CAST(coalesce(x.code_pos < 10, false) AS INT) AS a, CAST(coalesce(y.code_pos < 10, false) AS INT) AS b, EXISTS (SELECT 1 FROM enr_a e WHERE e.item = x.target AND n_items > 1) OR EXISTS (SELECT 1 FROM enr_b e WHERE e.item = x.target AND n_items > 1) AS shared FROM hits10_test42a x JOIN hits10_test42b y USING (row_id)),
+    p AS (SELECT list_position({list(diagnose.SUBSETS)}, subset) - 1 AS s, b - a AS d FROM (SELECT 'all' AS subset, * FROM cr UNION ALL SELECT CASE WHEN shared THEN 'collision' ELSE 'clean' END, * FROM cr))"""
+
+
+@query(_bootstrap_sql(_COLLISIONS, 42, names=f"{list(diagnose.SUBSETS)}[s + 1]"))
 def collision_intervals(fx: Fixtures) -> DataFrame:
     a, b = fx.catalog(), fx.catalog_b()
     return resample.subset_bootstraps(diagnose.hits_of(metrics.collision_rows(fx.beam(42, a), fx.beam(42, b), a, b)), diagnose.SUBSETS, ROUNDS)
@@ -314,32 +323,24 @@ def reachability(fx: Fixtures) -> DataFrame:
 
 
 
-def _indexed(fx: Fixtures, protocol: str = "code") -> DataFrame:
+def _pairs(fx: Fixtures) -> DataFrame:
     c = fx.catalog()
-    return written(with_index(metrics.paired(_hits(fx, 42, c, protocol), _hits(fx, 43, c, protocol)), "row_id"))
+    return written(metrics.paired(_hits(fx, 42, c, "code"), _hits(fx, 43, c, "code")))
 
 
-@query(f"""WITH p AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS idx, b - a AS d FROM ({_pair_sql('hits10_test42a', 'hits10_test43a', 'code_pos')})), m AS (SELECT count(*) AS n FROM p),
-    s AS (SELECT round, sum(d) / any_value(n) AS v FROM (SELECT CAST(g AS INT) AS round, {oracles.u32('42', 'g', 'idx')} % n AS j, n FROM p, range({ROUNDS}) r(g), m) q JOIN p ON p.idx = q.j GROUP BY 1)
-    SELECT {_REPORT} FROM (SELECT count(*) AS n_rows, avg(d) AS diff FROM p), (SELECT {_INTERVAL} FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM s))""")
-def paired_bootstrap(fx: Fixtures) -> DataFrame:
-    return resample.paired_bootstrap(_indexed(fx), ROUNDS)
+def _alone(sql: str) -> str:
+    return sql.replace("SELECT '' AS subset, ", "SELECT ")
 
 
-def _clusters(fx: Fixtures) -> DataFrame:
-    c = fx.catalog()
-    pairs = metrics.paired(_hits(fx, 42, c, "code"), _hits(fx, 43, c, "code"))
-    users = fx.table("customer").select(F.col("c_custkey").alias("u"), F.col("c_nationkey").alias("cluster"))
-    rows = pairs.withColumn("u", F.floor(F.col("row_id") / 100000)).join(users, "u").select("cluster", "a", "b")
-    return rows.join(with_index(rows.select("cluster").distinct(), "cluster", name="cidx"), "cluster")
+@query(_alone(_bootstrap_sql(f"p AS (SELECT 0 AS s, b - a AS d FROM ({_pair_sql('hits10_test42a', 'hits10_test43a', 'code_pos')}))", 42)))
+def paired_bootstrap(fx: Fixtures) -> DataFrame:
+    return resample.paired_bootstrap(_pairs(fx), ROUNDS)
 
 
-@query(f"""WITH p AS (SELECT c_nationkey AS cluster, b - a AS d FROM ({_pair_sql('hits10_test42a', 'hits10_test43a', 'code_pos')}) JOIN customer ON c_custkey = row_id // 100000),
-    g AS (SELECT row_number() OVER (ORDER BY cluster) - 1 AS idx, sum(d) AS d, count(*) AS k FROM p GROUP BY cluster), m AS (SELECT count(*) AS n FROM g),
-    s AS (SELECT round, sum(d) / sum(k) AS v FROM (SELECT CAST(z AS INT) AS round, {oracles.u32('17', 'z', 'idx')} % n AS j FROM g, range({ROUNDS}) r(z), m) q JOIN g ON g.idx = q.j GROUP BY 1)
-    SELECT {_REPORT} FROM (SELECT count(*) AS n_rows, avg(d) AS diff FROM p), (SELECT {_INTERVAL} FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM s))""")
+@query(_alone(_bootstrap_sql(f"p AS (SELECT 0 AS s, sum(b - a) AS d, count(*) AS size FROM ({_pair_sql('hits10_test42a', 'hits10_test43a', 'code_pos')}) JOIN customer ON c_custkey = row_id // 100000 GROUP BY c_nationkey)", 17, "size")))
 def cluster_bootstrap(fx: Fixtures) -> DataFrame:
-    return resample.cluster_bootstrap(_clusters(fx), ROUNDS)
+    users = fx.table("customer").select(F.col("c_custkey").alias("u"), F.col("c_nationkey").alias("cluster"))
+    return resample.cluster_bootstrap(_pairs(fx).withColumn("u", F.floor(F.col("row_id") / 100000)).join(users, "u"), ROUNDS)
 
 
 def _seed_pairs(fx: Fixtures, protocol: str) -> DataFrame:
@@ -355,20 +356,17 @@ def _seeds_sql(pos: str) -> str:
 
 
 def _two_stage_sql(pairs: str) -> str:
-    return f"""WITH p AS (SELECT sidx, row_number() OVER (PARTITION BY sidx ORDER BY row_id) - 1 AS idx, b - a AS d FROM ({pairs})), m AS (SELECT max(idx) + 1 AS n FROM p),
-    q AS (SELECT CAST(z AS INT) AS round, n, {oracles.u32('7', 'z', "'s'", 'j')} % 3 AS sidx, {oracles.u32('7', 'z', 'j', 'idx')} % n AS idx FROM p, range({ROUNDS}) r(z), range(3) t(j), m WHERE p.sidx = 0),
-    s AS (SELECT round, sum(d) / (3 * any_value(n)) AS v FROM q JOIN p USING (sidx, idx) GROUP BY 1)
-    SELECT {_REPORT} FROM (SELECT count(*) AS n_rows, avg(d) AS diff FROM p), (SELECT {_INTERVAL} FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM s))"""
-
-
-def _two_stage(p: DataFrame) -> DataFrame:
-    i = with_index(p.where("sidx = 0").select("row_id"), "row_id")
-    return resample.two_stage_bootstrap(written(p.join(i, "row_id")), ROUNDS)
+    return f"""WITH RECURSIVE p AS (SELECT sidx AS s, b - a AS d FROM ({pairs})), pm AS (SELECT count(*) AS n_rows, avg(d) AS diff FROM p),
+    pg AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY d) - 1 AS idx, d, count(*) AS n FROM p GROUP BY s, d),
+    pp AS (SELECT g AS round, x AS stream, {oracles.u32('7', 'g', "'s'", 'x')} % 3 AS s, n_rows // 3 AS draws FROM pm, range({ROUNDS}) r(g), range(3) q(x)),
+    {oracles.splitting_tree("tr", 7, "pg", "pp")},
+    pv AS (SELECT round, sum(tr.n * d) / sum(tr.n) AS v FROM tr JOIN pg USING (s, idx) GROUP BY round)
+    SELECT {_REPORT} FROM pm, (SELECT {_INTERVAL} FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM pv))"""
 
 
 @query(_two_stage_sql(_seeds_sql("strict_pos")))
 def two_stage_bootstrap(fx: Fixtures) -> DataFrame:
-    return _two_stage(_seed_pairs(fx, "strict"))
+    return resample.two_stage_bootstrap(written(_seed_pairs(fx, "strict")), ROUNDS)
 
 
 #: Rows whose target has a SID of its own in both catalogs.
@@ -381,7 +379,7 @@ def _kept_pairs(fx: Fixtures) -> DataFrame:
 
 @query(_two_stage_sql(_KEPT_SQL))
 def two_stage_bootstrap_kept(fx: Fixtures) -> DataFrame:
-    return _two_stage(_kept_pairs(fx))
+    return resample.two_stage_bootstrap(written(_kept_pairs(fx)), ROUNDS)
 
 
 @query(f"SELECT sidx, count(*) AS n_rows, round(avg(a), 6) AS hr_a, round(avg(b), 6) AS hr_b, round(avg(b) - avg(a), 6) AS diff FROM ({_KEPT_SQL}) GROUP BY 1")
@@ -732,20 +730,21 @@ def subset_select(fx: Fixtures) -> DataFrame:
     return learn.selected_subset(_subsets(fx), list(features.SUBSETS))
 
 
-_BOTH = f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(1 / (11 + rank) + 1.0 / (11 + new_rank), 9) DESC, rank) - 1 AS place FROM {_SCORED}),
+_BOTH = f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(1 / (11 + rank) + 1.0 / (11 + new_rank), 9) DESC, rank) - 1 AS place FROM {_SCORED}),
     h AS (SELECT s.row_id, min(place) FILTER (s.sid = t.sid) AS code_pos, any_value(t.n_items) AS ti, arg_min(k.n_keys, place) FILTER (k.key IS NOT NULL AND t.n_keys = 1) AS ak FROM s JOIN test USING (row_id) JOIN enr_a t ON t.item = target LEFT JOIN key_a k ON k.sid = s.sid AND k.key = t.key WHERE place < 10 GROUP BY 1),
-    w AS (SELECT x.row_id, row_number() OVER (ORDER BY x.row_id) - 1 AS idx, c_nationkey AS cluster, dense_rank() OVER (ORDER BY c_nationkey) - 1 AS cidx, [CAST(x.code_pos IS NOT NULL AS INT), CAST(x.strict_pos IS NOT NULL AS INT), CAST(x.product_pos IS NOT NULL AND NOT x.ambiguous_target AS INT)] AS a,
+    w AS (SELECT c_nationkey AS cluster, [CAST(x.code_pos IS NOT NULL AS INT), CAST(x.strict_pos IS NOT NULL AS INT), CAST(x.product_pos IS NOT NULL AND NOT x.ambiguous_target AS INT)] AS a,
       [CAST(h.code_pos IS NOT NULL AS INT), CAST(coalesce(h.code_pos IS NOT NULL AND ti = 1, false) AS INT), CAST(coalesce(ak = 1, false) AS INT)] AS b FROM hits10_test42a x LEFT JOIN h USING (row_id) JOIN customer ON c_custkey = x.row_id // 100000),
-    v AS (SELECT p, idx, cidx, a[p] AS a, b[p] AS b, b[p] - a[p] AS d FROM w, range(1, 4) r(p)),
-    m AS (SELECT count(*) AS n, max(cidx) + 1 AS k FROM w),
-    dr AS (SELECT CAST(g AS INT) AS round, {oracles.u32('13', 'g', 'idx')} % n AS idx FROM w, range({ROUNDS}) r(g), m),
-    rs AS (SELECT p, round, sum(d) / any_value(n) AS v FROM dr JOIN v USING (idx), m GROUP BY 1, 2),
-    cs AS (SELECT p, cidx, sum(d) AS d, count(*) AS c FROM v GROUP BY 1, 2),
-    cd AS (SELECT CAST(g AS INT) AS round, {oracles.u32('17', 'g', 'i')} % k AS cidx FROM m, range({ROUNDS}) r(g), LATERAL (SELECT unnest(range(0, k)) AS i)),
-    us AS (SELECT p, round, sum(d) / sum(c) AS v FROM cd JOIN cs USING (cidx) GROUP BY 1, 2),
+    d AS (SELECT cluster, a, b, [b[1] - a[1], b[2] - a[2], b[3] - a[3]] AS d FROM w),
+    rg AS (SELECT 0 AS s, row_number() OVER (ORDER BY d) - 1 AS idx, d, 1 AS size, count(*) AS n FROM d GROUP BY d),
+    ug AS (SELECT 0 AS s, row_number() OVER (ORDER BY d, size) - 1 AS idx, d, size, count(*) AS n FROM (SELECT [sum(d[1]), sum(d[2]), sum(d[3])] AS d, count(*) AS size FROM d GROUP BY cluster) GROUP BY d, size),
+    rp AS (SELECT g AS round, 0 AS stream, 0 AS s, n AS draws FROM (SELECT count(*) AS n FROM d), range({ROUNDS}) r(g)),
+    up AS (SELECT g AS round, 0 AS stream, 0 AS s, n AS draws FROM (SELECT count(DISTINCT cluster) AS n FROM d), range({ROUNDS}) r(g)),
+    {oracles.splitting_tree("rt", 13, "rg", "rp")}, {oracles.splitting_tree("ut", 17, "ug", "up")},
+    rs AS (SELECT p, round, sum(rt.n * d[p]) / sum(rt.n * size) AS v FROM rt JOIN rg USING (s, idx), range(1, 4) q(p) GROUP BY p, round),
+    us AS (SELECT p, round, sum(ut.n * d[p]) / sum(ut.n * size) AS v FROM ut JOIN ug USING (s, idx), range(1, 4) q(p) GROUP BY p, round),
     ri AS (SELECT p, {_INTERVAL} FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY v) - 1 AS r FROM rs) GROUP BY 1),
     ui AS (SELECT p, {_INTERVAL} FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY v) - 1 AS r FROM us) GROUP BY 1)
-    SELECT ['code', 'strict', 'product'][p] AS protocol, count(*) AS n_rows, sum(a) AS base_hits, sum(b) AS new_hits, round(avg(d), 6) AS diff, round(any_value(ri.lo), 6) AS ci_lo, round(any_value(ri.hi), 6) AS ci_hi, round(any_value(ui.lo), 6) AS user_lo, round(any_value(ui.hi), 6) AS user_hi FROM v JOIN ri USING (p) JOIN ui USING (p) GROUP BY p"""
+    SELECT ['code', 'strict', 'product'][p] AS protocol, count(*) AS n_rows, sum(a[p]) AS base_hits, sum(b[p]) AS new_hits, round(avg(d[p]), 6) AS diff, round(any_value(ri.lo), 6) AS ci_lo, round(any_value(ri.hi), 6) AS ci_hi, round(any_value(ui.lo), 6) AS user_lo, round(any_value(ui.hi), 6) AS user_hi FROM d, range(1, 4) r(p) JOIN ri USING (p) JOIN ui USING (p) GROUP BY p"""
 
 
 @query(_BOTH)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,24 +26,33 @@ def session(cores: str = "*", partitions: int = 8, name: str = "sidlens") -> Spa
     )
 
 
-#: Used only where spark.checkpoint.dir is unset, as in tests; removed at exit.
-_OWN = f"/tmp/checkpoints/sidlens-{os.getpid()}"
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Unset, it is one of our own, removed at exit, if all runs on this machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        atexit.register(shutil.rmtree, _OWN, ignore_errors=True)
-        found = _OWN
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{tempfile.gettempdir()}/checkpoints/sidlens-{os.getpid()}"
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
 def written(df: DataFrame, label: str = "table") -> DataFrame:
     """The rows as Parquet in the shared folder, read back: computed once, and safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `written` gave and that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_running(df: DataFrame, value: Column, *order: str, name: str) -> DataFrame:

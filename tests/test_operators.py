@@ -116,11 +116,53 @@ def test_archived_identities(spark):
     assert resample.seed_summary(spark.createDataFrame([(0.1,)], "diff double")).first()["sd"] is None
 
 
-def test_bootstraps_agree(spark):
-    pairs = with_index(spark.range(400).select(F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("a"), (F.col("id") % 2 == 0).cast("int").alias("b")), "row_id")
-    x, y = resample.paired_bootstrap(pairs, 200).first(), resample.poisson_bootstrap(pairs, 200).first()
-    assert x["diff"] == y["diff"] and x["ci_lo"] < x["diff"] < x["ci_hi"]
-    assert abs(x["ci_lo"] - y["ci_lo"]) < 0.03 and abs(x["ci_hi"] - y["ci_hi"]) < 0.03
+def test_binomials_are_binomial():
+    for n, c, m in ((0, 1, 3), (5, 0, 3), (7, 3, 3), (130, 1, 2), (130, 2, 7), (61, 99, 100)):
+        drawn = np.array([resample.binomial(f"x|{i}", n, c, m) for i in range(3000)])
+        p = c / m
+        assert drawn.min() >= 0 and drawn.max() <= n
+        assert abs(drawn.mean() - n * p) <= 4 * (n * p * (1 - p) / 3000) ** 0.5
+        assert abs(drawn.var() - n * p * (1 - p)) <= 0.15 * n * p * (1 - p)
+    assert resample.binomial("large", 2**20, 2**61, 2**62) == resample.ones("large|0", 2**20)
+
+
+def test_splits_share_out_all_draws():
+    before = np.concatenate(([0], np.cumsum(np.arange(1, 101)))).tolist()
+    whole = dict(resample.splits("k", 500, lambda i: before[i], 0, 100))
+    assert sum(whole.values()) == 500
+    parts = dict(resample.splits("k", 500, lambda i: before[min(100, -(-i // 8) * 8)], 0, 100, 8))
+    again = {i: n for lo, n in parts.items() for i, n in resample.splits("k", n, lambda i: before[i], lo, min(lo + 8, 100))}
+    assert again == whole and {lo: sum(n for i, n in whole.items() if lo <= i < lo + 8) for lo in parts} == parts
+    counts = np.zeros(100)
+    for k in range(400):
+        for i, n in resample.splits(str(k), 5050, lambda i: before[i], 0, 100):
+            counts[i] += n
+    assert np.abs(counts / 400 - np.arange(1, 101)).max() < 2.5  # five deviations of the mean at the most frequent
+
+
+def test_bootstraps(spark, monkeypatch):
+    rows = [(i, i % 5, int(i % 3 == 0), int(i % 2 == 0)) for i in range(400)]
+    pairs = spark.createDataFrame(rows, "row_id long, cluster long, a int, b int")
+    d = np.array([b - a for _, _, a, b in rows])
+    x = resample.paired_bootstrap(pairs, 1000).first()
+    means = np.sort(np.random.default_rng(0).choice(d, (1000, 400)).mean(1))
+    assert x["n_rows"] == 400 and x["diff"] == round(d.mean(), 6)
+    assert abs(x["ci_lo"] - means[25]) < 0.02 and abs(x["ci_hi"] - means[974]) < 0.02
+    weighted = pairs.withColumn("b", F.col("b") + F.col("row_id"))  # as many groups as rows
+    parts = [resample.paired_bootstrap(weighted, 50).first()]
+    users = [resample.cluster_bootstrap(weighted, 50).first()]
+    monkeypatch.setattr(resample, "PART", 16)
+    parts.append(resample.paired_bootstrap(weighted, 50).first())
+    users.append(resample.cluster_bootstrap(weighted, 50).first())
+    assert parts[0] == parts[1] and users[0] == users[1]
+    none = resample.paired_bootstrap(pairs.limit(0), 20).first()
+    assert none["n_rows"] == 0 and none["diff"] is None
+    sets = pairs.select(F.when(F.col("row_id") < 100, "x").otherwise("y").alias("subset"), "a", "b")
+    got = {r["subset"]: r for r in resample.subset_bootstraps(sets, ["y", "none", "x"], 40).collect()}
+    assert {k: r["n_rows"] for k, r in got.items()} == {"x": 100, "y": 300}
+    two = pairs.select((F.col("row_id") % 2).cast("int").alias("sidx"), "a", "b")
+    r = resample.two_stage_bootstrap(two, 200).first()
+    assert r["n_rows"] == 400 and r["ci_lo"] <= r["diff"] <= r["ci_hi"]
 
 
 def test_with_index(spark):

@@ -96,19 +96,22 @@ def manifest(rows: DataFrame, fields: Sequence[str] = FIELDS, group: str = "sour
     return Manifest(leaves, levels, top, bytes(top[-1].first()["digest"]).hex())
 
 
-def looked_up(nodes: DataFrame) -> DataFrame:
-    """(tree, idx, step) of each node beside others: step holds its place in its run and the run's other digests, left to right.
+def looked_up(nodes: DataFrame, *more: str) -> DataFrame:
+    """(tree, run, idx, step, and more of the columns) of each node beside others: step holds its place in its run and the run's other digests, left to right.
 
     A node explodes its siblings' coordinates, which follow from its index and the
-    level's size; they are joined with the node table and put in order. A coordinate
-    is asked for by the rest of its run only.
+    level's size; they are joined with the node table and put in order. Nodes are
+    dealt by run once, before they are exploded, and stay where they are: of the
+    join's condition the place within the run is no key.
     """
-    start = F.floor(F.col("idx") / FANOUT) * FANOUT
-    run = F.sequence(start, F.least(start + FANOUT, F.col("n")) - 1)
-    asked = nodes.where("n > 1").select("tree", "idx", F.explode_outer(F.array_remove(run, F.col("idx"))).alias("sibling"))
-    held = nodes.select("tree", F.col("idx").alias("sibling"), "digest")
-    found = asked.join(held, ["tree", "sibling"], "left").groupBy("tree", "idx").agg(F.array_sort(F.collect_list(F.when(F.col("digest").isNotNull(), F.struct("sibling", "digest"))))["digest"].alias("siblings"))
-    return found.select("tree", "idx", F.struct((F.col("idx") % FANOUT).cast("int").alias("place"), "siblings").alias("step"))
+    run = F.floor(F.col("idx") / FANOUT)
+    siblings = F.array_remove(F.sequence(run * FANOUT, F.least((run + 1) * FANOUT, F.col("n")) - 1), F.col("idx"))
+    asked = nodes.where("n > 1").select("tree", run.alias("run"), "idx", siblings.alias("siblings"), *more).repartition("tree", "run").withColumn("sibling", F.explode_outer("siblings"))
+    held = nodes.select(F.col("tree").alias("of"), run.alias("in"), F.col("idx").alias("at"), "digest").hint("shuffle_hash")
+    found = asked.join(held, (F.col("tree") == F.col("of")) & (F.col("run") == F.col("in")) & (F.col("sibling") - F.col("at") == 0), "left")
+    step = F.array_sort(F.collect_list(F.when(F.col("digest").isNotNull(), F.struct("sibling", "digest"))))["digest"]
+    found = found.groupBy("tree", "run", "idx").agg(step.alias("siblings"), *[F.first(c).alias(c) for c in more])
+    return found.select("tree", "run", "idx", F.struct((F.col("idx") % FANOUT).cast("int").alias("place"), "siblings").alias("step"), *more)
 
 
 _PATH = "array<struct<place:int,siblings:array<binary>>>"
@@ -132,10 +135,10 @@ def upper_paths(levels: list[DataFrame], above: DataFrame | None) -> tuple[DataF
 
 
 def handed_down(steps: DataFrame, parents: DataFrame) -> DataFrame:
-    """The columns of steps (tree, idx, step, ...), but with subroot and path instead of the step."""
-    up = parents.select("tree", F.col("idx").alias("up"), "subroot", "path")
-    more = [c for c in steps.columns if c not in ("tree", "idx", "step")]
-    return steps.withColumn("up", F.floor(F.col("idx") / FANOUT)).join(up, ["tree", "up"]).select("tree", "idx", "subroot", F.concat(F.array("step"), "path").alias("path"), *more)
+    """The columns of steps (tree, run, idx, step, ...), but with subroot and path instead of run and step."""
+    up = parents.select("tree", F.col("idx").alias("run"), "subroot", "path")
+    more = [c for c in steps.columns if c not in ("tree", "run", "idx", "step")]
+    return steps.join(up, ["tree", "run"]).select("tree", "idx", "subroot", F.concat(F.array("step"), "path").alias("path"), *more)
 
 
 def proofs(m: Manifest) -> DataFrame:
@@ -147,7 +150,7 @@ def proofs(m: Manifest) -> DataFrame:
     out = m.leaves.where("n = 1").join(over, "tree").select("id", "leaf", "changed", "subroot", "path")
     if paths is None:
         return out
-    own = looked_up(m.levels[0]).join(m.leaves.select("tree", "idx", "id", "leaf", "changed"), ["tree", "idx"])
+    own = looked_up(m.leaves.withColumn("digest", F.col("leaf")), "id", "leaf", "changed")
     return out.union(handed_down(own, paths).select("id", "leaf", "changed", "subroot", "path"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sid as S
+from ..plans.session import written
 
 
 def _unique(rows: DataFrame) -> DataFrame:
@@ -32,13 +33,18 @@ def target_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("target").alias("item")).agg(F.count("*").alias("n"))
 
 
-def ppmi(rows: DataFrame, min_history: int = 1) -> DataFrame:
-    """(a, b, c, ppmi), a < b, of positive values: ln(c T / (n_a n_b)), T the total of pair counts. The marginals are history counts, so this is no normalized PMI."""
-    pairs, n = pair_counts(rows, min_history), item_counts(rows, min_history)
+def weighed_pairs(rows: DataFrame, min_history: int = 1) -> DataFrame:
+    """(a, b, c, na, nb, ppmi), a < b: all pairs, their counts and those of both items, and ln(c T / (n_a n_b)), T the total of pair counts. The marginals are history counts, so this is no normalized PMI."""
+    pairs, n = written(pair_counts(rows, min_history), "pairs"), item_counts(rows, min_history)
     total = pairs.agg(F.sum("c").alias("total"))  # one row
     v = F.ln(F.col("c") * F.col("total").cast("double") / (F.col("na") * F.col("nb").cast("double")))
-    r = pairs.join(n.select(F.col("item").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b").crossJoin(total)
-    return r.select("a", "b", "c", F.round(v, 9).alias("ppmi")).where("ppmi > 0")
+    r = pairs.join(n.select(F.col("item").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b").crossJoin(F.broadcast(total))
+    return r.select("a", "b", "c", "na", "nb", F.round(v, 9).alias("ppmi"))
+
+
+def ppmi(rows: DataFrame, min_history: int = 1) -> DataFrame:
+    """(a, b, c, ppmi), a < b, of positive values."""
+    return weighed_pairs(rows, min_history).where("ppmi > 0").select("a", "b", "c", "ppmi")
 
 
 def symmetric(p: DataFrame) -> DataFrame:
@@ -100,10 +106,3 @@ def beamlike_pool(rows: DataFrame, p: DataFrame, train: DataFrame, size: int = 6
     more = rows.select("row_id").crossJoin(F.broadcast(popular(train, n_popular).select("item", "rnk")))  # n_popular rows
     more = more.join(near.select("row_id", "item"), ["row_id", "item"], "left_anti").select("row_id", "item", (F.lit(size) + F.col("rnk")).alias("place"))
     return near.union(more)
-
-
-def history_scores(cand: DataFrame, rows: DataFrame, p: DataFrame) -> DataFrame:
-    """(row_id, item, ppmi_sum, ppmi_max, n): of candidates (row_id, item) against the different items of their row's history."""
-    h = _unique(rows).select("row_id", F.explode("items").alias("other"))
-    s = cand.select("row_id", "item").distinct().join(h, "row_id").join(symmetric(p), ["item", "other"])
-    return s.groupBy("row_id", "item").agg(F.sum("ppmi").alias("ppmi_sum"), F.max("ppmi").alias("ppmi_max"), F.count("*").alias("n"))

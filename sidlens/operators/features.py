@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import sid as S
 from ..plans.session import with_index, written
 from . import cooc
+from .blocks import PairBlocks, matched, pair_blocks
 
 POINTWISE = ("ppmi_sum", "ppmi_max", "cooc_norm", "pop_log", "in_history", "last_same", "l1_frac", "l2_frac", "prev_l1", "prev_l2", "hist_len_log", "sid_shared", "pop_l1_rate", "pop_l2_rate")
 LISTWISE = (*POINTWISE, "rank_model", "is_top1", "prior_item_rank_log", "prior_l1_rank_log", "prior_l2_rank_log", "branch_l1_slots", "branch_l2_slots")
@@ -28,38 +30,43 @@ NO_ITEM, NO_CODE = 9999, 999
 
 @dataclass
 class Stats:
-    """What a training split says: pair statistics and counts, each a table."""
+    """What a training split says, each a table that is written once, for many steps read it."""
 
     train: DataFrame
     catalog: DataFrame
     min_history: int = 1
 
     def __post_init__(self):
-        # Read by many steps, so written once.
-        self.ppmi = written(cooc.ppmi(self.train, self.min_history), "ppmi")
-        self.hist_counts = written(cooc.item_counts(self.train, self.min_history), "hist_counts")
-        self.target_counts = written(cooc.target_counts(self.train), "target_counts")
-        self.levels = written(cooc.level_priors(self.train, self.catalog), "levels")
+        self.pairs = written(cooc.weighed_pairs(self.train, self.min_history), "weighed")
+        self.ppmi = self.pairs.where("ppmi > 0").select("a", "b", "c", "ppmi")
         self.n_targets = self.train.count()
 
+    @cached_property
+    def blocks(self) -> PairBlocks:
+        return pair_blocks(self.pairs)
+
+    @cached_property
+    def items(self) -> DataFrame:
+        """(item, sid, l1, l2, sid_shared, t, t1, t2): the catalog with how often an item and its codes are a target."""
+        counts = written(cooc.target_counts(self.train), "target_counts")
+        sid = F.col("sid")
+        c = self.catalog.select("item", "sid", S.level1(sid).alias("l1"), S.level2(sid).alias("l2"))
+        c = written(c.join(c.groupBy("sid").agg((F.count("*") > 1).cast("double").alias("sid_shared")), "sid").join(counts.select("item", F.col("n").alias("t")), "item", "left"), "counted")
+        level = lambda k: c.groupBy(f"l{k}").agg(F.coalesce(F.sum("t"), F.lit(0)).alias(f"t{k}"))
+        return written(c.join(level(1), "l1").join(level(2), "l2").select("item", "sid", "l1", "l2", "sid_shared", F.coalesce("t", F.lit(0)).alias("t"), "t1", "t2"), "items")
+
 
 def pointwise(cand: DataFrame, rows: DataFrame, st: Stats) -> DataFrame:
     """(row_id, item, sid, the 14 features) of candidates (row_id, item) that the catalog knows."""
-    c = st.catalog.select("item", "sid", S.level1(F.col("sid")).alias("l1"), S.level2(F.col("sid")).alias("l2"))
-    shared = st.catalog.groupBy("sid").agg((F.count("*") > 1).cast("double").alias("sid_shared"))
-    c = c.join(shared, "sid")
-    # History: different items with their keys, the last item's keys, lengths.
-    u = rows.select("row_id", F.explode(F.array_distinct("hist")).alias("item")).join(c.select("item", "l1", "l2"), "item")
-    keys = u.groupBy("row_id").agg(F.collect_list("l1").alias("h1"), F.collect_list("l2").alias("h2"))
-    last = rows.select("row_id", F.element_at("hist", -1).alias("item"), F.col("hist")).join(c.select("item", F.col("l1").alias("p1"), F.col("l2").alias("p2")), "item", "left").select("row_id", "hist", F.col("item").alias("last"), "p1", "p2")
-    h = last.join(keys, "row_id", "left")
-    # Candidate against history: pair counts and PPMI.
-    pairs = cooc.symmetric(st.ppmi).join(st.hist_counts.select(F.col("item").alias("other"), F.col("n").alias("n_other")), "other")
-    flat = rows.select("row_id", F.explode(F.array_distinct("hist")).alias("other"))
-    cand = cand.select("row_id", "item").distinct()
-    s = cand.join(flat, "row_id").join(pairs, ["item", "other"]).groupBy("row_id", "item").agg(F.sum("ppmi").alias("ps"), F.max("ppmi").alias("pm"), F.sum(F.col("c") / F.greatest("n_other", F.lit(1))).alias("cn"))
-    level = lambda k: st.levels.where(F.col("level") == k).select(F.col("code").alias(f"l{k}"), F.col("n").alias(f"t{k}"))
-    r = cand.join(c, "item").join(h, "row_id").join(s, ["row_id", "item"], "left").join(st.target_counts.select("item", F.col("n").alias("t")), "item", "left").join(level(1), "l1", "left").join(level(2), "l2", "left")
+    known = cand.select("row_id", "item").distinct().join(st.items, "item")
+    # A history's items with their keys, as an array: histories are bounded.
+    u = rows.select("row_id", F.posexplode("hist").alias("pos", "item")).join(st.items.select("item", "l1", "l2"), "item")
+    u = u.groupBy("row_id").agg(F.collect_list(F.struct("pos", "item", "l1", "l2")).alias("own"))
+    distinct = F.array_distinct(F.transform("own", lambda x: F.struct(x["item"].alias("item"), x["l1"].alias("l1"), x["l2"].alias("l2"))))
+    last = F.get(F.filter("own", lambda x: x["pos"] == F.size("hist") - 1), F.lit(0))
+    h = rows.select("row_id", "hist").join(u, "row_id", "left").select("row_id", "hist", distinct["l1"].alias("h1"), distinct["l2"].alias("h2"), last["l1"].alias("p1"), last["l2"].alias("p2"))
+    s = matched(known, rows, st.blocks)
+    r = known.join(s, ["row_id", "item"], "left").join(h, "row_id")
     size, n_u = F.size("hist"), F.greatest(F.size(F.array_distinct("hist")), F.lit(1))
     root = F.sqrt(F.greatest(size, F.lit(1)).cast("double"))
     zero = lambda x: F.coalesce(x, F.lit(0.0))
@@ -70,20 +77,20 @@ def pointwise(cand: DataFrame, rows: DataFrame, st: Stats) -> DataFrame:
         "row_id",
         "item",
         "sid",
-        zero(F.col("ps") / root).alias("ppmi_sum"),
-        zero(F.col("pm")).alias("ppmi_max"),
-        zero(F.col("cn") / root).alias("cooc_norm"),
-        F.log1p(F.coalesce("t", F.lit(0)).cast("double")).alias("pop_log"),
+        zero(F.col("ppmi_sum") / root).alias("ppmi_sum"),
+        zero(F.col("ppmi_max")).alias("ppmi_max"),
+        zero(F.col("share_sum") / root).alias("cooc_norm"),
+        F.log1p(F.col("t").cast("double")).alias("pop_log"),
         flag(F.array_contains("hist", F.col("item"))).alias("in_history"),
-        flag(F.col("last") == F.col("item")).alias("last_same"),
+        flag(F.element_at("hist", -1) == F.col("item")).alias("last_same"),
         share("h1", "l1").alias("l1_frac"),
         share("h2", "l2").alias("l2_frac"),
         flag(F.col("p1") == F.col("l1")).alias("prev_l1"),
         flag(F.col("p2") == F.col("l2")).alias("prev_l2"),
         F.log1p(size.cast("double")).alias("hist_len_log"),
         "sid_shared",
-        (F.log1p(F.coalesce("t1", F.lit(0)).cast("double")) - total).alias("pop_l1_rate"),
-        (F.log1p(F.coalesce("t2", F.lit(0)).cast("double")) - total).alias("pop_l2_rate"),
+        (F.log1p(F.col("t1").cast("double")) - total).alias("pop_l1_rate"),
+        (F.log1p(F.col("t2").cast("double")) - total).alias("pop_l2_rate"),
     )
 
 

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import cosine
+from ..functions.stats import dot
+from ..plans.session import written
 from . import cooc
+from .blocks import matched, pair_blocks
 from .features import POINTWISE, Stats, beam_candidates, pointwise
 
 #: Scores are rounded before they are ranked, so that sums in another order rank alike.
@@ -33,7 +35,7 @@ def linear_score(features: DataFrame, names: Sequence[str], mean: Sequence[float
 
 
 def by_cooccurrence(beam: DataFrame, rows: DataFrame, p: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(row_id, sid, rank, score, new_rank): by the largest mean PPMI of a SID's items with the history less the target; undecodable ones score -1.
+    """(row_id, sid, rank, score, new_rank), given the pairs of cooc.weighed_pairs: by the largest mean PPMI of a SID's items with the history less the target; undecodable ones score -1.
 
     Leaving the target out of the history looks at the label; it guards a
     diagnosis against copies and is no way to rerank.
@@ -41,7 +43,7 @@ def by_cooccurrence(beam: DataFrame, rows: DataFrame, p: DataFrame, catalog: Dat
     h = rows.select("row_id", F.filter("hist", lambda x: x != F.col("target")).alias("hist")).where(F.size("hist") > 0)
     slots = beam_candidates(beam).join(h.select("row_id"), "row_id")
     items = slots.join(catalog.select("item", "sid"), "sid")
-    s = cooc.history_scores(items, h, p)
+    s = matched(items, h, pair_blocks(p))
     best = items.join(s, ["row_id", "item"], "left").groupBy("row_id", "sid").agg(F.round(F.max(F.coalesce("ppmi_sum", F.lit(0.0))), 9).alias("score"))
     r = slots.join(best, ["row_id", "sid"], "left").withColumn("score", F.coalesce("score", F.lit(-1.0)))
     return ranked(r, "score")
@@ -54,17 +56,23 @@ def by_popularity(beam: DataFrame, train: DataFrame, catalog: DataFrame) -> Data
 
 
 def history_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(row_id, vec): the mean vector of each history's known items, as often as they occur."""
-    x = rows.select("row_id", F.explode("hist").alias("item")).join(vectors, "item").select("row_id", F.posexplode("vec").alias("i", "v"))
-    m = x.groupBy("row_id", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    return m.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("vec"))
+    """(row_id, vec): the mean vector of each history's known items, as often as they occur. A history is bounded, so its vectors are added up as arrays in the order of the items."""
+    x = rows.select("row_id", F.posexplode("hist").alias("pos", "item")).join(vectors.select("item", F.col("vec").cast("array<double>").alias("vec")), "item")
+    own = x.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("pos", "vec")))["vec"].alias("v"))
+    total = F.aggregate(F.slice("v", 2, 1 << 30), F.get("v", F.lit(0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    return own.select("row_id", F.transform(total, lambda a: a / F.size("v")).alias("vec"))
 
 
 def by_similarity(beam: DataFrame, rows: DataFrame, vectors: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(row_id, sid, rank, score, new_rank): by the largest cosine of a SID's items with the mean history vector; undecodable ones score -2; rows without a usable history go."""
-    h = history_vectors(rows, vectors).withColumnRenamed("vec", "hv")
-    slots = beam_candidates(beam).join(h.select("row_id"), "row_id")
-    s = slots.join(catalog.select("item", "sid"), "sid").join(vectors, "item").join(h, "row_id").groupBy("row_id", "sid").agg(F.round(F.max(cosine(F.col("vec"), F.col("hv"))), 6).alias("score"))
+    """(row_id, sid, rank, score, new_rank): by the largest cosine of a SID's items with the mean history vector; undecodable ones score -2; rows without a usable history go. Norms are taken once for each item and row; vectors of items meet candidates before rows do."""
+    norm = lambda v: F.sqrt(dot(v, v))
+    of_row = written(history_vectors(rows, vectors).select("row_id", F.col("vec").alias("hv"), norm(F.col("vec")).alias("hn")), "means")
+    v = F.col("vec").cast("array<double>")
+    of_item = written(vectors.select("item", v.alias("iv"), norm(v).alias("n")), "norms")
+    slots = beam_candidates(beam).join(of_row.select("row_id"), "row_id")
+    met = slots.join(catalog.select("item", "sid"), "sid").join(of_item, "item").join(of_row, "row_id")
+    cosine = F.when((F.col("n") > 0) & (F.col("hn") > 0), dot(F.col("iv"), F.col("hv")) / (F.col("n") * F.col("hn"))).otherwise(0.0)
+    s = met.groupBy("row_id", "sid").agg(F.round(F.max(cosine), 6).alias("score"))
     return ranked(slots.join(s, ["row_id", "sid"], "left").withColumn("score", F.coalesce("score", F.lit(-2.0))), "score")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sid as S
 from ..functions.stats import u32
 from ..operators import catalog as C
-from ..operators import cooc, diagnose, features, learn, metrics, predictor, quality, rank, resample, sampling, transform
+from ..operators import cooc, diagnose, features, learn, metrics, predictor, quality, rank, resample, sampling, transform, trie
 from . import oracles
 from .fixtures import Fixtures
 from .session import with_index, written
@@ -578,7 +578,7 @@ def beamlike_pool(fx: Fixtures) -> DataFrame:
     b AS (SELECT row_id, sid, round(max(v), 9) AS score FROM s GROUP BY 1, 2)
     SELECT row_id, sid, rank, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, rank) - 1 AS new_rank FROM dist JOIN b USING (row_id, sid) WHERE row_id IN (SELECT row_id FROM h WHERE len(hist) > 0)""")
 def rerank_cooc(fx: Fixtures) -> DataFrame:
-    return rank.by_cooccurrence(fx.beam(), fx.rows(), cooc.ppmi(fx.rows("train")), fx.catalog())
+    return rank.by_cooccurrence(fx.beam(), fx.rows(), written(cooc.weighed_pairs(fx.rows("train")), "weighed"), fx.catalog())
 
 
 @query("WITH t AS (SELECT sid, max(n) AS score FROM cat_a JOIN target_n USING (item) GROUP BY 1) SELECT row_id, d.sid, rank, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY row_id ORDER BY coalesce(score, 0) DESC, rank) - 1 AS new_rank FROM dist d LEFT JOIN t USING (sid)")
@@ -801,13 +801,25 @@ def fit_listwise(fx: Fixtures) -> DataFrame:
 _LOGIT = oracles.u32("5", "row_id", "level", "code")
 
 
-@query(f"""WITH lg AS (SELECT row_id, level, code, {_LOGIT} % 1000 AS v FROM test, (SELECT DISTINCT level, code FROM ({_CODES})))
-    SELECT row_id, sid, score FROM (SELECT t.row_id, e.sid, x.v + y.v + z.v AS score, row_number() OVER (PARTITION BY t.row_id ORDER BY x.v + y.v + z.v DESC, e.sid) AS r FROM test t, (SELECT DISTINCT sid, CAST(regexp_extract(sid, '<a_([0-9]+)>', 1) AS INT) AS a, CAST(regexp_extract(sid, '<b_([0-9]+)>', 1) AS INT) AS b, CAST(regexp_extract(sid, '<c_([0-9]+)>', 1) AS INT) AS c FROM cat_a) e
-    JOIN lg x ON x.row_id = t.row_id AND x.level = 'a' AND x.code = e.a JOIN lg y ON y.row_id = t.row_id AND y.level = 'b' AND y.code = e.b JOIN lg z ON z.row_id = t.row_id AND z.level = 'c' AND z.code = e.c) WHERE r = 1""")
-def catalog_argmax(fx: Fixtures) -> DataFrame:
+def _argmax_sql(k: int) -> str:
+    return f"""WITH lg AS (SELECT row_id, level, code, {_LOGIT} % 1000 AS v FROM test, (SELECT DISTINCT level, code FROM ({_CODES})))
+    SELECT row_id, sid, CAST(score AS DOUBLE) AS score{", r AS place" * (k > 1)} FROM (SELECT t.row_id, e.sid, x.v + y.v + z.v AS score, CAST(row_number() OVER (PARTITION BY t.row_id ORDER BY x.v + y.v + z.v DESC, e.sid) AS INT) AS r FROM test t, (SELECT DISTINCT sid, CAST(regexp_extract(sid, '<a_([0-9]+)>', 1) AS INT) AS a, CAST(regexp_extract(sid, '<b_([0-9]+)>', 1) AS INT) AS b, CAST(regexp_extract(sid, '<c_([0-9]+)>', 1) AS INT) AS c FROM cat_a) e
+    JOIN lg x ON x.row_id = t.row_id AND x.level = 'a' AND x.code = e.a JOIN lg y ON y.row_id = t.row_id AND y.level = 'b' AND y.code = e.b JOIN lg z ON z.row_id = t.row_id AND z.level = 'c' AND z.code = e.c) WHERE r <= {k}"""
+
+
+def _logits(fx: Fixtures) -> DataFrame:
     codes = fx.catalog().select(F.explode(F.array(*[F.struct(F.lit(v).alias("level"), S.code(F.col("sid"), v).alias("code")) for v in "abc"])).alias("x")).select("x.*").distinct()
-    logits = fx.rows().select("row_id").crossJoin(F.broadcast(codes)).withColumn("v", u32(5, F.col("row_id"), F.col("level"), F.col("code")) % 1000)  # codebooks are of fixed size
-    return predictor.best_sids(logits, fx.catalog())
+    return fx.rows().select("row_id").crossJoin(F.broadcast(codes)).withColumn("v", u32(5, F.col("row_id"), F.col("level"), F.col("code")) % 1000)  # codebooks are of fixed size
+
+
+@query(_argmax_sql(1))
+def catalog_argmax(fx: Fixtures) -> DataFrame:
+    return trie.best_sids(_logits(fx), fx.catalog())
+
+
+@query(_argmax_sql(10))
+def catalog_top_k(fx: Fixtures) -> DataFrame:
+    return trie.best_sids(_logits(fx), fx.catalog(), k=10)
 
 
 @query()

@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow
 import pytest
 from pyspark.sql import functions as F
 
-from sidlens.operators import catalog, cooc, diagnose, metrics, predictor, quality, rank, resample, sampling, transform
+from sidlens.operators import catalog, cooc, diagnose, metrics, predictor, quality, rank, resample, sampling, transform, trie
 from sidlens.plans import queries as plans
 from sidlens.plans.session import with_index, with_running
 
@@ -284,4 +285,31 @@ def test_gradient():
 
 def test_catalog_argmax(spark, cat):
     s = spark.createDataFrame([(1, lv, c, v) for lv, c, v in (("a", 1, 5.0), ("a", 2, 1.0), ("b", 1, 0.0), ("b", 2, 0.0), ("c", 1, 0.0))], "row_id long, level string, code int, v double")
-    assert [tuple(x) for x in predictor.best_sids(s, cat).collect()] == [(1, A, 5.0)]
+    assert [tuple(x) for x in trie.best_sids(s, cat).collect()] == [(1, A, 5.0)]
+
+
+@pytest.mark.parametrize(("shard", "k"), [(1 << 20, 1), (37, 5), (1, 3)])
+def test_best_sids_of_a_trie(spark, monkeypatch, shard, k):
+    monkeypatch.setattr(trie, "SHARD", shard)
+    rng = np.random.default_rng(k)
+    n = 12 if shard == 1 else 300
+    sids = sorted({f"<a_{a}><b_{b}><c_{c}>" for a, b, c in rng.integers(0, 9, (n, 3))})
+    v = {(r, x, i): float(rng.integers(0, 6)) for r in range(6) for x in "abc" for i in range(9) if (r + i) % 7}  # ties, and codes without a score
+    scores = spark.createDataFrame([(*key, x) for key, x in v.items()] + [(9, "a", 1, 1.0)], "row_id long, level string, code int, v double")
+    got = sorted(tuple(r)[:3] for r in trie.best_sids(scores, spark.createDataFrame([(s,) for s in [*sids, "odd/sid/x", sids[0]]], "sid string"), k=k).collect())
+    want = []
+    for r in range(6):
+        total = {s: [v.get((r, x, int(s.split(f"<{x}_")[1].split(">")[0]))) for x in "abc"] for s in sids}
+        whole = sorted((-sum(t), s) for s, t in total.items() if None not in t)
+        want += [(r, s, -t) for t, s in whole[:k]]
+    assert got == sorted(want)
+    assert trie.best_sids(scores, spark.createDataFrame([], "sid string"), k=k).count() == 0
+
+
+def test_a_trie_opens_few_nodes():
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, 64, (20_000, 3)), axis=0)
+    t = trie.Trie(pyarrow.array([str(tuple(c)) for c in codes.tolist()]), *codes.T)
+    scores = [np.sort(rng.normal(0, 1, 64) ** 3) for _ in range(3)]
+    best, opened = t.best(scores, 1, [])
+    assert -best[0][0] == max((scores[0][a] + scores[1][b]) + scores[2][c] for a, b, c in codes) and opened < 100

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import sid as S
 from ..plans.session import with_index, written
 from . import cooc
-from .blocks import PairBlocks, matched, pair_blocks
+from .blocks import PairBlocks, matched, matched_lists, pair_blocks
 
 POINTWISE = ("ppmi_sum", "ppmi_max", "cooc_norm", "pop_log", "in_history", "last_same", "l1_frac", "l2_frac", "prev_l1", "prev_l2", "hist_len_log", "sid_shared", "pop_l1_rate", "pop_l2_rate")
 LISTWISE = (*POINTWISE, "rank_model", "is_top1", "prior_item_rank_log", "prior_l1_rank_log", "prior_l2_rank_log", "branch_l1_slots", "branch_l2_slots")
@@ -55,16 +55,27 @@ class Stats:
         level = lambda k: c.groupBy(f"l{k}").agg(F.coalesce(F.sum("t"), F.lit(0)).alias(f"t{k}"))
         return written(c.join(level(1), "l1").join(level(2), "l2").select("item", "sid", "l1", "l2", "sid_shared", F.coalesce("t", F.lit(0)).alias("t"), "t1", "t2"), "items")
 
+    @cached_property
+    def sids(self) -> DataFrame:
+        """(sid, l1, l2, items, n_items, pop, t1, t2): what the items of a SID share, and the mean of their log counts."""
+        same = [F.first(c).alias(c) for c in ("l1", "l2", "t1", "t2")]
+        return written(self.items.groupBy("sid").agg(F.collect_list("item").alias("items"), F.count("*").alias("n_items"), F.avg(F.log1p(F.col("t").cast("double"))).alias("pop"), *same), "sids")
+
+
+def histories(rows: DataFrame, st: Stats) -> DataFrame:
+    """(row_id, hist, h0, h1, h2, p0, p1, p2): SIDs and keys of a history's different items that the catalog knows, and of its last item if it does. Histories are bounded, so they are arrays."""
+    u = rows.select("row_id", F.posexplode("hist").alias("pos", "item")).join(st.items.select("item", "sid", "l1", "l2"), "item")
+    u = u.groupBy("row_id").agg(F.collect_list(F.struct("pos", "item", "sid", "l1", "l2")).alias("own"))
+    distinct = F.array_distinct(F.transform("own", lambda x: F.struct(x["item"].alias("item"), x["sid"].alias("sid"), x["l1"].alias("l1"), x["l2"].alias("l2"))))
+    last = F.get(F.filter("own", lambda x: x["pos"] == F.size("hist") - 1), F.lit(0))
+    names = ("sid", "l1", "l2")
+    return rows.select("row_id", "hist").join(u, "row_id", "left").select("row_id", "hist", *[distinct[n].alias(f"h{i}") for i, n in enumerate(names)], *[last[n].alias(f"p{i}") for i, n in enumerate(names)])
+
 
 def pointwise(cand: DataFrame, rows: DataFrame, st: Stats) -> DataFrame:
     """(row_id, item, sid, the 14 features) of candidates (row_id, item) that the catalog knows."""
     known = cand.select("row_id", "item").distinct().join(st.items, "item")
-    # A history's items with their keys, as an array: histories are bounded.
-    u = rows.select("row_id", F.posexplode("hist").alias("pos", "item")).join(st.items.select("item", "l1", "l2"), "item")
-    u = u.groupBy("row_id").agg(F.collect_list(F.struct("pos", "item", "l1", "l2")).alias("own"))
-    distinct = F.array_distinct(F.transform("own", lambda x: F.struct(x["item"].alias("item"), x["l1"].alias("l1"), x["l2"].alias("l2"))))
-    last = F.get(F.filter("own", lambda x: x["pos"] == F.size("hist") - 1), F.lit(0))
-    h = rows.select("row_id", "hist").join(u, "row_id", "left").select("row_id", "hist", distinct["l1"].alias("h1"), distinct["l2"].alias("h2"), last["l1"].alias("p1"), last["l2"].alias("p2"))
+    h = histories(rows, st)
     s = matched(known, rows, st.blocks)
     r = known.join(s, ["row_id", "item"], "left").join(h, "row_id")
     size, n_u = F.size("hist"), F.greatest(F.size(F.array_distinct("hist")), F.lit(1))
@@ -100,10 +111,38 @@ def beam_candidates(beam: DataFrame) -> DataFrame:
 
 
 def by_sid(beam: DataFrame, rows: DataFrame, st: Stats) -> DataFrame:
-    """(row_id, sid, rank, features): candidates of a beam, features averaged over the items of a SID; undecodable ones go, ranks keep their gaps."""
-    slots = beam_candidates(beam).join(st.catalog.select("item", "sid"), "sid")
-    f = pointwise(slots, rows, st).groupBy("row_id", "sid").agg(*[F.avg(n).alias(n) for n in POINTWISE])
-    return slots.select("row_id", "sid", "rank").distinct().join(f, ["row_id", "sid"])
+    """(row_id, sid, rank, features): candidates of a beam, features averaged over the items of a SID; undecodable ones go, ranks keep their gaps.
+
+    What a SID's items share is taken once for the SID; of the items only pairs that
+    the pair table holds are rows.
+    """
+    slots = beam_candidates(beam).join(st.sids, "sid")
+    own = slots.groupBy("row_id").agg(F.flatten(F.collect_list("items")).alias("items"))  # a beam's items
+    s = matched_lists(own, rows, st.blocks).join(st.items.select("item", "sid"), "item").groupBy("row_id", "sid").agg(*[F.sum(c).alias(c) for c in ("ppmi_sum", "ppmi_max", "share_sum")])
+    r = slots.drop("items").join(s, ["row_id", "sid"], "left").join(histories(rows, st), "row_id")
+    size, n_u = F.size("hist"), F.greatest(F.size(F.array_distinct("hist")), F.lit(1))
+    root = F.sqrt(F.greatest(size, F.lit(1)).cast("double")) * F.col("n_items")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False)).cast("double")
+    held = lambda a, k: F.coalesce(F.size(F.filter(a, lambda x: x == F.col(k))), F.lit(0))
+    total = F.log1p(F.lit(float(st.n_targets)))
+    values = {
+        "ppmi_sum": zero(F.col("ppmi_sum") / root),
+        "ppmi_max": zero(F.col("ppmi_max") / F.col("n_items")),
+        "cooc_norm": zero(F.col("share_sum") / root),
+        "pop_log": F.col("pop"),
+        "in_history": held("h0", "sid") / F.col("n_items"),
+        "last_same": same("p0", "sid") / F.col("n_items"),
+        "l1_frac": held("h1", "l1") / n_u,
+        "l2_frac": held("h2", "l2") / n_u,
+        "prev_l1": same("p1", "l1"),
+        "prev_l2": same("p2", "l2"),
+        "hist_len_log": F.log1p(size.cast("double")),
+        "sid_shared": (F.col("n_items") > 1).cast("double"),
+        "pop_l1_rate": F.log1p(F.col("t1").cast("double")) - total,
+        "pop_l2_rate": F.log1p(F.col("t2").cast("double")) - total,
+    }
+    return r.select("row_id", "sid", "rank", *[values[n].alias(n) for n in POINTWISE])
 
 
 def listwise(beam: DataFrame, rows: DataFrame, st: Stats, fallback: str = "id", first_character: bool = True, tokens: bool = False) -> DataFrame:

@@ -628,7 +628,7 @@ def fused_orders(fx: Fixtures) -> DataFrame:
     return rank.fused(learn.scored(_by_sid(fx), MODEL)).select("row_id", "sid", "rank", "fused_rank")
 
 
-_FRESH = "(SELECT DISTINCT row_id, other AS item FROM (SELECT row_id, unnest(list_distinct(hist)) AS item FROM test) JOIN adj USING (item) WHERE rnk <= 20)"
+_FRESH = "(SELECT DISTINCT row_id, other AS item FROM (SELECT row_id, unnest(list_distinct(hist)) AS item FROM test) JOIN adj USING (item) WHERE rnk <= 3000)"
 
 
 _AUGMENTED = f"""fresh AS (SELECT f.row_id, f.item FROM {_FRESH} f JOIN cat_a c USING (item) WHERE NOT EXISTS (SELECT 1 FROM dist WHERE dist.row_id = f.row_id AND dist.sid = c.sid)), x AS (SELECT *, round({linear_sql(MODEL)}, 6) AS score FROM ({oracles.features('fresh', 'test')})),
@@ -638,15 +638,15 @@ _AUGMENTED = f"""fresh AS (SELECT f.row_id, f.item FROM {_FRESH} f JOIN cat_a c
 
 @query(f"WITH {_AUGMENTED} SELECT * FROM au")
 def augment_candidates(fx: Fixtures) -> DataFrame:
-    return rank.augmented(fx.beam(), fx.rows(), _stats(fx), MODEL, 5, cap=20)
+    return rank.augmented(fx.beam(), fx.rows(), _stats(fx), MODEL, 5)
 
 
 @query(f"""WITH {_AUGMENTED}, r AS (SELECT b.row_id, e.n_items, list_contains(b.predict, b.output) OR EXISTS (SELECT 1 FROM au WHERE au.row_id = b.row_id AND au.sid = b.output) AS held FROM beam_test42a b JOIN enr_a e ON e.item = b.target)
     SELECT count(*) AS n_rows, count(*) FILTER (held) AS in_beam, count(*) FILTER (held AND n_items = 1) AS strict_in_beam, round(count(*) FILTER (held) / count(*), 6) AS code_ceiling, round(count(*) FILTER (held AND n_items = 1) / count(*), 6) AS strict_ceiling FROM r""")
 def reachability_augmented(fx: Fixtures) -> DataFrame:
-    beam, c = fx.beam(), fx.catalog()
-    added = rank.augmented(beam, fx.rows(), _stats(fx), MODEL, 5, cap=20)
-    return metrics.reachability(rank.reordered(beam, learn.with_augmented(learn.scored(_by_sid(fx), MODEL), added), "rank"), c)
+    beam, c, st = fx.beam(), fx.catalog(), _stats(fx)
+    added = rank.augmented(beam, fx.rows(), st, MODEL, 5)
+    return metrics.reachability(rank.reordered(beam, learn.with_augmented(learn.scored(features.by_sid(beam, fx.rows(), st), MODEL), added), "rank"), c)
 
 
 _LIST = f"""n_items AS (SELECT row_id, count(*) AS n FROM prior GROUP BY 1), pop_item AS (SELECT item, row_number() OVER (ORDER BY item) AS pop FROM cat_a), pop_code AS (SELECT code, row_number() OVER (ORDER BY k DESC, f) AS pop FROM (SELECT l1 AS code, count(*) AS k, min(row_id) AS f FROM train JOIN enr_a ON item = target GROUP BY 1)),

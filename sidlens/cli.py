@@ -250,37 +250,55 @@ def rerank_learned(spark, a):
             raise SystemExit(f"unknown pool mode {a.pool_mode}")
         own = tr.where(F.size("hist") > 0)
         own = own.where(F.col("row_id") < a.limit_rows) if a.limit_rows else own
-        draw = sampling.beamlike_negatives if a.pool_mode == "beamlike" else sampling.negatives
-        samples = None
-        for i in range(a.draws):  # each with negatives of its own
-            neg = draw(own, tr, st.ppmi, a.negatives, a.seed + i).withColumn("label", F.lit(0))
-            s = own.select("row_id", F.col("target").alias("item"), F.lit(1).alias("label")).union(neg)
-            samples = s if samples is None else samples.union(s)
-        samples = written(samples, "samples")
-        model = learn.fit_pointwise(written(learn.pointwise_examples(samples, tr, st), "examples"))
+        names = a.features.split(",") if a.features else list(features.POINTWISE)
+        if unknown := set(names) - set(features.POINTWISE):
+            raise SystemExit(f"unknown feature {min(unknown)}")
+        samples = written(sampling.fresh_examples(own, tr, st.ppmi, a.epochs + 1, a.negatives, a.seed, a.pool_mode), "samples")
+        model = learn.fit_pointwise(written(learn.pointwise_examples(samples, tr, st), "examples"), names, a.lr, a.l2)
+        model |= {"train_csv": a.train_csv, "neg_per_pos": a.negatives, "epochs": a.epochs, "seed": a.seed, "pool_mode": a.pool_mode}
         print(json.dumps(model))
         return writers.model(spark, model, a.model)
     rows = rows_of(spark, a.csv)
     beam = beam_of(spark, a.result, rows, c)
     if a.mode == "ceiling":
         return show(cooc.recall_ceiling(cooc.prior_scores(rows, st.ppmi), beam, c), a)
+    config = readers.json_object(spark, a.config) if a.mode == "apply" and a.config else {}
+    # What is given beats what the configuration says, and that beats the defaults.
+    given = lambda value, name, default: value if value is not None else config.get(name, default)
+    models, augment = given(a.model, "model", None), given(a.augment, "augment", 0)
+    if not models:
+        raise SystemExit("pass --model or record it in the config file")
+    config |= {"model": models, "augment": augment, "lambda": given(a.lam, "lambda", 0.0), "rrf_k": given(a.rrf_k, "rrf_k", 10)}
     found = written(features.by_sid(beam, rows, st), "features")
-    scores = {}
-    for path in a.model.split(","):  # several models in one grid
-        model = readers.reranker(spark, path)
+    scores, loaded = {}, {}
+    for path in models.split(","):  # several models in one grid
+        model = loaded[path] = readers.reranker(spark, path)
         s = learn.scored(found, model)
         # SIDs from outside the beam take part in selection and application.
-        scores[path] = written(learn.with_augmented(s, rank.augmented(beam, rows, st, model, a.augment)) if a.augment else s, "scores")
+        scores[path] = written(learn.with_augmented(s, rank.augmented(beam, rows, st, model, augment)) if augment else s, "scores")
     if a.mode == "select":
         cells = written(learn.model_grid(beam, scores, c, a.topk), "grid")
+        alone = {path: {r["variant"]: r.asDict() for r in learn.protocol_scores(beam, s, c, k=a.topk).collect()} for path, s in scores.items()}
         for path, s in scores.items():
             show(metrics.reachability(rank.reordered(beam, s, "rank"), c), a, "ceiling")
         show(cells, a, "grid")
-        return show(learn.selected(cells), a, "selected")
-    for path, s in scores.items():
-        show(learn.compare(beam, s, c, a.lam, a.rrf_k, a.topk), a, "compare")
+        show(best := learn.selected(cells), a, "selected")
+        n = beam.count()
+        chosen = best.first().asDict()
+        path = chosen["model"]
+        base = alone[next(iter(scores))]["base"]
+        config = {"model": path, "features": loaded[path]["features"], "lambda": chosen["lam"], "rrf_k": chosen["rrf_k"], "augment": augment, "selected_on": a.csv, "strict_hr": round(chosen["strict_hits"] / max(n, 1), 6), "product_hr": round(chosen["product_hits"] / max(n, 1), 6), "learned_only_strict_hr": alone[path]["learned"]["strict_hr"], "baseline_strict_hr": base["strict_hr"], "baseline_code_hr": base["code_hr"], "grid_size": cells.count()}
+        if a.config:
+            writers.model(spark, config, a.config)
+        if a.grid_out:
+            writers.model(spark, {"baseline": base, "learned_only": {p: x["learned"] for p, x in alone.items()}, "grid": [r.asDict() for r in cells.orderBy(F.desc("strict_hits"), "model", "lam", "rrf_k").collect()], "selected": config}, a.grid_out)
+        return None
+    for s in scores.values():
+        print(json.dumps({"label": a.label, "config": config}))
+        show(learn.compare(beam, s, c, config["lambda"], config["rrf_k"], a.topk), a, "compare")
+        show(learn.protocol_scores(beam, s, c, config["lambda"], config["rrf_k"], a.topk), a, "scores")
         users = rows.select("row_id", F.coalesce(F.col("u").cast("string"), F.concat(F.lit("row "), "row_id")).alias("cluster"))
-        show(learn.comparison(beam, rank.fused(s, lam=a.lam, k=a.rrf_k), c, users, k=a.topk, rounds=a.rounds), a, "intervals")
+        show(learn.comparison(beam, rank.fused(s, lam=config["lambda"], k=config["rrf_k"]), c, users, k=a.topk, rounds=a.rounds), a, "intervals")
 
 
 def rerank_listwise(spark, a):
@@ -291,13 +309,27 @@ def rerank_listwise(spark, a):
         model = learn.fit_listwise(f, features.LISTWISE)
         print(json.dumps(model))
         return writers.model(spark, model, a.model)
-    full = readers.reranker(spark, a.model)
+    config = readers.json_object(spark, a.config) if a.mode == "apply" and a.config else {}
+    given = lambda value, name, default: value if value is not None else config.get(name, default)
+    config |= {"model": given(a.model, "model", None), "subset": given(a.subset, "subset", "all"), "lambda": given(a.lam, "lambda", 1.0), "rrf_k": given(a.rrf_k, "rrf_k", 10)}
+    if not config["model"]:
+        raise SystemExit("pass --model or record it in the config file")
+    full = readers.reranker(spark, config["model"])
     if a.mode == "select":
         cells = written(learn.subset_grid(beam, f, full, c, a.topk), "subsets")
         show(cells, a, "grid")
-        return show(learn.selected_subset(cells, list(features.SUBSETS)), a, "selected")
-    scores = written(learn.scored(f, learn.subset_model(full, features.SUBSETS[a.subset])), "scores")
-    show(learn.compare(beam, scores, c, a.lam, a.rrf_k, a.topk), a, a.subset)
+        show(best := learn.selected_subset(cells, list(features.SUBSETS)), a, "selected")
+        chosen = best.first().asDict()
+        config |= {"subset": chosen["subset"], "features": list(features.SUBSETS[chosen["subset"]]), "selected_on": a.csv, "selected": chosen}
+        if a.config:
+            writers.model(spark, config, a.config)
+        if a.grid_out:
+            writers.model(spark, {"grid": [r.asDict() for r in cells.collect()], "selected": config}, a.grid_out)
+        return None
+    scores = written(learn.scored(f, learn.subset_model(full, features.SUBSETS[config["subset"]])), "scores")
+    print(json.dumps({"label": a.label, "config": config}))
+    show(learn.compare(beam, scores, c, config["lambda"], config["rrf_k"], a.topk), a, config["subset"])
+    return show(learn.protocol_scores(beam, scores, c, config["lambda"], config["rrf_k"], a.topk), a, "scores")
 
 
 #: The options of each command beside --json-out, --topk and --rounds.
@@ -322,8 +354,8 @@ COMMANDS = {
     remap_sids: "src-root index out-dir item-meta",
     rerank_cooccurrence: "result index csv train-csv item-meta?",
     rerank_probe: "result index csv embeddings item-meta?",
-    rerank_learned: "mode model? result? index csv? train-csv item-meta? negatives=4 pool-mode=mixed limit-rows=0 draws=1 seed=17 augment=0 lam=1.0 rrf-k=10",
-    rerank_listwise: "mode model result index csv train-csv item-meta? subset=all lam=1.0 rrf-k=10",
+    rerank_learned: "mode model? result? index csv? train-csv item-meta? negatives=12 epochs=4 lr=0.15 l2=0.00001 features? pool-mode=mixed limit-rows=0 seed=42 augment?int lam?float rrf-k?int config? grid-out? label=",
+    rerank_listwise: "mode model? result index csv train-csv item-meta? subset? lam?float rrf-k?int config? grid-out? label=",
 }
 
 
@@ -334,7 +366,10 @@ def parser() -> argparse.ArgumentParser:
         p = sub.add_parser(f.__name__.replace("_", "-"))
         p.set_defaults(run=f)
         for o in options.split():
-            if "=" in o:
+            if o.endswith(("?int", "?float")):
+                name, kind = o.split("?")
+                p.add_argument(f"--{name}", type={"int": int, "float": float}[kind], default=None)
+            elif "=" in o:
                 name, value = o.split("=")
                 kind = int if value.lstrip("-").isdigit() else float if value.replace(".", "").isdigit() else str
                 p.add_argument(f"--{name}", type=kind, default=kind(value))

@@ -101,7 +101,8 @@ def recall_ceiling(scores: DataFrame, beam: DataFrame, catalog: DataFrame, sizes
 def beamlike_pool(rows: DataFrame, p: DataFrame, train: DataFrame, size: int = 60, n_popular: int = 40, cap: int = 200) -> DataFrame:
     """(row_id, item, place): the best `size` distinct neighbours of a history by PPMI, then item, then those of the n_popular most frequent targets not yet among them."""
     h = _unique(rows).select("row_id", F.explode("items").alias("item"))
-    near = h.join(adjacency(p, cap), "item").groupBy("row_id", F.col("other").alias("item")).agg(F.max("ppmi").alias("v"))
+    # What is among the best by its best list is among the best of that list.
+    near = h.join(adjacency(p, min(cap, size)), "item").groupBy("row_id", F.col("other").alias("item")).agg(F.max("ppmi").alias("v"))
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("v"), "item"))).where(F.col("place") <= size).select("row_id", "item", "place")
     more = rows.select("row_id").crossJoin(F.broadcast(popular(train, n_popular).select("item", "rnk")))  # n_popular rows
     more = more.join(near.select("row_id", "item"), ["row_id", "item"], "left_anti").select("row_id", "item", (F.lit(size) + F.col("rnk")).alias("place"))

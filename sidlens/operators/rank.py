@@ -11,7 +11,7 @@ from ..functions.stats import dot
 from ..plans.session import written
 from . import cooc
 from .blocks import matched, pair_blocks
-from .features import POINTWISE, Stats, beam_candidates, pointwise
+from .features import Stats, beam_candidates, pointwise
 
 #: Scores are rounded before they are ranked, so that sums in another order rank alike.
 DIGITS = 9
@@ -81,7 +81,7 @@ def augmented(beam: DataFrame, rows: DataFrame, st: Stats, model: dict, n: int,
     h = rows.select("row_id", F.explode(F.array_distinct("hist")).alias("item"))
     pool = h.join(cooc.adjacency(st.ppmi, cap), "item").select("row_id", F.col("other").alias("item")).distinct().join(st.catalog.select("item", "sid"), "item")
     fresh = pool.join(beam_candidates(beam).select("row_id", "sid"), ["row_id", "sid"], "left_anti")
-    s = linear_score(pointwise(fresh, rows, st), POINTWISE, model["mean"], model["scale"], model["weights"], model.get("bias", 0.0)).withColumn("score", F.round("score", 6))
+    s = linear_score(pointwise(fresh, rows, st), model["features"], model["mean"], model["scale"], model["weights"], model.get("bias", 0.0)).withColumn("score", F.round("score", 6))
     first = s.withColumn("r", F.row_number().over(Window.partitionBy("row_id", "sid").orderBy(F.desc("score"), "item"))).where("r = 1")
     return first.withColumn("place", F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("score"), "item"))).where(F.col("place") <= n).select("row_id", "sid", "item", "score", "place")
 

@@ -710,6 +710,15 @@ def apply_compare(fx: Fixtures) -> DataFrame:
     return learn.compare(fx.beam(), learn.scored(_by_sid(fx), MODEL), fx.catalog())
 
 
+@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(1 / (11 + rank) + 1.0 / (11 + new_rank), 9) DESC, rank) - 1 AS fused_rank FROM {_SCORED}),
+    q AS (SELECT variant, row_id, sid, row_number() OVER (PARTITION BY variant, row_id ORDER BY pos) - 1 AS place FROM (SELECT 'base' AS variant, row_id, sid, rank AS pos FROM s UNION ALL SELECT 'learned', row_id, sid, new_rank FROM s UNION ALL SELECT 'fused', row_id, sid, fused_rank FROM s)),
+    h AS (SELECT variant, q.row_id, min(place) FILTER (q.sid = t.sid) AS code_pos, any_value(t.n_items) AS ti, arg_min(k.n_keys, place) FILTER (k.key IS NOT NULL AND t.n_keys = 1 AND place < 10) AS ak FROM q JOIN test USING (row_id) JOIN enr_a t ON t.item = target LEFT JOIN key_a k ON k.sid = q.sid AND k.key = t.key GROUP BY 1, 2)
+    SELECT variant, count(*) AS n_rows, round(avg(CAST(coalesce(code_pos < 10, false) AS INT)), 6) AS code_hr, round(avg(CAST(coalesce(code_pos < 10 AND ti = 1, false) AS INT)), 6) AS strict_hr, round(avg(CAST(coalesce(ak = 1, false) AS INT)), 6) AS product_hr,
+    round(avg(coalesce(1 / ak, 0.0)), 6) AS product_fraction, round(avg(CAST(code_pos IS NOT NULL AS INT)), 6) AS code_ceiling, round(avg(CAST(code_pos IS NOT NULL AND ti = 1 AS INT)), 6) AS strict_ceiling FROM h GROUP BY 1""")
+def protocol_scores(fx: Fixtures) -> DataFrame:
+    return learn.protocol_scores(fx.beam(), learn.scored(_by_sid(fx), MODEL), fx.catalog())
+
+
 _SUBSET_SCORES = " UNION ALL ".join(f"SELECT '{name}' AS subset, row_id, sid, rank, round({linear_sql(learn.subset_model(LIST_MODEL, names))}, 6) AS score FROM lf" for name, names in features.SUBSETS.items())
 _SUBSET_GRID = f"""WITH {_LIST}, ss AS ({_SUBSET_SCORES}), sp AS (SELECT *, row_number() OVER (PARTITION BY subset, row_id ORDER BY score DESC, rank) - 1 AS place FROM ss),
     sh AS (SELECT subset, p.row_id, min(place) FILTER (p.sid = t.sid) AS code_pos, any_value(t.n_items) AS ti, arg_min(k.n_keys, place) FILTER (k.key IS NOT NULL AND t.n_keys = 1) AS ak FROM sp p JOIN test USING (row_id) JOIN enr_a t ON t.item = target LEFT JOIN key_a k ON k.sid = p.sid AND k.key = t.key WHERE place < 10 GROUP BY 1, 2),
@@ -762,12 +771,13 @@ def _draw(kind: str) -> str:
     return oracles.u32("17", "row_id", "slot", f"'{kind}'")
 
 
-@query(f"""WITH pop AS (SELECT item, hi - n AS lo, hi FROM (SELECT item, n, sum(n) OVER (ORDER BY item) AS hi FROM target_n)), total AS (SELECT max(hi) AS total FROM pop),
+@query(f"""WITH spots AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS idx, target AS item FROM train), total AS (SELECT count(*) AS total FROM train),
     cum AS (SELECT item AS near, other AS item, hi, coalesce(lag(hi) OVER (PARTITION BY item ORDER BY rnk), 0.0) AS lo FROM (SELECT item, other, rnk, round(sum(ppmi) OVER (PARTITION BY item ORDER BY rnk), 9) AS hi FROM adj WHERE rnk <= 200)), top AS (SELECT near, max(hi) AS s FROM cum GROUP BY 1),
-    d AS (SELECT row_id, target, {_draw('k')} % 1000 AS kind, {_draw('p')} % total AS spot, hist[{_draw('h')} % len(hist) + 1] AS own, list_sort(list_distinct(hist))[{_draw('i')} % len(list_distinct(hist)) + 1] AS near, {_draw('n')} AS un FROM train, range(4) r(slot), total),
+    lk AS (SELECT row_id, list(near ORDER BY near) AS linked FROM (SELECT row_id, unnest(list_distinct(hist)) AS near FROM train) JOIN top USING (near) GROUP BY 1),
+    d AS (SELECT row_id, target, {_draw('k')} % 1000 AS kind, {_draw('p')} % total AS idx, hist[{_draw('h')} % len(hist) + 1] AS own, linked[{_draw('i')} % len(linked) + 1] AS near, {_draw('n')} AS un, slot FROM train LEFT JOIN lk USING (row_id), range(12) r(slot), total),
     e AS (SELECT d.*, s FROM d LEFT JOIN top USING (near))
-    SELECT DISTINCT row_id, item FROM (SELECT row_id, target, p.item FROM e JOIN pop p ON spot >= lo AND spot < hi WHERE kind < 400 OR (kind < 700 AND s IS NULL)
-    UNION ALL SELECT e.row_id, e.target, c.item FROM e JOIN cum c ON c.near = e.near AND un / 4294967296.0 * s >= lo AND un / 4294967296.0 * s < hi WHERE kind BETWEEN 400 AND 699 UNION ALL SELECT row_id, target, own FROM e WHERE kind >= 700) WHERE item <> target""")
+    SELECT row_id, item, CAST(min(slot) AS INT) AS slot FROM (SELECT row_id, target, slot, p.item FROM e JOIN spots p USING (idx) WHERE kind < 400 OR (kind < 700 AND s IS NULL)
+    UNION ALL SELECT e.row_id, e.target, slot, c.item FROM e JOIN cum c ON c.near = e.near AND un / 4294967296.0 * s >= lo AND un / 4294967296.0 * s < hi WHERE kind BETWEEN 400 AND 699 UNION ALL SELECT row_id, target, slot, own FROM e WHERE kind >= 700) WHERE item <> target GROUP BY row_id, item""")
 def negative_sample(fx: Fixtures) -> DataFrame:
     train = fx.rows("train")
     return sampling.negatives(train, train, cooc.ppmi(train))
@@ -776,26 +786,28 @@ def negative_sample(fx: Fixtures) -> DataFrame:
 @query(f"""WITH near AS (SELECT row_id, item, row_number() OVER (PARTITION BY row_id ORDER BY v DESC, item) AS place FROM (SELECT row_id, other AS item, max(ppmi) AS v FROM (SELECT row_id, unnest(list_distinct(hist)) AS item FROM test) JOIN adj USING (item) WHERE rnk <= 200 GROUP BY 1, 2)), top AS (SELECT * FROM near WHERE place <= 60),
     pool AS (SELECT row_id, item, place FROM top UNION ALL SELECT t.row_id, p.item, 60 + p.rnk FROM test t, popular p WHERE p.rnk <= 40 AND NOT EXISTS (SELECT 1 FROM top WHERE top.row_id = t.row_id AND top.item = p.item)),
     pools AS (SELECT row_id, list(item ORDER BY place) AS items FROM pool JOIN test USING (row_id) WHERE item <> target AND len(hist) > 0 GROUP BY 1)
-    SELECT DISTINCT row_id, items[{_draw('b')} % len(items) + 1] AS item FROM pools, range(4) r(slot)""")
+    SELECT row_id, item, CAST(min(slot) AS INT) AS slot FROM (SELECT row_id, slot, items[{_draw('b')} % len(items) + 1] AS item FROM pools, range(12) r(slot)) GROUP BY row_id, item""")
 def beamlike_negatives(fx: Fixtures) -> DataFrame:
     train = fx.rows("train")
     return sampling.beamlike_negatives(fx.rows(), train, cooc.ppmi(train))
 
 
+def _model_rows(fx: Fixtures, m: dict) -> DataFrame:
+    rows = [(n, float(mu), float(s), float(w)) for n, mu, s, w in zip(m["features"], m["mean"], m["scale"], m["weights"], strict=True)]
+    return fx.spark.createDataFrame(rows + ([("bias", 0.0, 1.0, float(m["bias"]))] if "bias" in m else []), "feature string, mean double, scale double, weight double")
+
+
 @query()
 def fit_pointwise(fx: Fixtures) -> DataFrame:
     train = fx.rows("train")
     st = features.Stats(train, fx.catalog())
-    neg = sampling.negatives(train, train, st.ppmi, per_row=2).withColumn("label", F.lit(0))
-    samples = written(train.select("row_id", F.col("target").alias("item"), F.lit(1).alias("label")).union(neg))
-    m = learn.fit_pointwise(written(learn.pointwise_examples(samples, train, st)))
-    return fx.spark.createDataFrame([(n, float(mu), float(s), float(w)) for n, mu, s, w in zip(m["features"], m["mean"], m["scale"], m["weights"], strict=True)] + [("bias", 0.0, 1.0, m["bias"])], "feature string, mean double, scale double, weight double")
+    samples = written(sampling.fresh_examples(train, train, st.ppmi, draws=5), "samples")
+    return _model_rows(fx, learn.fit_pointwise(written(learn.pointwise_examples(samples, train, st), "examples")))
 
 
 @query()
 def fit_listwise(fx: Fixtures) -> DataFrame:
-    m = learn.fit_listwise(_listwise(fx), features.LISTWISE)
-    return fx.spark.createDataFrame([(n, float(mu), float(s), float(w)) for n, mu, s, w in zip(m["features"], m["mean"], m["scale"], m["weights"], strict=True)], "feature string, mean double, scale double, weight double")
+    return _model_rows(fx, learn.fit_listwise(_listwise(fx), features.LISTWISE))
 
 
 _LOGIT = oracles.u32("5", "row_id", "level", "code")

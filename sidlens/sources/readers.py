@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,11 +118,14 @@ def npy_vectors(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "item int, vec array<float>")
 
 
+def json_object(spark: SparkSession, path: str) -> dict:
+    """One JSON object of a file, or of a folder that a writer made."""
+    return json.loads(spark.read.text(path, wholetext=True).where("trim(value) <> ''").first()["value"])
+
+
 def reranker(spark: SparkSession, path: str) -> dict:
     """A reranker model; the names of a file without `index` are all in order. Raises where names and weights differ in number."""
-    import json
-
-    m = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    m = json_object(spark, path)
     index = m.get("index", list(range(len(m["features"]))))
     if not len(index) == len(m["weights"]):
         raise ValueError("features and weights differ in number")

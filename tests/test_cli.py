@@ -77,11 +77,20 @@ def test_other_order_is_refused(spark, files, capsys):
 
 
 def test_learned(spark, files, capsys):
-    run(spark, files, capsys, f"rerank-learned --mode fit --model @m {COMMON} --train-csv @train.csv --negatives 2 --draws 2")
-    run(spark, files, capsys, f"rerank-learned --mode fit --model @m2 {COMMON} --train-csv @train.csv --pool-mode beamlike --limit-rows 40")
-    assert '"code_ceiling"' in run(spark, files, capsys, f"rerank-learned --mode select --model @m,@m2 {ONE} --train-csv @train.csv --augment 2")
-    assert '"lam"' in run(spark, files, capsys, f"rerank-learned --mode select --model @m {ONE} --train-csv @train.csv")
-    assert '"variant": "fused"' in run(spark, files, capsys, f"rerank-learned --mode apply --model @m {ONE} --train-csv @train.csv --augment 2")
+    model = json.loads(run(spark, files, capsys, f"rerank-learned --mode fit --model @m {COMMON} --train-csv @train.csv --negatives 2 --epochs 2"))
+    assert len(model["losses"]) == 2 and model["epochs"] == 2 and len(model["weights"]) == 14
+    run(spark, files, capsys, f"rerank-learned --mode fit --model @m2 {COMMON} --train-csv @train.csv --pool-mode beamlike --limit-rows 40 --epochs 1 --features ppmi_sum,pop_log")
+    assert '"code_ceiling"' in run(spark, files, capsys, f"rerank-learned --mode select --model @m,@m2 {ONE} --train-csv @train.csv --augment 2 --config @config --grid-out @grid")
+    config, grid = (cli.readers.json_object(spark, f"{files}/{x}") for x in ("config", "grid"))
+    assert config["grid_size"] == len(grid["grid"]) == 28 and config["augment"] == 2 and config["model"] in (f"{files}/m", f"{files}/m2") and set(grid["learned_only"]) == {f"{files}/m", f"{files}/m2"}
+    assert grid["selected"] == config and grid["baseline"]["strict_ceiling"] >= grid["baseline"]["strict_hr"]
+    out = run(spark, files, capsys, f"rerank-learned --mode apply {ONE} --train-csv @train.csv --config @config --label x --lam 2.5 --rounds 50")
+    said = json.loads(out.splitlines()[0])
+    assert said["label"] == "x" and said["config"] == config | {"lambda": 2.5} and '"variant": "fused"' in out and '"user_lo"' in out
+    with pytest.raises(SystemExit, match="pass --model"):
+        run(spark, files, capsys, f"rerank-learned --mode apply {ONE} --train-csv @train.csv")
+    with pytest.raises(SystemExit, match="unknown feature"):
+        run(spark, files, capsys, f"rerank-learned --mode fit --model @m3 {COMMON} --train-csv @train.csv --features odd")
 
 
 def test_rewrites(spark, files, capsys, tmp_path):

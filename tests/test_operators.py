@@ -3,9 +3,10 @@ import pyarrow
 import pytest
 from pyspark.sql import functions as F
 
-from sidlens.operators import catalog, cooc, diagnose, metrics, predictor, quality, rank, resample, sampling, transform, trie
+from sidlens.operators import blocks, catalog, cooc, diagnose, features, learn, metrics, predictor, quality, rank, resample, sampling, transform, trie
 from sidlens.plans import queries as plans
-from sidlens.plans.session import with_index, with_running
+from sidlens.plans.fixtures import Fixtures
+from sidlens.plans.session import with_index, with_running, written
 
 A, B, C, X = "<a_1><b_1><c_1>", "<a_1><b_2><c_1>", "<a_2><b_1><c_1>", "<a_9><b_9><c_9>"
 
@@ -313,3 +314,67 @@ def test_a_trie_opens_few_nodes():
     scores = [np.sort(rng.normal(0, 1, 64) ** 3) for _ in range(3)]
     best, opened = t.best(scores, 1, [])
     assert -best[0][0] == max((scores[0][a] + scores[1][b]) + scores[2][c] for a, b, c in codes) and opened < 100
+
+
+def test_descent_equals_a_plain_loop(spark, monkeypatch):
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    train = fx.rows("train").where("row_id % 7 = 1")
+    st = features.Stats(fx.rows("train"), fx.catalog())
+    samples = written(sampling.fresh_examples(train, fx.rows("train"), st.ppmi, draws=3, per_row=4))
+    examples = written(learn.pointwise_examples(samples, train, st))
+    rows = sorted((tuple(r) for r in examples.select("draw", "row_id", "slot", "label", *features.POINTWISE).collect()), key=lambda r: r[:3])
+    assert len(rows) == samples.count() and {r[2] for r in rows} == {-1, 0, 1, 2, 3}
+    assert {r[:2] for r in rows if r[0] == 1 and r[2] >= 0} and {r[1:3] for r in rows if r[0] == 1} != {r[1:3] for r in rows if r[0] == 2}
+    x = np.array([r[4:] for r in rows if r[0] == 0])
+    mean, scale = x.mean(0), np.where(x.var(0) > 1e-9, x.std(0), 1.0)
+    w, bias, losses = np.zeros(14), 0.0, []
+    for draw in (1, 2):
+        loss = seen = 0
+        for r in rows:
+            if r[0] == draw:
+                seen += 1
+                v = (np.array(r[4:]) - mean) / scale
+                p = 1 / (1 + np.exp(-np.clip(bias + w @ v, -30, 30)))
+                loss -= np.log(p if r[3] else 1 - p)
+                step = 0.15 / np.sqrt(1 + seen / 20000)
+                w, bias = w - step * ((p - r[3]) * v + 1e-5 * w), bias - step * (p - r[3])
+        losses.append(loss / seen)
+    monkeypatch.setattr(learn, "STEPS", 700)  # several parts a pass
+    m = learn.fit_pointwise(examples)
+    assert m["weights"] == pytest.approx(w.tolist(), abs=1e-9) and m["bias"] == pytest.approx(bias, abs=1e-9) and m["losses"] == pytest.approx(losses)
+    assert m["losses"][1] < m["losses"][0]
+
+
+def test_negatives_follow_their_weights(spark):
+    train = spark.createDataFrame([(i, i % 2, [2, 3]) for i in range(40)] + [(40 + i, 9, []) for i in range(8)], "row_id long, target long, hist array<long>")
+    p = cooc.ppmi(spark.createDataFrame([(0, 0, [2, 5]), (1, 0, [3, 6, 7])], "row_id long, target long, hist array<long>"))
+    got = sampling.negatives(train, train, p, per_row=200).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["row_id"], {})[r["item"]] = r["slot"]
+    assert sorted(by) == list(range(40))  # no history, no negatives
+    assert all(set(v) == {0, 1, 9, 2, 3, 5, 6, 7} - {k % 2} for k, v in by.items())
+    assert all(len(set(v.values())) == len(v) and min(v.values()) == 0 for v in by.values() if 0 in v.values())
+
+
+@pytest.mark.parametrize(("block", "some", "share"), [(1 << 16, 1 << 20, 64), (5, 7, 1)])
+def test_pairs_are_looked_up(spark, monkeypatch, block, some, share):
+    for name, value in (("BLOCK", block), ("SOME", some), ("PACKETS", share)):
+        monkeypatch.setattr(blocks, name, value)
+    rng = np.random.default_rng(0)
+    for top in (40, 2**40):
+        ids = [int(x) for x in rng.permutation(40)] if top == 40 else [int(x) for x in rng.integers(0, top, 40)]
+        pairs = {(min(a, b), max(a, b)): (int(rng.integers(1, 9)), float(rng.normal())) for a, b in rng.choice(ids, (120, 2)) if a != b}
+        n = {i: int(rng.integers(1, 20)) for i in ids}
+        table = spark.createDataFrame([(int(a), int(b), c, n[a], n[b], v) for (a, b), (c, v) in pairs.items()], "a long, b long, c long, na long, nb long, ppmi double")
+        rows = [(r, [ids[j] for j in rng.integers(0, 40, r % 9)]) for r in range(30)]
+        cand = [(r, [*dict.fromkeys(ids[j] for j in rng.integers(0, 40, 8))]) for r in range(30)]
+        got = blocks.matched(spark.createDataFrame([(r, i) for r, c in cand for i in c], "row_id long, item long"), spark.createDataFrame(rows, "row_id long, hist array<long>"), blocks.pair_blocks(table)).collect()
+        want = {}
+        for (r, h), (_, c) in zip(rows, cand, strict=True):
+            for i in c:
+                hit = [(pairs[min(i, j), max(i, j)], n[j]) for j in set(h) if i != j and (min(i, j), max(i, j)) in pairs]
+                if hit:
+                    v = [max(p, 0) for (_, p), _ in hit]
+                    want[r, i] = (sum(v), max(v), sum(c / m for (c, _), m in hit), len(hit))
+        assert {(r["row_id"], r["item"]): pytest.approx(tuple(r)[2:]) for r in got} == want

@@ -378,3 +378,20 @@ def test_pairs_are_looked_up(spark, monkeypatch, block, some, share):
                     v = [max(p, 0) for (_, p), _ in hit]
                     want[r, i] = (sum(v), max(v), sum(c / m for (c, _), m in hit), len(hit))
         assert {(r["row_id"], r["item"]): pytest.approx(tuple(r)[2:]) for r in got} == want
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_title_coherence_equals_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(quality, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    words = ["red", "blue", "green", "long", "short", "thing", "box", "of"]
+    rows = [(i, f"<a_{i % 3}><b_{i}><c_0>", " ".join(rng.choice(words, rng.integers(0, 5)))) for i in range(60)]
+    tokens = [{w for w in t.split() if len(w) > 2} for _, _, t in rows]
+    sums = {True: [], False: []}
+    for i in range(60):
+        for j in range(i):
+            union = tokens[i] | tokens[j]
+            sums[i % 3 == j % 3].append(len(tokens[i] & tokens[j]) / len(union) if tokens[i] and tokens[j] else 0)
+    w, a = np.mean(sums[True]), np.mean(sums[False])
+    got = tuple(quality.title_coherence(spark.createDataFrame(rows, "item int, sid string, title string")).first())
+    assert got == (len(sums[True]), len(sums[False]), round(w, 6), round(a, 6), round(w - a, 6))

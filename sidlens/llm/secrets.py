@@ -20,22 +20,31 @@ HEX = re.compile(r"[0-9a-f]+")
 #: Least length: of group 2 of an assignment, of an access key, of a run of hex digits.
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
-#: Runs of the characters of keys and of encoded bytes; a dot ends one, for it also ends sentences. Shorter ones than LEAST_RANDOM are not weighed.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-LEAST_RANDOM = 20
+#: Runs of printable ASCII, in which keys are looked for; shorter ones than LEAST_RANDOM are not weighed, nor are runs without both letters and digits that are shorter than LEAST_PLAIN.
+LEAST_RANDOM, LEAST_PLAIN = 16, 20
+RUN = re.compile(r"[!-~]{%d,}" % LEAST_RANDOM)
+#: The shapes that are weighed: characters of keys and of encoded bytes (a dot ends them, for it also ends sentences), parts of such characters joined by dots, and letters and digits with the signs of passwords.
+KEY = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RANDOM)
+DOTTED = re.compile(r"[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,})+")
+SIGNED = re.compile(r"[A-Za-z0-9!@#$%^&*]{20,}")
+SIGNS = re.compile(r"[!@#$%^&*]")
 #: Characters per token under which a run is random. English prose has above 4, base64 of random bytes about 1.4, hex digits about 1.7.
 MOST_RATIO = 2.2
+#: The same for runs with signs, which are tokens of their own.
+MOST_SIGNED = 1.8
 
 #: Shapes of known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and of identifiers.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 IDENTIFIERS = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"[0-9_=+/-]+"),  # numbers, dates, rulers
+    re.compile(r"[A-Za-z]{0,8}[0-9_=+/-]+"),  # numbers, dates, rulers, also after a short name
 )
 #: snake_case, kebab-case, paths of words; a part of LEAST_PART letters or more must itself tokenize as language does.
 JOINED = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))+")
 LEAST_PART = 8
+#: Parts of one length that may be the groups of a key.
+LEAST_GROUPS = 4
 #: Rulers: one to four characters again and again.
 RULER = re.compile(r"([^0-9]{1,4}?)\1{4,}[^0-9]{0,3}")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -58,14 +67,50 @@ def ratio(run: str, vocabulary: str) -> float:
 
 def is_random(run: str, vocabulary: str) -> bool:
     """Whether a run of key characters tokenizes too badly for language and isn't a known digest or identifier."""
-    if len(run) < LEAST_RANDOM or (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)) or any(p.fullmatch(run) for p in (*IDENTIFIERS, RULER)):
+    mixed = re.search("[0-9]", run) and re.search("[A-Za-z]", run)
+    if len(run) < (LEAST_RANDOM if mixed else LEAST_PLAIN) or (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)) or any(p.fullmatch(run) for p in (*IDENTIFIERS, RULER)):
         return False
     words = run if re.search("[0-9]", run) else run.strip("_/=+-")
-    if JOINED.fullmatch(words) and all(ratio(x, vocabulary) >= MOST_RATIO for x in re.findall("[A-Za-z]{%d,}" % LEAST_PART, run)):
+    if JOINED.fullmatch(words) and not is_grouped(words, vocabulary) and all(ratio(x, vocabulary) >= MOST_RATIO for x in re.findall("[A-Za-z]{%d,}" % LEAST_PART, run)):
         return False
     return ratio(run, vocabulary) < MOST_RATIO
 
 
+def is_grouped(words: str, vocabulary: str) -> bool:
+    """Whether joined parts are the groups of a key: LEAST_GROUPS or more of one length, 4 to 7, that together tokenize worse than words do."""
+    parts = re.findall("[A-Za-z0-9]+", words)
+    if len(parts) < LEAST_GROUPS or len({len(p) for p in parts}) > 1 or not 4 <= len(parts[0]) < LEAST_PART or not any(p.isalpha() for p in parts):
+        return False
+    return sum(map(len, parts)) < MOST_RATIO * sum(len(encoding(vocabulary).encode_ordinary(p)) for p in parts)
+
+
+def is_signed(run: str, vocabulary: str) -> bool:
+    """Whether a run of letters of both cases, digits and signs holds no part that reads as a word and tokenizes too badly."""
+    if not all(re.search(p, run) for p in ("[a-z]", "[A-Z]", "[0-9]", SIGNS)):
+        return False
+    if any(ratio(x, vocabulary) >= MOST_RATIO for x in re.findall("[A-Za-z]{5,}", run)):
+        return False
+    return ratio(run, vocabulary) < MOST_SIGNED
+
+
+def random_spans(run: str, vocabulary: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what is random in a run of printable characters: dotted and signed shapes as wholes, else runs of key characters."""
+    at = 0
+    wholes = [*((m, is_random) for m in DOTTED.finditer(run)), *((m, is_signed) for m in SIGNED.finditer(run) if SIGNS.search(m[0]))]
+    for m, test in sorted(wholes, key=lambda x: x[0].start()):
+        if m.start() >= at and test(m[0], vocabulary):
+            yield from keys_between(run, at, m.start(), vocabulary)
+            yield m.span()
+            at = m.end()
+    yield from keys_between(run, at, len(run), vocabulary)
+
+
+def keys_between(run: str, lo: int, hi: int, vocabulary: str) -> Iterator[tuple[int, int]]:
+    for m in KEY.finditer(run, lo, hi):
+        if is_random(m[0], vocabulary):
+            yield m.span()
+
+
 def find(text: str, vocabulary: str) -> list[tuple[int, int, str]]:
     """(start, kind's place in KINDS, end) of each span, in order; code points, end exclusive."""
     out = []
@@ -78,6 +123,11 @@ def find(text: str, vocabulary: str) -> list[tuple[int, int, str]]:
     out.sort()
     base, covered = iter(united(out)), (0, 0)
     random = []
+
+    def weigh(lo: int, hi: int) -> None:
+        if hi - lo >= LEAST_RANDOM:
+            random.extend((lo + i, 3, lo + j) for i, j in random_spans(text[lo:hi], vocabulary))
+
     for m in RUN.finditer(text):
         at, end = m.span()
         # What base spans leave of the run is weighed by itself.
@@ -85,14 +135,12 @@ def find(text: str, vocabulary: str) -> list[tuple[int, int, str]]:
             if covered[1] <= at:
                 covered = next(base, None)
                 continue
-            stop = min(end, max(at, covered[0]))
-            random += [(at, 3, stop)] if stop - at >= LEAST_RANDOM and is_random(text[at:stop], vocabulary) else []
+            weigh(at, min(end, max(at, covered[0])))
             if covered[0] >= end:
                 at = end
                 break
             at = covered[1]
-        if end - at >= LEAST_RANDOM and is_random(text[at:end], vocabulary):
-            random.append((at, 3, end))
+        weigh(at, end)
     return sorted(out + random)
 
 
@@ -118,9 +166,12 @@ def spans_string(spans: list[tuple[int, int, int]]) -> str:
 def scan_secrets(documents: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: its id and `found`, an array of (kind, start, end) by start, then kind.
 
-    The base kinds are assign, access and hex. `random` adds runs of key
-    characters outside base spans whose characters per token lie under
-    MOST_RATIO. Null and empty texts have no span. Repeated rows are scanned
+    The base kinds are assign, access and hex. `random` adds what is weighed
+    outside base spans and has too few characters per token: runs of
+    [A-Za-z0-9+/_=-], 16 or more with both letters and digits, else 20 or more; parts
+    of eight or more of [A-Za-z0-9_-] joined by dots; 20 or more letters and digits
+    with some of !@#$%^&*; four or more groups of one length, 4 to 7. Known
+    digests, identifiers, words joined by signs and rulers are left out. Null and empty texts have no span. Repeated rows are scanned
     each; other columns are ignored. Positions are code points, end exclusive.
     """
     rows = documents.select(documents[id_column].alias("id"), documents[text_column].alias("text"))

@@ -21,8 +21,8 @@ from .common import dropped, mapped, saved
 
 #: Pivots besides the origin, and the vectors they are chosen from.
 PIVOTS, PIVOT_SAMPLE = 48, 1024
-#: Rows of a block of candidates and of queries, and queries whose bounds are held at a time.
-CANDIDATES, QUERIES, ROWS = 4096, 8192, 256
+#: Rows of a block of candidates and of queries, components of a block of queries at most, and queries whose bounds are held at a time.
+CANDIDATES, QUERIES, NUMBERS, ROWS = 4096, 8192, 1 << 22, 256
 SCALE = 256
 #: More than the rounding of a bound relative to the norms, for bounds that stay bounds.
 SLACK = 1e-7
@@ -90,7 +90,7 @@ def _exact(a: np.ndarray, v: np.ndarray) -> int:
 
 
 def search_block(q_ids, q, q_at, least, ids, x, x_at, k: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    """(query id, vector id, score): each query's k best of one block, as far as they reach the score `least` of the query; and how many candidates were evaluated for each. At equality of bound and score the search goes on, for ties belong to the smaller id."""
+    """(query's place, vector id, score): each query's k best of one block, as far as they reach the score `least` of the query; and how many candidates were evaluated for each. At equality of bound and score the search goes on, for ties belong to the smaller id."""
     out, evaluated = [], np.zeros(len(q_ids), np.int64)
     far = np.sqrt((x_at**2).sum(1)).max(initial=0)
     slack = SLACK * (1 + np.sqrt((q_at**2).sum(1)) * far)
@@ -110,10 +110,37 @@ def search_block(q_ids, q, q_at, least, ids, x, x_at, k: int) -> tuple[list[tupl
                 own_scores = np.concatenate([own_scores, products(x[part], q[i])])
                 best = np.lexsort((own_ids, -own_scores))[:k]
                 own_ids, own_scores = own_ids[best], own_scores[best]
-            out += [(int(q_ids[i]), int(a), int(s)) for a, s in zip(own_ids, own_scores, strict=True)]
+            out += [(i, int(a), int(s)) for a, s in zip(own_ids, own_scores, strict=True)]
     return out, evaluated
 
 
+def searcher(sent, k: int):
+    """A mapper from blocks of candidates to (query_id, vec_id, score): the k best of each query of a block among all that the task reads, and a row without a vector whose score counts what was evaluated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = sent.value
+        q_ids = np.frombuffer(f["q_ids"], np.int64)
+        table = lambda raw, n, kind: np.frombuffer(raw, kind).reshape(n, -1)
+        q, q_at = table(f["q_v"], len(q_ids), np.int32), table(f["q_at"], len(q_ids), np.float64)
+        least, evaluated = np.frombuffer(f["q_least"], np.int64).copy(), np.zeros(len(q_ids), np.int64)
+        held = np.zeros((0, 3), np.int64)
+        for b in batches:
+            for x_ids, x, x_at in zip(*b.columns, strict=True):
+                ids = np.frombuffer(x_ids.as_buffer(), np.int64)
+                own, some = search_block(q_ids, q, q_at, least, ids, table(x.as_buffer(), len(ids), np.int32), table(x_at.as_buffer(), len(ids), np.float64), k)
+                evaluated += some
+                held = np.concatenate([held, np.array(own, np.int64).reshape(-1, 3)])
+                held = held[np.lexsort((held[:, 1], -held[:, 2], held[:, 0]))]
+                place = np.arange(len(held)) - np.searchsorted(held[:, 0], held[:, 0], "left")
+                held, last = held[place < k], held[place == k - 1]
+                least[last[:, 0]] = np.maximum(least[last[:, 0]], last[:, 2])
+        names = ["query_id", "vec_id", "score"]
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[held[:, 0]]), pa.array(held[:, 1]), pa.array(held[:, 2])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.nulls(len(q_ids), pa.int64()), pa.array(evaluated)], names=names)
+
+    return run
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", count_evaluated: bool = False) -> DataFrame:
     """Per query its k best other rows by exact inner product of quantized vectors: query_id, rank, vec_id, score; with count_evaluated also `evaluated`, the candidates whose product was taken.
 
@@ -124,9 +151,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
     those of one id share a ranking. Ties go to the smaller id. Fewer
     candidates than k: all of them. Components of 2**23 or more are an error.
 
-    Rows are packed into blocks; each block of queries meets each block of
-    candidates in one row, so a task holds two bounded blocks. A query's k-th
-    score among a bounded sample is the least that any block has to reach.
+    Rows are packed into blocks. Blocks of queries, of bounded size, are given to
+    all tasks one after the other; candidates stay where they are, and a task sends
+    each query's best of all blocks that it reads. A query's k-th score among a
+    bounded sample, and then among what the task has seen, is the least that a
+    candidate has to reach.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
@@ -157,7 +186,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
 
     def packed(side: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            size = CANDIDATES if side == "c" else QUERIES
+            most = CANDIDATES if side == "c" else QUERIES
             names = ["dim", *(f"{side}_{c}" for c in ("ids", "v", "at", "least"))]
 
             def emit(dim: int, part: list) -> pa.RecordBatch:
@@ -171,7 +200,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
                 for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     part = held.setdefault(len(v), [])
                     part.append((i, v))
-                    if len(part) == size:
+                    if len(part) >= (most if side == "c" else max(1, min(most, NUMBERS // len(v)))):
                         yield emit(len(v), held.pop(len(v)))
             for dim, part in held.items():
                 yield emit(dim, part)
@@ -183,22 +212,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
         return saved(mapped(kept.repartition(n, F.xxhash64("id")), packed(side), f"dim int, {columns}"), f"blocks-{side}")
 
     c, q = blocks_of("c", rows.select("id", "v"), n_c), blocks_of("q", rows.where("q").select("id", "v").distinct(), n_q)
-    # Every block of queries is stated once for each of n_c groups of candidate blocks, and joined on the group.
-    groups = q.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))).repartition(n_c, "group")
-    cells = groups.join(c.withColumn("group", F.pmod(F.xxhash64("c_ids"), F.lit(n_c)).cast("int")).repartition(n_c, "group"), ["group", "dim"]).select("dim", "q_ids", "q_v", "q_at", "q_least", "c_ids", "c_v", "c_at")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                dim, *f = (b.column(j)[r].as_py() for j in range(8))
-                q_ids, ids = np.frombuffer(f[0], np.int64), np.frombuffer(f[4], np.int64)
-                table = lambda raw, n, kind: np.frombuffer(raw, kind).reshape(n, -1)
-                found, evaluated = search_block(q_ids, table(f[1], len(q_ids), np.int32), table(f[2], len(q_ids), np.float64), np.frombuffer(f[3], np.int64), ids, table(f[5], len(ids), np.int32), table(f[6], len(ids), np.float64), k)
-                a = np.array(found, np.int64).reshape(-1, 3)
-                # Of a row without a vector the score counts what was evaluated.
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[:, 0], q_ids])), pa.array([*a[:, 1].tolist(), *[None] * len(q_ids)], pa.int64()), pa.array(np.concatenate([a[:, 2], evaluated]))], names=["query_id", "vec_id", "score"])
-
-    best = saved(mapped(cells, search, "query_id long, vec_id long, score long"), "best")
+    q = saved(q.withColumn("place", F.monotonically_increasing_id()), "queries")
+    found: list[DataFrame] = []
+    for place in sorted(r["place"] for r in q.select("place").collect()):
+        block = q.where(F.col("place") == place).first()
+        sent = spark.sparkContext.broadcast(block.asDict())
+        own = c.where(F.col("dim") == block["dim"]).select("c_ids", "c_v", "c_at")
+        found.append(saved(mapped(own, searcher(sent, k), "query_id long, vec_id long, score long"), "best"))
+        sent.destroy()
+    best = found[0]
+    for more in found[1:]:
+        best = best.union(more)
     dropped(rows, c, q)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = best.where("vec_id IS NOT NULL").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

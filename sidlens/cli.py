@@ -114,7 +114,7 @@ def analyze_sid(spark, a):
     show(C.unused_codes(c), a, "unused")
     show(C.collision_groups(c), a, "groups")
     if a.info:
-        show(C.info_stats(readers.info_file(spark, a.info)), a, "info")
+        show(C.info_stats(readers.info_file(spark, a.info, titles=True)), a, "info")
     if a.csv:
         show(C.test_set_stats(rows_of(spark, a.csv), c), a, "test")
 

@@ -62,7 +62,7 @@ def normalize(x: Column) -> Column:
 
 def parse_ids(raw: Column) -> Column:
     """All runs of digits as numbers; null gives none."""
-    return F.transform(F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int"))
+    return F.transform(F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("long"))
 
 
 def parse_id_list(raw: Column) -> Column:

@@ -12,20 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sid as S
+from .lines import csv_records, numbered_lines
 
 
 def split_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with header, all columns text, and row_id by place in the file. Quoted cells may hold line breaks, so a file is one task's."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    # A multi-line CSV file is one partition, read in order; within it the ids follow the file.
-    return raw.withColumn("row_id", F.monotonically_increasing_id())
+    """A CSV with header, all columns text, and row_id by place in the file."""
+    return csv_records(spark, path)
 
 
 def interactions(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, user_id, item_id, history_ids, history_sids): a split's typed columns; a missing history or user column counts as empty."""
     raw = split_csv(spark, path)
     has = lambda c: F.col(c) if c in raw.columns else F.lit("")
-    return raw.select("row_id", F.coalesce(has("user_id"), F.lit("")).alias("user_id"), F.trim("item_id").cast("int").alias("item_id"), S.parse_ids(has("history_item_id")).alias("history_ids"), S.parse_sid_list(has("history_item_sid")).alias("history_sids"))
+    return raw.select("row_id", F.coalesce(has("user_id"), F.lit("")).alias("user_id"), F.trim("item_id").cast("long").alias("item_id"), S.parse_ids(has("history_item_id")).alias("history_ids"), S.parse_sid_list(has("history_item_sid")).alias("history_sids"))
 
 
 def split_file(spark: SparkSession, root: str, prefix: str) -> str:
@@ -49,13 +48,13 @@ def results(spark: SparkSession, path: str) -> DataFrame:
 def index_json(spark: SparkSession, path: str) -> DataFrame:
     """(item, tokens, sid) of an index object."""
     m = F.from_json("value", "map<string,array<string>>")
-    return spark.read.text(path, wholetext=True).select(F.explode(m).alias("item", "tokens")).select(F.col("item").cast("int").alias("item"), "tokens", S.join_tokens(F.col("tokens")).alias("sid"))
+    return spark.read.text(path, wholetext=True).select(F.explode(m).alias("item", "tokens")).select(F.col("item").cast("long").alias("item"), "tokens", S.join_tokens(F.col("tokens")).alias("sid"))
 
 
 def item_meta(spark: SparkSession, path: str) -> DataFrame:
     """(item, title) of an item metadata object."""
     m = F.from_json("value", "map<string,struct<title:string>>")
-    return spark.read.text(path, wholetext=True).select(F.explode(m).alias("item", "x")).select(F.col("item").cast("int").alias("item"), "x.title")
+    return spark.read.text(path, wholetext=True).select(F.explode(m).alias("item", "x")).select(F.col("item").cast("long").alias("item"), "x.title")
 
 
 def catalog(spark: SparkSession, index: str, meta: str | None = None) -> DataFrame:
@@ -68,16 +67,16 @@ def catalog(spark: SparkSession, index: str, meta: str | None = None) -> DataFra
     return i.join(known, "item", "left").select("item", "sid", F.when(F.col("known").isNull(), missing).otherwise(F.col("title")).alias("title"))
 
 
-def info_file(spark: SparkSession, path: str) -> DataFrame:
-    """(sid, title, item) of a tab-separated info file without header; blank first cells go, missing cells are null."""
+def info_file(spark: SparkSession, path: str, titles: bool = False) -> DataFrame:
+    """(sid, title, item) of a tab-separated info file without header; blank first cells go, missing cells are null. With titles, rows of one cell, which have none, go too."""
     cells = F.split("value", "\t")
-    return spark.read.text(path).select(cells.alias("c")).select(F.trim(F.get("c", F.lit(0))).alias("sid"), F.get("c", F.lit(1)).alias("title"), F.get("c", F.lit(2)).alias("item")).where("sid <> ''")
+    return spark.read.text(path).select(cells.alias("c")).select(F.trim(F.get("c", F.lit(0))).alias("sid"), F.get("c", F.lit(1)).alias("title"), F.get("c", F.lit(2)).alias("item")).where("sid <> ''").where(F.lit(True) if not titles else F.col("title").isNotNull())
 
 
 def examples_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(good, bad) of an examples file: (row_id, history, target), and (line, error); blank lines count but don't appear."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "value")).where(F.trim("value") != "")
-    r = text.select((F.col("i") + 1).alias("line"), F.from_json("value", "history array<string>, target string").alias("e"))
+    text = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", "\r$", "")).where(F.trim("value") != "")
+    r = text.select((F.col("line") + 1).alias("line"), F.from_json("value", "history array<string>, target string").alias("e"))
     error = F.when(F.col("e.history").isNull() | F.col("e.target").isNull(), "not an example").when(F.size("e.history") == 0, "empty history").when(~S.is_valid(F.col("e.target")) | F.exists("e.history", lambda s: ~S.is_valid(s)), "malformed SID")
     r = r.withColumn("error", error)
     return r.where("error IS NULL").select(F.col("line").cast("long").alias("row_id"), "e.history", "e.target"), r.where("error IS NOT NULL").select("line", "error")

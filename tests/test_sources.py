@@ -1,9 +1,11 @@
+import csv
 import json
+import random
 
 import numpy as np
 import pytest
 
-from sidlens.sources import readers, writers
+from sidlens.sources import lines, readers, writers
 from sidlens.streaming import metric_log
 
 
@@ -68,3 +70,37 @@ def test_metric_log(spark, tmp_path):
         put(tmp_path / "log" / "r2.jsonl", '{"step": 9, "hr@10": 0.5}\n')
     got = {r["log"]: (r["points"], r["start"], r["best"], r["best_step"], r["final"]) for r in spark.read.parquet(str(tmp_path / "curve")).collect()}
     assert got == {"r1.jsonl": (3, 0.1, 0.3, 2, 0.3), "r2.jsonl": (1, 0.5, 0.5, 9, 0.5)}
+
+
+@pytest.mark.parametrize(("end", "size"), [("\n", 7000), ("\r\n", 3001), ("\r\n", 1 << 27)])
+def test_csv_in_ranges_is_what_one_reader_sees(spark, tmp_path, end, size):
+    rng = random.Random(size)
+    cell = lambda: "".join(rng.choices(["a", "b", ",", '"', "\n", "\r\n", "é", " "], k=rng.randrange(30)))
+    paths = [tmp_path / "some" / f"{i}.csv" for i in range(3)]
+    paths[0].parent.mkdir()
+    paths[1].write_text("")
+    for path in (paths[0], paths[2]):
+        with open(path, "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator=end)
+            w.writerow(["a", "b\nc", "d"])
+            for i in range(120):
+                w.writerow([cell(), i, cell() if i % 3 else "x" * rng.randrange(400) + "\n\n" + "y" * rng.randrange(400)])
+                f.write(end * (i % 50 == 7))
+            w.writerow(["short"])
+            w.writerow(["1", "2", "3", "beyond"])
+    read = lambda p: [tuple(x or None for x in (r + [""] * 3)[:3]) for r in csv.reader(open(p, newline="", encoding="utf-8")) if r][1:]  # noqa: E731, SIM115
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert size > 10_000 or spark.read.text(str(paths[0])).rdd.getNumPartitions() > 3
+        for path, want in ((paths[0], read(paths[0])), (paths[0].parent, read(paths[0]) + read(paths[2]))):
+            df = lines.csv_records(spark, str(path))
+            got = sorted(df.collect(), key=lambda r: r["row_id"])
+            assert df.columns == ["a", "b\nc", "d", "row_id"]
+            assert [tuple(r)[:3] for r in got] == want and [r["row_id"] for r in got] == list(range(len(want)))
+        text = open(paths[0], newline="", encoding="utf-8").read().removesuffix("\n").split("\n")  # noqa: SIM115
+        assert sorted(map(tuple, lines.numbered_lines(spark, str(paths[0])).collect())) == list(enumerate(text))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

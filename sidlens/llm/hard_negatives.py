@@ -34,7 +34,7 @@ def usable_rows(vectors: DataFrame, is_anchor: Column, id_column: str, vector_co
     """(row, id, label, v, anchor): rows that take part, components as floor(256 x); a number for each row. Components of 2**23 or more are an error."""
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("long").alias("label"), F.col(vector_column).cast("array<double>").alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("anchor"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & fine)
+    rows = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & fine)
     whole = F.transform("v", lambda x: F.when(F.abs(x) < 2.0**23, F.floor(x * SCALE).cast("int")).otherwise(F.raise_error(F.lit("components of 2**23 or more can't be scored in 64 bits")).cast("int")))
     return rows.select(F.monotonically_increasing_id().alias("row"), "id", "label", whole.alias("v"), "anchor")
 
@@ -212,8 +212,8 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, ne
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score): for each anchor and each of its `positives` best other rows of the same label, the first `negatives` rows of another label whose score is low to high per cent of the positive's.
 
     Scores are inner products of floor(256 x). Higher ones come first, ties by the
-    smaller id, then by row. Rows without an id, a label or a vector, or with a null or
-    non-finite component, take no part; vectors meet those of their own length; a null
+    smaller id, then by row. Rows without an id, a label or a vector, or with an empty
+    vector or a null or non-finite component, take no part; vectors meet those of their own length; a null
     condition is no anchor. Repeated rows count each, as others of one another.
     Components of 2**23 or more, and vectors whose scores may reach 2**56, are an error.
 

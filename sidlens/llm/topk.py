@@ -209,7 +209,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
 
     def blocks_of(side: str, kept: DataFrame, n: int) -> DataFrame:
         columns = ", ".join(f"{side}_{c} binary" for c in ("ids", "v", "at", "least"))
-        return saved(mapped(kept.repartition(n, F.xxhash64("id")), packed(side), f"dim int, {columns}"), f"blocks-{side}")
+        # As many blocks of queries as they need, for each takes a pass.
+        dealt = kept.repartition(n) if side == "q" else kept.repartition(n, F.xxhash64("id"))
+        return saved(mapped(dealt, packed(side), f"dim int, {columns}"), f"blocks-{side}")
 
     c, q = blocks_of("c", rows.select("id", "v"), n_c), blocks_of("q", rows.where("q").select("id", "v").distinct(), n_q)
     q = saved(q.withColumn("place", F.monotonically_increasing_id()), "queries")

@@ -20,22 +20,22 @@ from pyspark.sql import functions as F
 from ..plans.session import written
 
 
-def _ranges(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start, value): lines without their line feed, in the order of the file within a range."""
-    raw = spark.read.option("lineSep", "\n").text(path)
+def text_ranges(spark: SparkSession, path: str, sep: str = "\n") -> DataFrame:
+    """(file, start, value): lines without their line feed, or what lies between other separators, in the order of the file within a range."""
+    raw = spark.read.option("lineSep", sep).text(path)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): lines from 0 on, through all files in the order of their names; a carriage return at the end stays."""
-    lines = written(_ranges(spark, path).withColumn("at", F.monotonically_increasing_id()), "lines")
+    lines = written(text_ranges(spark, path).withColumn("at", F.monotonically_increasing_id()), "lines")
     counts = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     w = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
     return lines.join(F.broadcast(counts), ["file", "start"]).select((F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
 
 
-def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[str]]]:
+def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[str]]]:
     """Lines of one range at a time, some at a time."""
     for b in batches:
         file, start, value = (b.column(i).to_pylist() for i in range(3))
@@ -53,7 +53,7 @@ def _blank(line: str) -> bool:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(file, start, odd, begun_0, begun_1): whether a range's quotes are odd in number, and how many records begin in it if no cell is open at its start, and if one is."""
     seen: dict[tuple[str, int], list[int]] = {}
-    for key, lines in _by_range(batches):
+    for key, lines in by_range(batches):
         own = seen.setdefault(key, [0, 0, 0])
         for line in lines:
             own[1 + own[0]] += not _blank(line)  # a record begins where the quotes before are even
@@ -82,7 +82,7 @@ def _cells(before: dict[tuple[str, int], tuple[int, int, int]], width: int):
             """The open record of a range that ends, or the part that it holds of one."""
             return out([number - 1], [None], at[1], ["\n".join(held)]) if held else None
 
-        for key, lines in _by_range(batches):
+        for key, lines in by_range(batches):
             if key != at:
                 if at is not None and (last := border()):
                     yield last
@@ -116,7 +116,7 @@ def _cells(before: dict[tuple[str, int], tuple[int, int, int]], width: int):
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with header, or a folder of such files: its columns as text, and row_id by place in the file, through all files in the order of their names. Quoted cells may hold line breaks; blank lines don't count, empty and missing cells are null, cells beyond the header go. Several tasks read a large file."""
-    ranges = _ranges(spark, path)
+    ranges = text_ranges(spark, path)
     found = sorted((tuple(r) for r in ranges.mapInArrow(_scan, "file string, start long, odd long, begun_0 long, begun_1 long").collect()), key=lambda r: r[:2])  # one for each range
     # Rows are numbered from 0; a header has the number before its file's first row.
     before, is_open, number, file, least = {}, 0, 0, None, 0

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sid as S
+from .entries import json_entries
 from .lines import csv_records, numbered_lines
 
 
@@ -35,26 +36,31 @@ def split_file(spark: SparkSession, root: str, prefix: str) -> str:
     return found
 
 
+#: An entry that isn't what it should be is an error.
+STRICT = {"mode": "FAILFAST"}
+
+
 def results(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, predict, output) of a result file: a list of entries, or a list of such lists, one after the other."""
-    text = spark.read.text(path, wholetext=True)
-    entry = "struct<predict:array<string>,output:string>"
-    flat, nested = F.from_json("value", f"array<{entry}>"), F.flatten(F.from_json("value", f"array<array<{entry}>>"))
-    entries = F.when(F.col("value").rlike(r"^\s*\[\s*\["), nested).otherwise(flat)
-    rows = text.select(F.posexplode(entries).alias("row_id", "e"))
-    return rows.select(F.col("row_id").cast("long").alias("row_id"), F.transform(F.coalesce("e.predict", F.array().cast("array<string>")), S.normalize).alias("predict"), S.normalize(S.target_of(F.col("e.output"))).alias("output"))
+    """(row_id, predict, output) of a result file: a list of entries, or a list of such lists, one after the other; a folder's files follow each other. Many tasks read a large file."""
+    e = F.from_json("text", "predict array<string>, output string", STRICT)
+    rows = json_entries(spark, path).select(F.col("entry").alias("row_id"), e.alias("e"))
+    return rows.select("row_id", F.transform(F.coalesce("e.predict", F.array().cast("array<string>")), S.normalize).alias("predict"), S.normalize(S.target_of(F.col("e.output"))).alias("output"))
+
+
+def _members(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(item, value) of an object's members, many tasks reading a large file."""
+    m = F.from_json("text", f"map<string,{kind}>", STRICT)
+    return json_entries(spark, path, members=True).select(F.explode(m).alias("item", "value")).withColumn("item", F.col("item").cast("long"))
 
 
 def index_json(spark: SparkSession, path: str) -> DataFrame:
     """(item, tokens, sid) of an index object."""
-    m = F.from_json("value", "map<string,array<string>>")
-    return spark.read.text(path, wholetext=True).select(F.explode(m).alias("item", "tokens")).select(F.col("item").cast("long").alias("item"), "tokens", S.join_tokens(F.col("tokens")).alias("sid"))
+    return _members(spark, path, "array<string>").select("item", F.col("value").alias("tokens"), S.join_tokens(F.col("value")).alias("sid"))
 
 
 def item_meta(spark: SparkSession, path: str) -> DataFrame:
     """(item, title) of an item metadata object."""
-    m = F.from_json("value", "map<string,struct<title:string>>")
-    return spark.read.text(path, wholetext=True).select(F.explode(m).alias("item", "x")).select(F.col("item").cast("long").alias("item"), "x.title")
+    return _members(spark, path, "struct<title:string>").select("item", "value.title")
 
 
 def catalog(spark: SparkSession, index: str, meta: str | None = None) -> DataFrame:

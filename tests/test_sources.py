@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sidlens.sources import lines, readers, writers
+from sidlens.sources import entries, lines, readers, writers
 from sidlens.streaming import metric_log
 
 
@@ -104,3 +104,52 @@ def test_csv_in_ranges_is_what_one_reader_sees(spark, tmp_path, end, size):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def in_ranges(spark, size):
+    for k, v in (("spark.sql.files.maxPartitionBytes", str(size)), ("spark.sql.files.openCostInBytes", "1")):
+        spark.conf.set(k, v)
+
+
+@pytest.fixture
+def ranges(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    yield
+    for k, v in held.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(("indent", "size"), [(None, 3001), (1, 5003), (2, 1 << 27)])
+def test_json_in_ranges_is_what_one_reader_sees(spark, tmp_path, ranges, indent, size):
+    rng = random.Random(size)
+    text = lambda: "".join(rng.choices(["a", "b", ",", '"', "\n", "\\", "{", "}", "[", "]", "é", " "], k=rng.randrange(12)))
+    flat = [{"predict": [text() for _ in range(rng.randrange(4))], "output": "x,{" * rng.randrange(9, 400 if i % 9 else 5000)} for i in range(40)]
+    flat[7]["more"] = {"deep": [{"predict": [text()]}, [[]]]}
+    cut = [[], flat[:5], [], [], flat[5:31], flat[31:], []]
+    objects = {str(i): {"title": text(), "more": {"k,": [text(), {}]}} for i in range(40)}
+    for name, x in (("flat", flat), ("nested", cut), ("none", []), ("meta", objects), ("empty", {})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(x, indent=indent, ensure_ascii=indent == 1) + "\n" * (indent == 1), encoding="utf-8")
+    (tmp_path / "some").mkdir()
+    (tmp_path / "some" / "b.json").write_text(json.dumps(flat[20:]))
+    (tmp_path / "some" / "a.json").write_text(json.dumps(flat[:20]))
+    (tmp_path / "some" / "c.json").write_text("")
+    in_ranges(spark, size)
+    assert size > 10_000 or spark.read.option("lineSep", ",").text(str(tmp_path / "flat.json")).rdd.getNumPartitions() > 3
+    for name, want in (("flat.json", flat), ("nested.json", flat), ("none.json", []), ("some", flat)):
+        got = sorted(map(tuple, entries.json_entries(spark, str(tmp_path / name)).collect()))
+        assert [i for i, _ in got] == list(range(len(want)))
+        assert [json.loads(t) for _, t in got] == want, name
+    got = [json.loads(t) for _, t in entries.json_entries(spark, str(tmp_path / "meta.json"), members=True).collect()]
+    assert sorted(k for x in got for k in x) == sorted(objects) and {k: v for x in got for k, v in x.items()} == objects
+    titles = {r["item"]: r["title"] for r in readers.item_meta(spark, str(tmp_path / "meta.json")).collect()}
+    assert titles == {int(k): v["title"] for k, v in objects.items()}
+    assert readers.item_meta(spark, str(tmp_path / "empty.json")).count() == 0
+    r = {r["row_id"]: r["output"] for r in readers.results(spark, str(tmp_path / "nested.json")).collect()}
+    assert r == dict(enumerate(x["output"] for x in flat))
+
+
+def test_json_that_ends_early_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="ends within"):
+        readers.results(spark, put(tmp_path / "x.json", '[{"predict": ["a", "b"'))
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+        readers.results(spark, put(tmp_path / "y.json", '[{"predict": 7 8, "output": "a"}]')).collect()

@@ -8,16 +8,20 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import sid as S
 from .operators import catalog as C
 from .operators import cooc, diagnose, features, learn, metrics, predictor, quality, rank, resample, sampling, transform
 from .plans.session import session, with_index, written
 from .sources import readers, writers
 
 
+def typed(rows: DataFrame) -> DataFrame:
+    """(row_id, u, target, hist) of typed interactions."""
+    return rows.select("row_id", F.col("user_id").alias("u"), F.col("item_id").alias("target"), F.col("history_ids").alias("hist"))
+
+
 def rows_of(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, u, target, hist) of a split."""
-    return readers.interactions(spark, path).select("row_id", F.col("user_id").alias("u"), F.col("item_id").alias("target"), F.col("history_ids").alias("hist"))
+    return typed(readers.interactions(spark, path))
 
 
 def beam_of(spark: SparkSession, result: str, rows: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -198,20 +202,19 @@ def analyze_rl_curve(spark, a):
 
 def make_subsets(spark, a):
     for split, n in (("train", a.train), ("valid", a.valid), ("test", a.test)):
-        writers.split_csv(sampling.subset(readers.split_csv(spark, readers.split_file(spark, a.src_root, split)), n, a.seed), f"{a.out_dir}/{split}")
+        writers.split_csv(sampling.subset(readers.split_csv(spark, readers.split_file(spark, a.src_root, split)), n, a.seed), f"{a.out_dir}/{split}" + ".csv" * a.one_file)
 
 
 def remap_sids(spark, a):
-    index, bad = readers.catalog(spark, a.index, a.item_meta), 0
+    index, bad = written(readers.catalog(spark, a.index, a.item_meta), "catalog"), 0
     for split in ("train", "valid", "test"):
-        path = readers.split_file(spark, a.src_root, split)
-        raw, rows = readers.split_csv(spark, path), rows_of(spark, path)
-        new = transform.remap(rows, index).select("row_id", "new_sid", S.list_literal(F.col("new_hist")).alias("new_history"))
-        writers.split_csv(raw.join(new, "row_id").withColumn("item_sid", F.col("new_sid")).withColumn("history_item_sid", F.col("new_history")).select("row_id", *[c for c in raw.columns if c != "row_id"]), f"{a.out_dir}/{split}")
-        report = transform.remap_report(rows, index)
+        raw = written(readers.split_csv(spark, readers.split_file(spark, a.src_root, split)), "split")
+        new, report = transform.remapped(raw, typed(readers.typed(raw)), index)
+        writers.split_csv(new, f"{a.out_dir}/{split}" + ".csv" * a.one_file)
+        report = written(report, "report")
         show(report, a, split)
         bad += report.first()["n_rows"] - report.first()["kept"]
-    writers.info_file(C.info_table(index), f"{a.out_dir}/info")
+    writers.info_file(C.info_table(index), f"{a.out_dir}/info" + ".txt" * a.one_file)
     if bad:
         raise SystemExit(1)
 
@@ -350,8 +353,8 @@ COMMANDS = {
     popularity_diagnostic: "result index csv train-csv item-meta?",
     history_copy_diagnostic: "result index csv item-meta?",
     analyze_rl_curve: "logs* metric=hr@10",
-    make_subsets: "src-root out-dir train=1000 valid=1000 test=1000 seed=42",
-    remap_sids: "src-root index out-dir item-meta",
+    make_subsets: "src-root out-dir train=1000 valid=1000 test=1000 seed=42 one-file=0",
+    remap_sids: "src-root index out-dir item-meta one-file=0",
     rerank_cooccurrence: "result index csv train-csv item-meta?",
     rerank_probe: "result index csv embeddings item-meta?",
     rerank_learned: "mode model? result? index csv? train-csv item-meta? negatives=12 epochs=4 lr=0.15 l2=0.00001 features? pool-mode=mixed limit-rows=0 seed=42 augment?int lam?float rrf-k?int config? grid-out? label=",

@@ -22,8 +22,12 @@ def split_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def interactions(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, user_id, item_id, history_ids, history_sids): a split's typed columns; a missing history or user column counts as empty."""
-    raw = split_csv(spark, path)
+    """A split's typed columns, as of `typed`."""
+    return typed(split_csv(spark, path))
+
+
+def typed(raw: DataFrame) -> DataFrame:
+    """(row_id, user_id, item_id, history_ids, history_sids) of a split's records; a missing history or user column counts as empty."""
     has = lambda c: F.col(c) if c in raw.columns else F.lit("")
     return raw.select("row_id", F.coalesce(has("user_id"), F.lit("")).alias("user_id"), F.trim("item_id").cast("long").alias("item_id"), S.parse_ids(has("history_item_id")).alias("history_ids"), S.parse_sid_list(has("history_item_sid")).alias("history_sids"))
 

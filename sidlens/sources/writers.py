@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordered import csv_line, one_file
+
 
 def report(df: DataFrame, path: str) -> None:
     """Each row as a line of JSON."""
@@ -18,12 +20,21 @@ def examples(df: DataFrame, path: str) -> None:
 
 
 def split_csv(df: DataFrame, path: str, order: str = "row_id") -> None:
-    """A CSV with header, minimal quotes and LF line ends, in order; row_id isn't written."""
-    df.orderBy(order).drop("row_id").write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\n").option("emptyValue", "").csv(path)
+    """A CSV with header, minimal quotes and LF line ends, in order; row_id isn't written. A path that ends in .csv is one file, any other a folder of part files. Cells stay byte for byte, white space around them too."""
+    columns = [c for c in df.columns if c not in ("row_id", order)]
+    if path.endswith(".csv"):
+        head = ",".join(f'"{c.replace(chr(34), chr(34) * 2)}"' if any(x in c for x in ',"\r\n') else c for c in columns)
+        one_file(df.select(F.col(order).alias("order"), csv_line(df, columns).alias("line")), path, head)
+        return
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"', "lineSep": "\n", "emptyValue": ""}
+    df.orderBy(order).select(*columns).write.mode("overwrite").options(**kept).option("header", True).csv(path)
 
 
 def info_file(lines: DataFrame, path: str) -> None:
-    """Lines (item, line) in order of item."""
+    """Lines (item, line) in order of item: one file where the path ends in .txt or .tsv, else a folder of part files."""
+    if path.endswith((".txt", ".tsv")):
+        one_file(lines.select(F.col("item").alias("order"), "line"), path)
+        return
     lines.orderBy("item").select("line").write.mode("overwrite").text(path)
 
 

@@ -100,6 +100,10 @@ def test_rewrites(spark, files, capsys, tmp_path):
     old, new = cli.rows_of(spark, f"{files}/test.csv"), cli.rows_of(spark, f"{tmp_path}/r/test")
     assert [tuple(r)[1:] for r in old.orderBy("row_id").collect()] == [tuple(r)[1:] for r in new.orderBy("row_id").collect()]
     assert cli.readers.info_file(spark, f"{tmp_path}/r/info").count() == 30
+    run(spark, files, capsys, f"remap-sids --src-root {files} --index @index_a.json --item-meta @meta.json --out-dir {tmp_path}/f --one-file 1")
+    for split in ("train", "valid", "test"):  # the same index gives the same file but for the line ends
+        assert (tmp_path / "f" / f"{split}.csv").read_bytes() == (files / f"{split}.csv").read_bytes().replace(b"\r\n", b"\n")
+    assert (tmp_path / "f" / "info.txt").read_text().splitlines()[7] == "<a_1><b_7><c_0>\tthing number 7\t7"
     run(spark, files, capsys, f"prepare --source @test.csv --output {tmp_path}/e")
     part = next((tmp_path / "e").glob("part*.json"))
     assert '"losses"' in run(spark, files, capsys, f"train --examples {part} --epochs 1 --dim 8")

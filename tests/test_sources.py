@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sidlens.sources import entries, lines, readers, writers
+from sidlens.sources import entries, lines, ordered, readers, writers
 from sidlens.streaming import metric_log
 
 
@@ -153,3 +153,39 @@ def test_json_that_ends_early_is_refused(spark, tmp_path):
         readers.results(spark, put(tmp_path / "x.json", '[{"predict": ["a", "b"'))
     with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
         readers.results(spark, put(tmp_path / "y.json", '[{"predict": 7 8, "output": "a"}]')).collect()
+
+
+def test_a_split_comes_back_byte_for_byte(spark, tmp_path):
+    rng = random.Random(1)
+    cell = lambda: "".join(rng.choices(["a", " ", ",", '"', "\n", "\r\n", "é", "\t", "\\", "'"], k=rng.randrange(9)))
+    path = tmp_path / "a.csv"
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f, lineterminator="\n")
+        w.writerow(["item_id", "a,b", "note "])
+        for i in range(500):
+            w.writerow([i, cell(), cell()])
+    rows = readers.split_csv(spark, str(path)).repartition(7)
+    (tmp_path / "out.csv").write_text("what was there before")
+    for _ in range(2):
+        writers.split_csv(rows, str(tmp_path / "out.csv"))
+        assert (tmp_path / "out.csv").read_bytes() == path.read_bytes()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.csv", "out.csv"]
+    writers.split_csv(rows.where("row_id < 0"), str(tmp_path / "none.csv"))
+    assert (tmp_path / "none.csv").read_bytes() == path.read_bytes().split(b"\n")[0] + b"\n"
+    # Part files keep white space around cells too.
+    writers.split_csv(rows, str(tmp_path / "parts"))
+    key = lambda df: sorted((tuple(r)[:3] for r in df.collect()), key=lambda r: int(r[0]))
+    assert key(readers.split_csv(spark, str(tmp_path / "parts"))) == key(rows)
+
+
+def test_lines_in_one_file(spark, tmp_path):
+    df = spark.createDataFrame([(3, "c"), (1, None), (2, "é")], "order long, line string")
+    assert ordered.one_file(df, f"{tmp_path}/x/info.txt") == 6
+    assert (tmp_path / "x" / "info.txt").read_text() == "\né\nc\n"
+    writers.info_file(df.withColumnRenamed("order", "item"), f"file://{tmp_path}/y.tsv")
+    assert (tmp_path / "y.tsv").read_text() == "\né\nc\n"
+    with pytest.raises(ValueError, match="mounted"):
+        ordered.one_file(df, "s3a://x/y.txt")
+    one = spark.createDataFrame([(0, ""), (1, 'a"b')], "row_id long, x string")
+    writers.split_csv(one, f"{tmp_path}/one.csv")
+    assert [r for r in csv.reader(open(tmp_path / "one.csv", newline=""))] == [["x"], [""], ['a"b']]  # noqa: SIM115, C416

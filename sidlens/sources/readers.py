@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import json
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sid as S
 from .entries import json_entries
 from .lines import csv_records, numbered_lines
+from .vectors import npy_vectors as npy_vectors
 
 
 def split_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -110,23 +107,6 @@ def metric_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METRIC_LOG).option("mode", "DROPMALFORMED").json(path).withColumn("log", F.col("_metadata.file_name")).where("error IS NULL AND `hr@10` IS NOT NULL")
 
 
-def npy_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(item, vec) of a 2-D .npy file of half or single floats, rows numbered from 0."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                a = np.load(io.BytesIO(content), allow_pickle=False)
-                if a.ndim != 2 or a.dtype.str not in ("<f2", "<f4"):
-                    raise ValueError(f"expected a 2-D array of <f2 or <f4, found {a.ndim}-D {a.dtype.str}")
-                for lo in range(0, len(a), 4096):
-                    part = a[lo : lo + 4096].astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.array(list(part), pa.list_(pa.float32()))], names=["item", "vec"])
-
-    return files.mapInArrow(run, "item int, vec array<float>")
-
-
 def json_object(spark: SparkSession, path: str) -> dict:
     """One JSON object of a file, or of a folder that a writer made."""
     return json.loads(spark.read.text(path, wholetext=True).where("trim(value) <> ''").first()["value"])

@@ -189,3 +189,33 @@ def test_lines_in_one_file(spark, tmp_path):
     one = spark.createDataFrame([(0, ""), (1, 'a"b')], "row_id long, x string")
     writers.split_csv(one, f"{tmp_path}/one.csv")
     assert [r for r in csv.reader(open(tmp_path / "one.csv", newline=""))] == [["x"], [""], ['a"b']]  # noqa: SIM115, C416
+
+
+@pytest.mark.parametrize(("kind", "size"), [("<f2", 3001), ("<f4", 5003)])
+def test_vectors_in_ranges(spark, tmp_path, ranges, kind, size):
+    rng = np.random.default_rng(size)
+    a = rng.normal(size=(300, 37)).astype(kind)
+    a[5:40] = 0  # rows without a line feed byte
+    a[77:80] = np.frombuffer(b"\n" * a.itemsize, kind)[0]
+    a[-1, -1] = a[77, 0]  # the file ends with one
+    (tmp_path / "some").mkdir()
+    np.save(tmp_path / "some" / "a.npy", a)
+    np.save(tmp_path / "some" / "b.npy", a[:0])
+    np.save(tmp_path / "some" / "c.npy", a[:90])
+    in_ranges(spark, size)
+    assert spark.read.text(str(tmp_path / "some")).rdd.getNumPartitions() > 6
+    for name, want in (("some/a.npy", a), ("some/b.npy", a[:0]), ("some", np.concatenate([a, a[:90]]))):
+        got = sorted(map(tuple, readers.npy_vectors(spark, str(tmp_path / name)).collect()))
+        assert [i for i, _ in got] == list(range(len(want)))
+        assert np.array_equal(np.array([v for _, v in got], np.float32).reshape(want.shape), want.astype(np.float32))
+
+
+def test_other_arrays_are_refused(spark, tmp_path):
+    for name, x in (("int", np.zeros((2, 2), np.int32)), ("flat", np.zeros(4, np.float32)), ("columns", np.asfortranarray(np.ones((3, 2), np.float32)))):
+        np.save(tmp_path / f"{name}.npy", x)
+        with pytest.raises(ValueError, match="expected"):
+            readers.npy_vectors(spark, str(tmp_path / f"{name}.npy"))
+    np.save(tmp_path / "cut.npy", np.ones((9, 9), np.float32))
+    (tmp_path / "cut.npy").write_bytes((tmp_path / "cut.npy").read_bytes()[:-8])
+    with pytest.raises(ValueError, match="doesn't hold"):
+        readers.npy_vectors(spark, str(tmp_path / "cut.npy"))

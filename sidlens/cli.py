@@ -35,9 +35,22 @@ def result_beam(spark: SparkSession, result: str) -> DataFrame:
     return readers.results(spark, result).select("row_id", "output", "predict")
 
 
+def table(name: str, columns: list[str], rows: list[dict]) -> str:
+    """Columns side by side under their names, numbers to the right; one row alone as a list of names and values."""
+    said = lambda v: "-" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
+    cells = [[said(r[c]) for c in columns] for r in rows]
+    if len(rows) == 1:
+        wide = max(map(len, columns))
+        return "\n".join([name, *(f"  {c:<{wide}}  {v}" for c, v in zip(columns, cells[0], strict=True))])
+    wide = [max(len(x[i]) for x in [columns, *cells]) for i in range(len(columns))]
+    right = [all(isinstance(r[c], (int, float, type(None))) for r in rows) for c in columns]
+    line = lambda x: "  " + "  ".join(v.rjust(w) if n else v.ljust(w) for v, w, n in zip(x, wide, right, strict=True)).rstrip()
+    return "\n".join([name, line(columns), *map(line, cells)])
+
+
 def show(df: DataFrame, args, name: str = "report") -> None:
     rows = [r.asDict(recursive=True) for r in df.collect()]
-    print(json.dumps({name: rows}, indent=2, ensure_ascii=False, default=str))
+    print(table(name, df.columns, rows) if args.tables else json.dumps({name: rows}, indent=2, ensure_ascii=False, default=str))
     if args.json_out:
         writers.report(df, f"{args.json_out}/{name}")
 
@@ -126,6 +139,7 @@ def analyze_sid(spark, a):
 def analyze_sid_quality(spark, a):
     c, rows = _catalog(spark, a), rows_of(spark, a.train_csv)
     st = written(quality.states(rows, c, a.level), "states")
+    show(written(quality.report(rows, st, a.level), "quality"), a, "quality")
     show(quality.co_prefix_rate(st, a.level), a, "co_prefix")
     show(quality.majority_accuracy(st), a, "majority_level")
     show(quality.majority_accuracy(st, "x_full"), a, "majority_full")
@@ -381,6 +395,7 @@ def parser() -> argparse.ArgumentParser:
             else:
                 p.add_argument(f"--{o.rstrip('?')}", required=not o.endswith("?"))
         p.add_argument("--json-out", default=None)
+        p.add_argument("--tables", type=int, default=0, help="1: tables instead of JSON")
         p.add_argument("--topk", type=int, default=10)
         p.add_argument("--rounds", type=int, default=2000)
     return top

@@ -497,6 +497,33 @@ def target_entropy(fx: Fixtures) -> DataFrame:
     return quality.information(_states(fx)).select("target_entropy", "target_classes")
 
 
+_L1 = "regexp_extract({}, '^<a_[0-9]+>')"
+
+
+@query(f"""WITH h AS (SELECT row_id, pos, n.sid FROM (SELECT row_id, p.pos, hist[p.pos + 1] AS item FROM train, range(10) AS p(pos) WHERE p.pos < len(hist)) JOIN {_NEW} n USING (item)),
+    l AS (SELECT row_id, arg_max(sid, pos) AS x_full FROM h GROUP BY 1), st AS (SELECT row_id, x_full, t.sid AS y_full, {_L1.format("x_full")} AS x, {_L1.format("t.sid")} AS y FROM train JOIN l USING (row_id) JOIN {_NEW} t ON t.item = target),
+    co AS (SELECT count(*) AS co_prefix_pairs, round(count(*) FILTER ({_L1.format("a.sid")} = {_L1.format("b.sid")}) / count(*), 6) AS co_prefix_pair_rate FROM st JOIN h a USING (row_id) JOIN h b ON b.row_id = a.row_id AND a.pos < b.pos),
+    ml AS (SELECT round(sum(b) / sum(n), 6) AS majority_acc_level FROM (SELECT x, max(c) AS b, sum(c) AS n FROM (SELECT x, y, count(*) AS c FROM st GROUP BY 1, 2) GROUP BY 1)),
+    mf AS (SELECT round(sum(b) / sum(n), 6) AS majority_acc_full FROM (SELECT x_full, max(c) AS b, sum(c) AS n FROM (SELECT x_full, y, count(*) AS c FROM st GROUP BY 1, 2) GROUP BY 1)),
+    i AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS idx, x, y FROM st), cut AS (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS cut FROM st),
+    best AS (SELECT x, y AS guess FROM (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY count(*) DESC, min(idx)) AS r FROM i, cut WHERE idx < cut GROUP BY x, y) WHERE r = 1), o AS (SELECT y AS most FROM i, cut WHERE idx < cut GROUP BY y ORDER BY count(*) DESC, min(idx) LIMIT 1),
+    held AS (SELECT round(count(*) FILTER (coalesce(guess, most) = y) / count(*), 6) AS heldout_acc_level FROM cut, o, i LEFT JOIN best ON best.x = i.x WHERE idx >= cut),
+    t AS (SELECT count(*) AS used_rows, count(DISTINCT y_full) AS target_full_classes, count(DISTINCT x_full) AS context_states, count(DISTINCT y) AS target_classes FROM st),
+    hy AS (SELECT -sum(c / used_rows * ln(c / used_rows)) AS h FROM (SELECT y, count(*) AS c FROM st GROUP BY 1), t), px AS (SELECT x, count(*) AS c FROM st GROUP BY 1), py AS (SELECT y, count(*) AS c FROM st GROUP BY 1),
+    mi AS (SELECT sum(n.c / used_rows * ln(n.c * used_rows / (px.c * py.c))) AS mi FROM (SELECT x, y, count(*) AS c FROM st GROUP BY 1, 2) n JOIN px USING (x) JOIN py USING (y), t)
+    SELECT (SELECT count(*) FROM train) AS n_rows, t.*, co.*, ml.*, mf.*, held.*, round(mi / h, 6) AS nmi, round(h, 4) AS target_entropy FROM t, co, ml, mf, held, hy, mi""")
+def quality_report(fx: Fixtures) -> DataFrame:
+    rows = fx.rows("train")
+    return quality.report(rows, written(quality.states(rows, _new_index(fx)), "states"))
+
+
+@query("""WITH u AS (SELECT row_id, list_distinct(hist) AS items FROM train WHERE len(list_distinct(hist)) >= 5), e AS (SELECT row_id, unnest(items) AS item FROM u), n AS (SELECT item, count(*) AS n FROM e GROUP BY 1),
+    p AS (SELECT x.item AS a, y.item AS b, count(*) AS c FROM e x JOIN e y ON x.row_id = y.row_id AND x.item < y.item GROUP BY 1, 2), t AS (SELECT CAST(sum(c) AS DOUBLE) AS t FROM p)
+    SELECT a, b, c, ppmi FROM (SELECT a, b, c, round(ln(c * t / (x.n * CAST(y.n AS DOUBLE))), 9) AS ppmi FROM p JOIN n x ON x.item = a JOIN n y ON y.item = b, t) WHERE ppmi > 0""")
+def ppmi_support(fx: Fixtures) -> DataFrame:
+    return cooc.ppmi(fx.rows("train"), min_history=5)
+
+
 #: Drawn pairs of titles, the operator's default.
 _PAIRS = 100000
 

@@ -56,7 +56,7 @@ SEEDS = f"--labels 1 2 --results-a @result_a1.json @result_a2.json --results-b @
         (f"compare-item-level {PAIR} --rounds 20", '"only_a"'),
         (f"check-collision-confound {PAIR} --rounds 20", '"bootstrap"'),
         (f"analyze-sid {COMMON} --csv @test.csv --info @info.txt", '"duplicate_rows": 21'),
-        (f"analyze-sid-quality {COMMON} --train-csv @train.csv", '"nmi"'),
+        (f"analyze-sid-quality {COMMON} --train-csv @train.csv", '"used_rows": 80'),
         (f"analyze-seeds {SEEDS} --csv-b @test.csv --rounds 20", '"summary_kept"'),
         (f"analyze-seeds-product {SEEDS} --rounds 20", '"n_seeds": 2'),
         (f"diagnose-shared-rows {SEEDS}", '"hits_a"'),
@@ -71,6 +71,13 @@ def test_command(spark, files, capsys, line, said):
     assert said in run(spark, files, capsys, line)
 
 
+def test_tables(spark, files, capsys):
+    out = run(spark, files, capsys, f"analyze-sid {COMMON} --tables 1").splitlines()
+    at = out.index("usage")
+    assert out[0] == "space" and out[1].split()[0] in ("n_items", "items") and len({len(x) for x in out[at + 1 : at + 5]}) == 1
+    assert cli.table("x", ["a", "b"], [{"a": 1.5, "b": "q"}, {"a": None, "b": "rst"}]) == "x\n    a  b\n  1.5  q\n    -  rst"
+
+
 def test_other_order_is_refused(spark, files, capsys):
     with pytest.raises(SystemExit, match="differ in row"):
         run(spark, files, capsys, f"analyze-seeds {SEEDS} --csv-b @valid.csv --rounds 20")

@@ -206,6 +206,15 @@ def test_quality(spark, cat):
     assert quality.title_coherence(one).first()["gain"] is None
 
 
+def test_quality_report(spark, cat):
+    index = spark.createDataFrame([(1, A), (2, B), (3, C)], "item int, sid string")
+    r = rows_of(spark, (1, [2, 3, 2]), (9, [2]), (1, [9]), (2, []), (3, [9, 3]))
+    x = quality.report(r, quality.states(r, index)).first()
+    assert (x["n_rows"], x["used_rows"], x["co_prefix_pairs"], x["target_full_classes"], x["context_states"]) == (5, 2, 3, 2, 2)
+    x = quality.report(r.limit(0), quality.states(r.limit(0), index)).first()
+    assert (x["n_rows"], x["used_rows"], x["co_prefix_pairs"], x["co_prefix_pair_rate"], x["heldout_acc_level"]) == (0, 0, 0, None, None)
+
+
 def test_remap_and_subset(spark):
     r = rows_of(spark, (1, [2, 3]), (9, [2]), (1, [9]), (2, []))
     index = spark.createDataFrame([(1, A), (2, B), (3, C)], "item int, sid string")

@@ -11,7 +11,7 @@ from sidlens.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["sid_validity", "history_parse", "remap_sid", "encode_examples", "codebook_usage", "prediction_audit", "item_level_eval", "product_level_eval", "collision_confound", "paired_bootstrap", "popularity_buckets", "history_copy", "heldout_majority", "nmi", "ppmi", "prior_ranks", "beamlike_pool", "rerank_cooc", "pointwise_score", "augment_candidates", "listwise_features", "listwise_score", "grid_cells", "grid_select", "subset_cells", "subset_select", "apply_compare", "compare_ci", "catalog_argmax", "split_order", "collision_intervals", "seed_summary", "seed_summary_kept", "seed_means_kept", "two_stage_bootstrap_kept", "curve_summary", "info_stats", "reachability_augmented", "title_coherence_sampled", "negative_sample", "beamlike_negatives", "cluster_bootstrap"]
+CHECKED = ["sid_validity", "history_parse", "remap_sid", "remap_report", "quality_report", "ppmi_support", "encode_examples", "codebook_usage", "prediction_audit", "item_level_eval", "product_level_eval", "collision_confound", "paired_bootstrap", "popularity_buckets", "history_copy", "heldout_majority", "nmi", "ppmi", "prior_ranks", "beamlike_pool", "rerank_cooc", "pointwise_score", "augment_candidates", "listwise_features", "listwise_score", "grid_cells", "grid_select", "subset_cells", "subset_select", "apply_compare", "compare_ci", "catalog_argmax", "split_order", "collision_intervals", "seed_summary", "seed_summary_kept", "seed_means_kept", "two_stage_bootstrap_kept", "curve_summary", "info_stats", "reachability_augmented", "title_coherence_sampled", "negative_sample", "beamlike_negatives", "cluster_bootstrap"]
 
 
 def plain(v):

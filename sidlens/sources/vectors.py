@@ -1,7 +1,7 @@
 """Matrices of .npy files read in ranges by many tasks.
 
-Spark deals the bytes out in ranges that end at line feed bytes, which are as likely as
-any other in floats. Their lengths, summed over the ranges before, tell which rows of the
+Spark deals the bytes out in ranges that end at line feed bytes, which matrices of floats
+seldom lack. Their lengths, summed over the ranges before, tell which rows of the
 matrix a range holds; rows over a border are put together from their parts.
 """
 

@@ -411,3 +411,22 @@ def test_candidates_are_never_broadcast(spark):
     rows = spark.range(100000).select(F.col("id").alias("row_id"), F.array_repeat("id", 10).alias("hist"))
     joined = features.beam_candidates(beam).join(rows.select("row_id"), "row_id")
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 2
+
+
+@pytest.mark.parametrize("together", [1 << 22, 7])
+def test_pairs_are_counted_before_they_are_shuffled(spark, monkeypatch, together):
+    monkeypatch.setattr(cooc, "TOGETHER", together)
+    rng = np.random.default_rng(together)
+    rows = [(i, [int(x) for x in rng.integers(-3, 12, i % 7)] + [None] * (i % 5 == 0)) for i in range(60)]
+    want = {}
+    for _, h in rows:
+        own = sorted({x for x in h if x is not None})
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    df = spark.createDataFrame(rows, "row_id long, hist array<int>")
+    got = cooc.pair_counts(df)
+    assert {(r["a"], r["b"]): r["c"] for r in got.collect()} == want and dict(got.dtypes)["a"] == "int"
+    # Rows that share all pairs: a task sends each pair once.
+    same = spark.createDataFrame([(0, [1, 2, 3])] * 50, "row_id long, items array<long>").coalesce(1).select("items").mapInArrow(cooc.counted, "a long, b long, c long")
+    assert together == 7 or sorted(map(tuple, same.collect())) == [(1, 2, 50), (1, 3, 50), (2, 3, 50)]

@@ -430,3 +430,10 @@ def test_pairs_are_counted_before_they_are_shuffled(spark, monkeypatch, together
     # Rows that share all pairs: a task sends each pair once.
     same = spark.createDataFrame([(0, [1, 2, 3])] * 50, "row_id long, items array<long>").coalesce(1).select("items").mapInArrow(cooc.counted, "a long, b long, c long")
     assert together == 7 or sorted(map(tuple, same.collect())) == [(1, 2, 50), (1, 3, 50), (2, 3, 50)]
+
+
+def test_packets_are_narrow():
+    for x in ([5], [], [-3, 250], [2**40, 2**40 + 70000], [-(2**62), 2**62], [0, 2**63 - 1]):
+        data = blocks._binary(np.array(x, np.int64))
+        assert blocks._integers(pyarrow.py_buffer(data)).tolist() == x
+    assert len(blocks._binary(np.arange(2**40, 2**40 + 200))) == 9 + 200

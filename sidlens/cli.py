@@ -278,7 +278,7 @@ def rerank_learned(spark, a):
     rows = rows_of(spark, a.csv)
     beam = beam_of(spark, a.result, rows, c)
     if a.mode == "ceiling":
-        return show(cooc.recall_ceiling(cooc.prior_scores(rows, st.ppmi), beam, c), a)
+        return show(cooc.recall_ceiling(rows, st.ppmi, beam, c), a)
     config = readers.json_object(spark, a.config) if a.mode == "apply" and a.config else {}
     # What is given beats what the configuration says, and that beats the defaults.
     given = lambda value, name, default: value if value is not None else config.get(name, default)

@@ -245,7 +245,7 @@ def _variant(spark, a, base, orders, c, column="new_rank"):
 def rerank_cooccurrence(spark, a):
     c, rows, tr = _catalog(spark, a), rows_of(spark, a.csv), rows_of(spark, a.train_csv)
     beam = beam_of(spark, a.result, rows, c)
-    for name, orders in (("cooccurrence", rank.by_cooccurrence(beam, rows, written(cooc.weighed_pairs(tr, 2), "weighed"), c)), ("popularity", rank.by_popularity(beam, tr, c))):
+    for name, orders in (("cooccurrence", rank.by_cooccurrence(beam, rows, tr, c, 2)), ("popularity", rank.by_popularity(beam, tr, c))):
         orders = written(rank.fused(orders), name)
         show(_variant(spark, a, beam, orders, c), a, name)
         show(_variant(spark, a, beam, orders, c, "fused_rank"), a, f"{name}_fused")
